@@ -5,6 +5,8 @@ and measures.  Double literals are written with an exponent because 100.0 would
 """
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ordered import ordinal
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 VIEWS = {
@@ -69,10 +71,6 @@ from orders
 select l_partkey as pixel_id, l_returnflag as band, l_shipdate as ts, l_extendedprice as value,
   cast(l_linenumber as int) as qa, l_quantity as weight
 from lineitem
-""",
-    "edges": """
-select * from (values (1,62e0,-15e0,90e0,-12e0),(1,90e0,-12e0,95e0,10e0),(1,95e0,10e0,70e0,15e0),(1,70e0,15e0,62e0,-15e0),
-  (1,75e0,-5e0,80e0,-5e0),(1,80e0,-5e0,80e0,5e0),(1,80e0,5e0,75e0,5e0),(1,75e0,5e0,75e0,-5e0)) as t(poly,x1,y1,x2,y2)
 """,
     "gazetteer": """
 select p_partkey as place_id, p_name as name, p_brand as context, lower(p_type) as osm_value from part
@@ -83,6 +81,47 @@ select event_id as request_id, ts, user_id as site_id, 4e3 + value*1e1 as area_m
 }
 
 
+def _footprint_sql() -> str:
+    """Four outer edges per supplier, plus a square hole in every fourth footprint."""
+    base = (
+        "select s_suppkey as poly, case when s_suppkey % 3 = 0 then 'plant' else 'generator' end as kind, "
+        "case when s_suppkey % 4 = 1 then '' else s_name end as name, "
+        "case when s_suppkey % 5 = 2 then '' else concat('20', cast(10 + s_suppkey % 9 as varchar(4))) end as start_date, "
+        "cast(floor(s_suppkey/3e0) as bigint)*6007 % 40000 * 5e1 + (s_suppkey % 3)*1.7e2 as cx, "
+        "cast(floor(s_suppkey/3e0) as bigint)*7103 % 39989 * 5e1 as cy, 3e1 + (s_suppkey % 7)*1e1 as w from supplier"
+    )
+    corners = [("-1e0", "-1e0"), ("1e0", "-1e0"), ("1e0", "8e-1"), ("-1e0", "1e0")]
+    parts = []
+    for role, ring, f, where in (("outer", 0, "1e0", ""), ("inner", 1, "5e-1", " where poly % 4 = 0")):
+        for i in range(4):
+            (ax, ay), (bx, by) = corners[i], corners[(i + 1) % 4]
+            parts.append(
+                f"select poly, kind, name, start_date, cx, cy, w, '{role}' as role, {ring} as ring, "
+                f"cx + {ax}*{f}*w as x1, cy + {ay}*{f}*w as y1, cx + {bx}*{f}*w as x2, cy + {by}*{f}*w as y2 "
+                f"from ({base}) b{where}")
+    return " union all ".join(parts)
+
+
+def _border_sql() -> str:
+    """One slanted quadrilateral per nation on a 5 x 5 lattice, with a triangular hole in every fourth."""
+    base = ("select n_nationkey as poly, r_name as region, 605e-1 + 8e0*(n_nationkey % 5) as x0, "
+            "-1963e-2 + 8e0*floor(n_nationkey/5e0) as y0 from nation join region on n_regionkey = r_regionkey")
+    rings = [("outer", 0, [("0e0", "0e0"), ("7.1e0", "4e-1"), ("6.6e0", "7.2e0"), ("3e-1", "6.9e0")], ""),
+             ("inner", 1, [("2e0", "2e0"), ("4.1e0", "2.3e0"), ("3e0", "4.4e0")], " where poly % 4 = 0")]
+    parts = []
+    for role, ring, pts, where in rings:
+        for i, (ax, ay) in enumerate(pts):
+            bx, by = pts[(i + 1) % len(pts)]
+            parts.append(f"select poly, region, '{role}' as role, {ring} as ring, x0 + {ax} as x1, y0 + {ay} as y1, "
+                         f"x0 + {bx} as x2, y0 + {by} as y2 from ({base}) b{where}")
+    return " union all ".join(parts)
+
+
+VIEWS["footprints"] = _footprint_sql()
+VIEWS["borders"] = _border_sql()
+
+
+
 def view_sql(name: str) -> str:
     return VIEWS[name].strip()
 
@@ -98,3 +137,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if t in text:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(text)
+
+
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same rows as the `ways` text; the position in a way is computed without a window per way."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey as way_id", "o_orderkey",
+        "((o_orderkey*7919) % 100000)*1e0 as x", "((o_orderkey*104729) % 99991)*1e0 as y")
+    return ordinal(orders, ["way_id"], "o_orderkey", "seq").drop("o_orderkey")
