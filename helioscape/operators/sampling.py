@@ -4,10 +4,10 @@ Randomness is a hash of an id and the seed, never rand(): a retried task draws t
 """
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import constants as K
-from ..functions.geo import block_id, destination
+from ..functions.geo import block_id, destination, segment_distance2
 from ..functions.nulls import num
 from .nearest import nearest_on_sphere, nearest_segment, split_segments
 from .ordered import top_n
@@ -75,7 +75,7 @@ def interior_points(edges: DataFrame, per_polygon: Column, edge_m: float, tries:
 
     Each wanted point has `tries` candidates in the polygon's box, tested against its own edges only.  A
     polygon too narrow for the margin keeps its candidate farthest from the edges, and one that no candidate
-    hits falls back to the middle of its widest run of cells' reference line.
+    hits gets the middle of the widest stretch it covers on one horizontal line.
     """
     box = edges.groupBy("poly").agg(F.min("x1").alias("x0"), F.max("x1").alias("xm"), F.min("y1").alias("y0"), F.max("y1").alias("ym"),
                                     F.abs(F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2)).alias("area"))
@@ -87,7 +87,6 @@ def interior_points(edges: DataFrame, per_polygon: Column, edge_m: float, tries:
     met = cand.join(edges.select("poly", "x1", "y1", "x2", "y2"), "poly")
     crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
         F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    from ..functions.geo import segment_distance2
     d2 = segment_distance2(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     tested = met.groupBy("poly", "k", "n", "px", "py").agg(
         F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("hits"), F.sqrt(F.min(d2)).alias("margin"))
@@ -96,7 +95,22 @@ def interior_points(edges: DataFrame, per_polygon: Column, edge_m: float, tries:
     deep = deep.select("poly", "rn", "px", "py", "margin")
     narrow = inside.groupBy("poly").agg(F.max(F.struct("margin", "px", "py")).alias("m"), F.max("deep").alias("any_deep")) \
         .where("not any_deep").select("poly", F.lit(1).alias("rn"), "m.px", "m.py", "m.margin")
-    return deep.unionByName(narrow).withColumnsRenamed({"px": "x", "py": "y"})
+    drawn = deep.unionByName(narrow)
+    missed = box.join(drawn.select("poly").distinct(), "poly", "left_anti")
+    return drawn.unionByName(_representative(edges, missed)).withColumnsRenamed({"px": "x", "py": "y"})
+
+
+def _representative(edges: DataFrame, boxes: DataFrame) -> DataFrame:
+    """A point surely inside each polygon: middle of its widest stretch along a horizontal line."""
+    line = F.col("y0") + num(0.4871236) * (F.col("ym") - F.col("y0"))
+    met = edges.join(boxes.select("poly", line.alias("py")), "poly").where((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py")))
+    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    order = W.partitionBy("poly").orderBy("x")
+    runs = met.select("poly", "py", at.alias("x")).withColumns({"pos": F.row_number().over(order), "next": F.lead("x").over(order)})
+    best = runs.where("pos % 2 = 1").groupBy("poly").agg(
+        F.max_by(F.struct("x", "next", "py"), F.col("next") - F.col("x")).alias("b"))
+    return best.select("poly", F.lit(1).alias("rn"), ((F.col("b.x") + F.col("b.next")) / 2).alias("px"), F.col("b.py").alias("py"),
+                       F.lit(None).cast("double").alias("margin"))
 
 
 def points_per_area(area: Column, per_ha: float = K.POINTS_PER_HA) -> Column:

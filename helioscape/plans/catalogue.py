@@ -4,5 +4,6 @@ from . import (  # noqa: F401
     io_queries,
     raster_queries,
     shape_queries,
+    spatial_queries,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
