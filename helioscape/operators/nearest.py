@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import chord_km, segment_distance2, unit_xyz
 from ..functions.nulls import num
+from .spark_support import stored
 
 STEP = 4
 MAX_LEVEL = 12
@@ -24,101 +25,100 @@ def _cell(dims: list[str], origin: list[float], width: float, level: int) -> lis
     return [F.floor((F.col(d) - num(o)) / num(width) * num(scale)).cast("bigint") for d, o in zip(dims, origin)]
 
 
-def _grid(targets: DataFrame, dims: list[str]):
-    """Origin, level-0 width and row count of the targets (one aggregate row)."""
-    row = targets.agg(F.count("*").alias("n"), *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)],
-                      *[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]).first()
-    if not row["n"]:
-        return 0, [0.0] * len(dims), 1.0
-    origin = [row[f"lo{i}"] for i in range(len(dims))]
-    width = max([row[f"hi{i}"] - row[f"lo{i}"] for i in range(len(dims))]) or 1.0
-    return row["n"], origin, width
-
-
-def _leaf_level(targets: DataFrame, dims, origin, width, n: int, leaf: int) -> int:
-    """Coarsest level on which no cell holds more than 4 * leaf targets."""
-    level = max(1, math.ceil(math.log(max(n / leaf, 1), STEP ** 2)))
-    while level < MAX_LEVEL:
-        top = targets.groupBy(*_cell(dims, origin, width, level)).count().agg(F.max("count")).first()[0]
-        if (top or 0) <= 4 * leaf:
-            break
-        level += 1
-    return min(level, MAX_LEVEL)
-
-
-def candidate_cells(points: DataFrame, targets: DataFrame, dims: list[str], origin, width: float,
-                    level: int, reach: str | None = None) -> DataFrame:
-    """Pairs (query cell, target cell) that can hold a nearest target; both at `level`.
-
-    `reach` is the largest distance a target may extend from its reference point (segments).
-    """
-    axes = range(len(dims))
-    q = [f"q{i}" for i in axes]
-    cells = [f"t{i}" for i in axes]
-    leaf_width = width / STEP ** level
-    half_diagonal = leaf_width * math.sqrt(len(dims)) / 2
-    queries = points.select(*[c.alias(n) for c, n in zip(_cell(dims, origin, width, level), q)]).distinct()
-    queries = queries.withColumns({f"m{i}": num(origin[i]) + (F.col(f"q{i}") + num(0.5)) * num(leaf_width) for i in axes})
-
-    reach_col = F.col(reach) if reach else num(0)
-    tree = targets.select(*[c.alias(n) for c, n in zip(_cell(dims, origin, width, level), cells)],
-                          F.struct(*[F.col(d).alias(f"p{i}") for i, d in enumerate(dims)]).alias("_rep"),
-                          reach_col.alias("_reach")) \
-        .groupBy(*cells).agg(F.min("_rep").alias("_rep"), F.max("_reach").alias("_reach"))
-    levels = {level: tree}
-    for up in range(level - 1, -1, -1):
-        coarse = levels[up + 1].select(*[F.floor(F.col(c) / STEP).cast("bigint").alias(c) for c in cells], "_rep", "_reach")
-        levels[up] = coarse.groupBy(*cells).agg(F.min("_rep").alias("_rep"), F.max("_reach").alias("_reach"))
-
-    # Level 0 spans the targets in at most two cells per axis, so the start is a fixed, small fan-out.
-    start = queries
-    for i in axes:
-        start = start.withColumn(cells[i], F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
-    found = start
-    join_keys = cells
-    for depth in range(level + 1):
-        if depth:
-            children = levels[depth].select(
-                *[F.floor(F.col(c) / STEP).cast("bigint").alias(f"u{i}") for i, c in enumerate(cells)], *cells, "_rep", "_reach")
-            parents = found.select(*q, *[f"m{i}" for i in axes], *[F.col(c).alias(f"u{i}") for i, c in enumerate(cells)])
-            paired = parents.join(children, [f"u{i}" for i in axes])
-        else:
-            paired = found.join(levels[0], join_keys)
-        cell_width = width / STEP ** depth
-        upper, lower = num(0), num(0)
-        for i in axes:
-            m = F.col(f"m{i}")
-            d = m - F.col("_rep")[f"p{i}"]
-            upper = upper + d * d
-            lo = num(origin[i]) + F.col(cells[i]) * num(cell_width)
-            gap = F.greatest(lo - m, m - (lo + num(cell_width)), num(0))
-            lower = lower + gap * gap
-        upper = F.sqrt(upper) + num(half_diagonal)
-        lower = F.sqrt(lower) - num(half_diagonal) - F.col("_reach")
-        best = F.min("_upper").over(W.partitionBy(*q))
-        found = paired.withColumns({"_upper": upper, "_lower": lower}).withColumn("_best", best) \
-            .where(F.col("_lower") <= F.col("_best") * (1 + SLACK) + SLACK * cell_width) \
-            .select(*q, *[f"m{i}" for i in axes], *cells)
-    return found.select(*q, *cells)
+def _boxes(dims: list[str], lo: list[str], hi: list[str]) -> list[Column]:
+    """Tight bounding box of a group of targets, plus their number."""
+    out = [F.count("*").alias("_n")]
+    for i, (a, b) in enumerate(zip(lo, hi)):
+        out += [F.min(a).alias(f"b{i}"), F.max(b).alias(f"e{i}")]
+    return out
+
+
+def _coarser(tree: DataFrame, cells: list[str], steps: int) -> DataFrame:
+    """Boxes of the ancestors `steps` levels up."""
+    up = tree.withColumns({c: F.floor(F.col(c) / float(STEP ** steps)).cast("bigint") for c in cells})
+    aggs = [F.sum("_n").alias("_n")]
+    for i in range(len(cells)):
+        aggs += [F.min(f"b{i}").alias(f"b{i}"), F.max(f"e{i}").alias(f"e{i}")]
+    return up.groupBy(*cells).agg(*aggs)
+
+
+class _Index:
+    """Targets with their leaf cell, and the boxes of all occupied leaf cells, both written once."""
+
+    def __init__(self, targets: DataFrame, dims: list[str], lo: list[str], hi: list[str], leaf: int):
+        axes = range(len(dims))
+        self.dims, self.cells = dims, [f"t{i}" for i in axes]
+        self.targets = stored(targets, "targets")
+        row = self.targets.agg(F.count("*").alias("n"), *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)],
+                               *[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]).first()
+        n = row["n"]
+        self.origin = [row[f"lo{i}"] or 0.0 for i in axes]
+        self.width = max([(row[f"hi{i}"] or 0.0) - (row[f"lo{i}"] or 0.0) for i in axes]) or 1.0
+        self.level = min(MAX_LEVEL, max(1, round(math.log(max(n / leaf, 1), STEP ** 2))))
+        while True:
+            keys = [c.alias(k) for c, k in zip(self.cell_of(self.level), self.cells)]
+            grouped = self.targets.select(*keys, *set(lo + hi)).groupBy(*self.cells).agg(*_boxes(dims, lo, hi))
+            self.tree = stored(grouped, "cells")
+            top = self.tree.agg(F.max("_n")).first()[0] or 0
+            if top <= 4 * leaf or self.level >= MAX_LEVEL:
+                break
+            self.level += 1
+
+    def cell_of(self, level: int) -> list[Column]:
+        return _cell(self.dims, self.origin, self.width, level)
+
+    def targets_by_cell(self) -> DataFrame:
+        return self.targets.select(*[c.alias(k) for c, k in zip(self.cell_of(self.level), self.cells)],
+                                   *[F.col(c).alias(f"t_{c}") for c in self.targets.columns])
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """Pairs (q0.., t0..): target cells that can hold the nearest target of some point in the query cell."""
+        axes = range(len(self.dims))
+        q, cells, m = [f"q{i}" for i in axes], self.cells, [f"m{i}" for i in axes]
+        leaf_width = self.width / STEP ** self.level
+        half_diagonal = leaf_width * math.sqrt(len(self.dims)) / 2
+        found = queries.withColumns({m[i]: num(self.origin[i]) + (F.col(q[i]) + num(0.5)) * num(leaf_width) for i in axes})
+        # the targets span at most STEP + 1 cells per axis on level 1: a fixed fan-out starts the descent
+        first = F.array(*[F.lit(i).cast("bigint") for i in range(STEP + 1)])
+        for c in cells:
+            found = found.withColumn(c, F.explode(first))
+        for depth in range(1, self.level + 1):
+            boxes = self.tree if depth == self.level else _coarser(self.tree, cells, self.level - depth)
+            boxes = boxes.drop("_n")
+            if depth == 1:
+                paired = found.join(boxes, cells)
+            else:
+                parent = [f"u{i}" for i in axes]
+                children = boxes.withColumns({u: F.floor(F.col(c) / STEP).cast("bigint") for u, c in zip(parent, cells)})
+                paired = found.select(*q, *m, *[F.col(c).alias(u) for u, c in zip(parent, cells)]).join(children, parent)
+            near, far = num(0), num(0)
+            for i in axes:
+                below, above = F.col(f"b{i}") - F.col(m[i]), F.col(m[i]) - F.col(f"e{i}")
+                gap, reach = F.greatest(below, above, num(0)), F.greatest(-below, -above)
+                near, far = near + gap * gap, far + reach * reach
+            bounds = paired.withColumns({"_near": F.sqrt(near) - num(half_diagonal), "_far": F.sqrt(far) + num(half_diagonal)})
+            best = F.min("_far").over(W.partitionBy(*q))
+            found = bounds.withColumn("_best", best).where(F.col("_near") <= F.col("_best") * (1 + SLACK) + SLACK * self.width) \
+                .select(*q, *m, *cells)
+        return found.select(*q, *cells)
 
 
 def nearest(points: DataFrame, targets: DataFrame, dims: list[str], point_id: str, target_cols: list[str],
-            distance2: Callable[[], Column] | None = None, reach: str | None = None, leaf: int = 16,
-            order: str | None = None, digits: int = 9) -> DataFrame:
+            distance2: Callable[[], Column] | None = None, box: tuple[list[str], list[str]] | None = None,
+            leaf: int = 32, digits: int = 9) -> DataFrame:
     """(point_id, *target_cols, distance) of the nearest target; ties go to the smallest target_cols.
 
-    `points` has point_id and `dims`; `targets` has `dims` and target_cols.  `distance2` builds the exact
-    squared distance from point columns (`dims`) and target columns (prefixed with `t_`).
+    `points` has point_id and `dims`; `targets` has `dims` and target_cols.  Targets with an extent pass the
+    columns of their box and `distance2`, the exact squared distance from point columns (`dims`) and target
+    columns (prefixed with `t_`).
     """
-    n, origin, width = _grid(targets, dims)
-    level = _leaf_level(targets, dims, origin, width, n, leaf)
-    pairs = candidate_cells(points, targets, dims, origin, width, level, reach)
-    axes = range(len(dims))
-    t = targets.select(*[c.alias(f"t{i}") for i, c in enumerate(_cell(dims, origin, width, level))],
-                       *[F.col(c).alias(f"t_{c}") for c in targets.columns])
-    listed = pairs.join(t, [f"t{i}" for i in axes]).drop(*[f"t{i}" for i in axes])
-    asked = points.select(point_id, *dims, *[c.alias(f"q{i}") for i, c in enumerate(_cell(dims, origin, width, level))])
-    met = asked.join(listed, [f"q{i}" for i in axes])
+    lo, hi = box or (dims, dims)
+    index = _Index(targets, dims, lo, hi, leaf)
+    q = [f"q{i}" for i in range(len(dims))]
+    asked = points.select(point_id, *dims, *[c.alias(k) for c, k in zip(index.cell_of(index.level), q)])
+    pairs = index.candidates(asked.select(*q).distinct())
+    listed = pairs.join(index.targets_by_cell(), index.cells).drop(*index.cells)
+    met = asked.join(listed, q)
     if distance2 is None:
         d2 = num(0)
         for d in dims:
@@ -126,15 +126,16 @@ def nearest(points: DataFrame, targets: DataFrame, dims: list[str], point_id: st
             d2 = d2 + delta * delta
     else:
         d2 = distance2()
-    scored = met.select(point_id, F.struct(F.round(F.sqrt(d2), digits).alias("d"),
-                                           *[F.col(f"t_{c}").alias(c) for c in target_cols]).alias("_hit"))
-    best = scored.groupBy(point_id).agg(F.min("_hit").alias("_hit"))
-    return best.select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], F.col("_hit")["d"].alias("distance"))
+    scored = met.select(point_id, F.round(F.sqrt(d2), digits).alias("distance"), *[F.col(f"t_{c}").alias(c) for c in target_cols])
+    if not target_cols:
+        return scored.groupBy(point_id).agg(F.min("distance").alias("distance"))
+    best = scored.groupBy(point_id).agg(F.min(F.struct("distance", *target_cols)).alias("_hit"))
+    return best.select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], F.col("_hit")["distance"].alias("distance"))
 
 
 def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, target_cols: list[str],
                       lat: str = "lat", lon: str = "lon", tlat: str = "lat", tlon: str = "lon",
-                      leaf: int = 16) -> DataFrame:
+                      leaf: int = 32) -> DataFrame:
     """Great-circle nearest target and its distance in km (valid across dateline and poles)."""
     dims = ["ux", "uy", "uz"]
     p = points.select(point_id, *[c.alias(d) for c, d in zip(unit_xyz(F.col(lat), F.col(lon)), dims)])
@@ -144,19 +145,19 @@ def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, targ
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, target_cols: list[str],
-                    x: str = "x", y: str = "y", leaf: int = 16) -> DataFrame:
+                    x: str = "x", y: str = "y", leaf: int = 32) -> DataFrame:
     """Planar distance to the nearest segment (x1, y1, x2, y2)."""
     p = points.select(point_id, F.col(x).alias("cx"), F.col(y).alias("cy"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    s = segments.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2,
-                              "reach": F.sqrt(dx * dx + dy * dy) / 2})
-    return nearest(p, s, ["cx", "cy"], point_id, target_cols, reach="reach", leaf=leaf, digits=6,
+    s = segments.select("x1", "y1", "x2", "y2", *target_cols).withColumns({
+        "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2,
+        "xa": F.least("x1", "x2"), "xb": F.greatest("x1", "x2"), "ya": F.least("y1", "y2"), "yb": F.greatest("y1", "y2")})
+    return nearest(p, s, ["cx", "cy"], point_id, target_cols, box=(["xa", "ya"], ["xb", "yb"]), leaf=leaf, digits=6,
                    distance2=lambda: segment_distance2(F.col("cx"), F.col("cy"), F.col("t_x1"), F.col("t_y1"),
                                                        F.col("t_x2"), F.col("t_y2")))
 
 
 def split_segments(segments: DataFrame, step: float) -> DataFrame:
-    """Cut segments into equal pieces no longer than `step`, so `reach` stays small against the cells."""
+    """Cut segments into equal pieces no longer than `step`, so the boxes of their cells stay tight."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     pieces = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dy * dy) / num(step))).cast("int")
     cut = segments.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

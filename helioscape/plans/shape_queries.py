@@ -308,13 +308,13 @@ def score_class(spark, sf):
 @query("energy_estimate", views="requests sites", oracle="""
 with e as (select request_id, ghi, area_m2, area_m2*ghi*365*0.2e0*0.75e0 as kwh from requests join sites using (site_id))
 select request_id, round(kwh, 7) as annual_kwh, round(kwh/1000, 10) as annual_mwh, round(area_m2*0.2e0, 6) as peak_kwp, round(kwh/(area_m2*0.2e0), 6) as specific_yield,
- round(kwh*0.475e0/1000, 6) as co2_tonnes, round(kwh/3500, 6) as households, round(area_m2/4046.8564224e0, 9) as area_acres,
+ round(kwh*0.475e0/1000, 11) as co2_tonnes, round(kwh/3500, 8) as households, round(area_m2/4046.8564224e0, 9) as area_acres,
  round(area_m2*ghi*28.25e0*0.15e0, 8) as feb_kwh from e""")
 def energy_estimate(spark, sf):
     joined = view(spark, sf, "requests").join(view(spark, sf, "sites").select("site_id", "ghi"), "site_id")
     e = FT.energy(F.col("ghi"), F.col("area_m2"))
     months = FT.monthly_energy(F.array(*[F.col("ghi")] * 12), F.col("area_m2"))
-    digits = {"annual_kwh": 7, "annual_mwh": 10, "area_acres": 9}
+    digits = {"annual_kwh": 7, "annual_mwh": 10, "area_acres": 9, "co2_tonnes": 11, "households": 8}
     return joined.select("request_id", *[R(c, digits.get(n, 6)).alias(n) for n, c in e.items()], R(months[1], 8).alias("feb_kwh"))
 
 

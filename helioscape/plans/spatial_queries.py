@@ -8,6 +8,7 @@ from ..operators import nearest as NN
 from ..operators import polygons as P
 from ..operators import sampling as SM
 from ..operators.ordered import first_per_key
+from ..operators.spark_support import stored
 from .registry import query
 from .shape_queries import R
 from .views import table, view, ways
@@ -188,7 +189,7 @@ d as (select plant_id, sqrt(min(case when way_id % 2 = 0 then pow(w.x-p.x,2)+pow
  sqrt(min(case when seq = 1 then pow(w.x-p.x,2)+pow(w.y-p.y,2) end)) as sub from p join ways w on true group by plant_id)
 select plant_id, round(road/1000, 6) as dist_road_km, round(line/1000, 6) as dist_powerline_km, round(sub/1000, 6) as dist_substation_km from d""")
 def dist_infrastructure(spark, sf):
-    w = ways(spark, sf)
+    w = stored(ways(spark, sf), "ways")  # read by three layers
     pts = view(spark, sf, "plants").selectExpr("plant_id", "(plant_id*7103 % 100000)*1e0 as x", "(plant_id*6007 % 99991)*1e0 as y")
     out = distance_index(pts, {"dist_road_km": w.where("way_id % 2 = 0"), "dist_powerline_km": w.where("way_id % 2 = 1"),
                                "dist_substation_km": w.where("seq = 1")}, "plant_id")
