@@ -2,7 +2,9 @@
 from . import (  # noqa: F401
     composite_queries,
     io_queries,
+    model_queries,
     raster_queries,
+    score_queries,
     shape_queries,
     spatial_queries,
 )
