@@ -4,7 +4,9 @@ Fitting, scoring and evaluation are distributed; the driver holds parameters onl
 coefficients), whose number depends on the features and not on the rows.
 """
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -98,16 +100,18 @@ class MonotoneModel:
 
     directions: dict | None = None
     ridge: float = 1e-3
-    max_iter: int = 100
+    max_iter: int = 60
+    tolerance: float = 1e-4
 
     def fit(self, train: DataFrame, features: list[str], label: str, weight: str | None = None) -> "MonotoneModel":
         signs = K.MONOTONE if self.directions is None else self.directions
         self.features = features
-        self.medians = fit_medians(train, features)
-        ready = impute(train, self.medians)
         names = [f"q{i}" for i in range(len(KNOT_FRACTIONS))]
-        rows = percentiles(unpivot(ready, features), ["feature"], "x", KNOT_FRACTIONS, names).collect()
+        rows = percentiles(unpivot(train, features), ["feature"], "x", KNOT_FRACTIONS, names).collect()
         quantiles = {r["feature"]: [r[n] for n in names] for r in rows}
+        middle = KNOT_FRACTIONS.index(0.5)
+        self.medians = {f: quantiles[f][middle] if f in quantiles else 0.0 for f in features}
+        ready = impute(train, self.medians)
         self.ramps = []
         for f in features:
             knots = sorted(set(quantiles.get(f, [0.0, 1.0])))
@@ -118,7 +122,7 @@ class MonotoneModel:
         hi = [0.0 if signs.get(f, 0) < 0 else float("inf") for f, _, _ in self.ramps]
         assembled = self._assemble(ready).withColumn(label, F.col(label).cast("double"))
         p = len(self.ramps)
-        lr = LogisticRegression(featuresCol="ramps", labelCol=label, regParam=self.ridge, elasticNetParam=0.0, maxIter=self.max_iter,
+        lr = LogisticRegression(featuresCol="ramps", labelCol=label, regParam=self.ridge, elasticNetParam=0.0, maxIter=self.max_iter, tol=self.tolerance,
                                 lowerBoundsOnCoefficients=DenseMatrix(1, p, lo), upperBoundsOnCoefficients=DenseMatrix(1, p, hi))
         if weight:
             lr = lr.setWeightCol(weight)
@@ -184,15 +188,16 @@ def fold_predictions(make, df: DataFrame, features: list[str], label: str, fold:
                      weight: str | None = None, train_mask: str | None = None) -> DataFrame:
     """Out-of-fold `p` for every row: one distributed fit per fold over a table written once."""
     data = stored(df, "folds")
-    parts = None
-    for k in range(folds):
+
+    def held_out(k: int) -> DataFrame:
         train = data.where(F.col(fold) != k)
-        if train_mask:
-            train = train.where(train_mask)
-        model = make().fit(train, features, label, weight)
-        held = model.predict(data.where(F.col(fold) == k))
-        parts = held if parts is None else parts.unionByName(held)
-    return parts
+        model = make().fit(train.where(train_mask) if train_mask else train, features, label, weight)
+        return model.predict(data.where(F.col(fold) == k))
+
+    # fits are independent: their jobs are submitted together and share the cluster
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        parts = list(pool.map(held_out, range(folds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def spatial_cv(make, df: DataFrame, features: list[str], label: str, fold: str, weight: str | None = None,
@@ -245,24 +250,23 @@ def explain(df: DataFrame, model: MonotoneModel, top: int | None = None) -> Data
     Points add up to score - base_score; a sum below 1e-9 gives 0 points each.
     """
     label = lambda f: K.FEATURE_LABELS.get(f, ("Land cover: " + f[3:].title() if f.startswith("lc_") else f, "", ""))
-    parts = {f: model.contribution(f) for f in model.features}
-    staged = df.withColumns({f"_c_{f}": c for f, c in parts.items()})
-    total = num(0)
-    for f in model.features:
-        total = total + F.col(f"_c_{f}")
-    base_score = num(100) / (num(1) + F.exp(-num(model.base) / num(K.SCORE_TEMPERATURE)))
-    staged = staged.withColumns({"base_score": base_score, "_total": total})
-    staged = staged.withColumn("_scale", F.when(F.abs("_total") > 1e-9, (F.col("model_score") - F.col("base_score")) / F.col("_total")).otherwise(num(0)))
     items = F.array(*[F.struct(
-        (-F.abs(F.col(f"_c_{f}"))).alias("order"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(label(f)[0]).alias("label"),
-        F.lit(label(f)[1]).alias("unit"), F.lit(label(f)[2]).alias("source"), F.col(f).alias("value"),
-        F.col(f"_c_{f}").alias("log_odds"), (F.col(f"_c_{f}") * F.col("_scale")).alias("points")) for i, f in enumerate(model.features)])
-    ordered = F.array_sort(items)
+        F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(label(f)[0]).alias("label"), F.lit(label(f)[1]).alias("unit"),
+        F.lit(label(f)[2]).alias("source"), F.col(f).alias("value"), model.contribution(f).alias("log_odds"))
+        for i, f in enumerate(model.features)])
+    base_score = num(100) / (num(1) + F.exp(-num(model.base) / num(K.SCORE_TEMPERATURE)))
+    staged = df.withColumn("base_score", base_score).withColumn("_items", items)
+    total = F.aggregate("_items", num(0), lambda a, s: a + s["log_odds"])
+    staged = staged.withColumn("_total", total)
+    scale = F.when(F.abs("_total") > 1e-9, (F.col("model_score") - F.col("base_score")) / F.col("_total")).otherwise(num(0))
+    staged = staged.withColumn("_scale", scale)
+    ordered = F.array_sort(F.transform("_items", lambda s: F.struct(
+        (-F.abs(s["log_odds"])).alias("order"), s["i"].alias("i"), s.alias("s"), (s["log_odds"] * F.col("_scale")).alias("points"))))
     if top:
         ordered = F.slice(ordered, 1, top)
-    tidy = F.transform(ordered, lambda s: F.struct(*[s[n].alias(n) for n in ("feature", "label", "unit", "source", "value", "log_odds", "points")]))
-    out = staged.withColumn("contributions", tidy)
-    return out.drop("_total", "_scale", *[f"_c_{f}" for f in model.features])
+    tidy = F.transform(ordered, lambda o: F.struct(
+        *[o["s"][n].alias(n) for n in ("feature", "label", "unit", "source", "value", "log_odds")], o["points"].alias("points")))
+    return staged.withColumn("contributions", tidy).drop("_items", "_total", "_scale")
 
 
 # ---------------------------------------------------------------- bundles

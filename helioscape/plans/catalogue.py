@@ -7,5 +7,6 @@ from . import (  # noqa: F401
     score_queries,
     shape_queries,
     spatial_queries,
+    text_queries,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

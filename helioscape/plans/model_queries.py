@@ -131,16 +131,17 @@ def monotone_model(spark, sf):
     """Sweep of each constrained feature: the number of steps in which the score moves the wrong way is 0."""
     model, data = fitted_monotone(spark, sf)
     swept = [f for f in K.MONOTONE if f in model.features]
-    lows = {f: min(a for g, a, _ in model.ramps if g == f) for f in swept}
-    highs = {f: max(b for g, _, b in model.ramps if g == f) for f in swept}
-    out = None
-    for f in swept:
-        p = lambda t: model.predict(data.withColumn(f, F.lit(lows[f] + t * (highs[f] - lows[f])))).select("site_id", F.col("p").alias(f"p{int(t * 100)}"))
-        both = p(0.0).join(p(0.5), "site_id").join(p(1.0), "site_id")
-        step = lambda a, b: (F.col(b) - F.col(a)) * K.MONOTONE[f] < -1e-12
-        row = both.agg(F.lit(f).alias("feature"), F.count("*").alias("n"), F.count_if(step("p0", "p50") | step("p50", "p100")).alias("violations"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    steps = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(t).alias("t"),
+                 F.lit(min(a for g, a, _ in model.ramps if g == f) * (1 - t) + max(b for g, _, b in model.ramps if g == f) * t).alias("at"))
+        for f in swept for t in (0.0, 0.5, 1.0)]))
+    rows = data.select("site_id", *model.features, steps.alias("step")).select("site_id", "step.*", *[
+        F.when(F.col("step.feature") == f, F.col("step.at")).otherwise(F.col(f)).alias(f) if f in swept else F.col(f) for f in model.features])
+    p_at = lambda t: F.max(F.when(F.col("t") == t, F.col("p")))
+    runs = model.predict(rows).groupBy("site_id", "feature").agg(p_at(0.0).alias("p0"), p_at(0.5).alias("p1"), p_at(1.0).alias("p2"))
+    sign = F.element_at(F.create_map(*[F.lit(v) for f in swept for v in (f, float(K.MONOTONE[f]))]), F.col("feature"))
+    wrong = lambda a, b: (F.col(b) - F.col(a)) * sign < -1e-12
+    return runs.groupBy("feature").agg(F.count("*").alias("n"), F.count_if(wrong("p0", "p1") | wrong("p1", "p2")).alias("violations"))
 
 
 @query("spatial_cv")
@@ -223,7 +224,7 @@ def explain_given_weights(spark, sf):
 def top_contributions(spark, sf):
     model, s = scored_sites(spark, sf)
     e = ML.explain(s, model, top=3)
-    return e.select("site_id", F.posexplode("contributions").alias("pos", "c")).select(
+    return e.select("site_id", F.posexplode_outer("contributions").alias("pos", "c")).select(
         "site_id", (F.col("pos") + 1).alias("rank"), "c.feature", "c.label", R("c.points", 6).alias("points"))
 
 
