@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     model_queries,
     raster_queries,
     score_queries,
+    service_queries,
     shape_queries,
     spatial_queries,
     text_queries,

@@ -8,6 +8,7 @@ from ..operators import nearest as NN
 from ..operators import polygons as P
 from ..operators import sampling as SM
 from ..operators.ordered import first_per_key
+from ..operators.service import exact_or_nearest as exact_or_nearest_values, resolve_sources
 from ..operators.spark_support import stored
 from .registry import query
 from .shape_queries import R
@@ -266,17 +267,7 @@ def exact_or_nearest(spark, sf):
     points = view(spark, sf, "sites").select("site_id", "lat", "lon")
     exact = view(spark, sf, "sites").where("site_id % 3 = 0").select("site_id", (F.col("ghi") * 100).alias("value"))
     cells = view(spark, sf, "plants").select("plant_id", F.col("plat").alias("lat"), F.col("plon").alias("lon"), F.col("capacity_mw").alias("value"))
-    return with_exact_or_nearest(points, exact, cells, "site_id", "plant_id").select("site_id", "value", R("feature_km", 1).alias("feature_km"))
-
-
-def with_exact_or_nearest(points, exact, cells, point_id: str, cell_id: str):
-    """Values known at the exact place, else those of the nearest cell with its distance."""
-    known = points.join(exact, point_id, "left_semi").join(exact, point_id).withColumn("feature_km", F.lit(0.0))
-    open_points = points.join(exact, point_id, "left_anti")
-    values = [c for c in exact.columns if c != point_id]
-    hit = NN.nearest_on_sphere(open_points, cells, point_id, [cell_id]).withColumnRenamed("km", "feature_km")
-    est = open_points.join(hit, point_id).join(cells.select(cell_id, *values), cell_id)
-    return known.unionByName(est.select(*known.columns))
+    return exact_or_nearest_values(points, exact, cells, "site_id", "plant_id").select("site_id", "value", R("feature_km", 1).alias("feature_km"))
 
 
 @query("source_priority", views="sites plants", oracle=f"""
@@ -295,22 +286,6 @@ def source_priority(spark, sf):
         "site_id", "provenance.source", "ghi", R("provenance.cell_km", 1).alias("cell_km"))
 
 
-def resolve_sources(points, cached, live, cells, point_id: str, cell_id: str, values: list, reject_km: float = K.GRID_REJECT_KM):
-    """Best available values per point: cached, then live, then the nearest cell within `reject_km`.
-
-    Only points without an exact answer enter the nearest-cell search.
-    """
-    def tagged(df, source, rank):
-        prov = F.struct(F.lit(source).alias("source"), F.lit(None).cast("double").alias("cell_km"))
-        return df.select(point_id, *values, F.lit(rank).alias("_rank"), prov.alias("provenance"))
-    known = first_per_key(tagged(cached, "cached", 0).unionByName(tagged(live, "live", 1)), [point_id], ["_rank"])
-    known = known.join(points.select(point_id), point_id, "left_semi").drop("_rank")
-    rest = points.join(known.select(point_id), point_id, "left_anti")
-    hit = NN.nearest_on_sphere(rest, cells, point_id, [cell_id]).where(F.col("km") <= reject_km)
-    est = hit.join(cells.select(cell_id, *values), cell_id)
-    return known.unionByName(est.select(point_id, *values, F.struct(F.lit("grid_estimate").alias("source"), F.col("km").alias("cell_km")).alias("provenance")))
-
-
 # ---------------------------------------------------------------- sampling and labels
 
 UNIFORM = "((cast(('0x' || substr(md5(concat('{salt}:', {key})), 1, 8)) as bigint) + 0.5e0)/4294967296e0)"
