@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import constants as K
@@ -48,6 +49,10 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", w)
 
 
+def _sql(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
 @dataclass
 class TreeModel:
     """Imputation plus an MLlib tree ensemble."""
@@ -129,44 +134,36 @@ class MonotoneModel:
         fitted = lr.fit(assembled)
         self.coefficients = [float(c) for c in fitted.coefficients.toArray()]
         self.intercept = float(fitted.intercept)
-        means = ready.agg(*[F.avg(self._ramp(*r)).alias(f"m{i}") for i, r in enumerate(self.ramps)]).first()
-        self.means = [means[f"m{i}"] for i in range(p)]
+        mean = assembled.select(Summarizer.mean(F.col("ramps")).alias("m")).first()["m"]
+        self.means = [float(v) for v in mean]
         return self
 
     @staticmethod
-    def _ramp(f: str, a: float, b: float) -> Column:
-        return F.least(F.greatest((F.col(f) - num(a)) / num(b - a), num(0)), num(1))
+    def _ramp(x: str, a: float, b: float) -> str:
+        """0 up to a, 1 from b on, linear between; SQL text, because a model has many of them."""
+        return f"least(greatest(({x} - {_sql(a)}) / {_sql(b - a)}, 0D), 1D)"
 
     def _assemble(self, ready: DataFrame) -> DataFrame:
         names = [f"_r{i}" for i in range(len(self.ramps))]
-        wide = ready.withColumns({n: self._ramp(*r) for n, r in zip(names, self.ramps)})
+        wide = ready.withColumns({n: F.expr(self._ramp(f"`{f}`", a, b)) for n, (f, a, b) in zip(names, self.ramps)})
         return VectorAssembler(inputCols=names, outputCol="ramps").transform(wide).drop(*names)
 
-    def _imputed(self, f: str) -> Column:
-        return F.coalesce(F.col(f), num(self.medians[f]))
-
     def contribution(self, feature: str) -> Column:
-        """Log-odds the feature adds relative to an average training row."""
-        total = num(0)
-        for (f, a, b), w, m in zip(self.ramps, self.coefficients, self.means):
-            if f == feature and w != 0.0:
-                ramp = F.least(F.greatest((self._imputed(f) - num(a)) / num(b - a), num(0)), num(1))
-                total = total + num(w) * (ramp - num(m))
-        return total
+        """Log-odds the feature adds relative to an average training row; missing values take the median."""
+        x = f"coalesce(`{feature}`, {_sql(self.medians[feature])})"
+        terms = [f"{_sql(w)} * ({self._ramp(x, a, b)} - {_sql(m)})"
+                 for (f, a, b), w, m in zip(self.ramps, self.coefficients, self.means) if f == feature and w != 0.0]
+        return F.expr(" + ".join(terms) or "0D")
 
     @property
     def base(self) -> float:
         return self.intercept + sum(w * m for w, m in zip(self.coefficients, self.means))
 
-    def probability(self) -> Column:
-        """Plain column arithmetic: no vector, no UDF."""
-        z = num(self.base)
-        for f in self.features:
-            z = z + self.contribution(f)
-        return num(1) / (num(1) + F.exp(-z))
-
     def predict(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("p", self.probability())
+        """Adds `log_odds` (contribution of each feature, in order) and `p`; plain column arithmetic."""
+        parts = df.withColumn("log_odds", F.array(*[self.contribution(f) for f in self.features]))
+        z = F.aggregate("log_odds", num(self.base), lambda a, x: a + x)
+        return parts.withColumn("p", num(1) / (num(1) + F.exp(-z)))
 
     def to_json(self) -> str:
         return json.dumps({"features": self.features, "medians": self.medians, "ramps": self.ramps, "coefficients": self.coefficients,
@@ -245,28 +242,25 @@ def batch_score(df: DataFrame, p: str = "p", landcover: str = "landcover") -> Da
 # ---------------------------------------------------------------- explanations
 
 def explain(df: DataFrame, model: MonotoneModel, top: int | None = None) -> DataFrame:
-    """Adds base_score and `contributions`: array of structs sorted by impact, rescaled to score points.
+    """Adds base_score and, from `log_odds` of the model, `contributions`: array of structs sorted by impact, rescaled to score points.
 
     Points add up to score - base_score; a sum below 1e-9 gives 0 points each.
     """
     label = lambda f: K.FEATURE_LABELS.get(f, ("Land cover: " + f[3:].title() if f.startswith("lc_") else f, "", ""))
-    items = F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(f).alias("feature"), F.lit(label(f)[0]).alias("label"), F.lit(label(f)[1]).alias("unit"),
-        F.lit(label(f)[2]).alias("source"), F.col(f).alias("value"), model.contribution(f).alias("log_odds"))
-        for i, f in enumerate(model.features)])
+    meta = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.lit(v).alias(n) for n, v in zip(("label", "unit", "source"), label(f))])
+                     for f in model.features])
     base_score = num(100) / (num(1) + F.exp(-num(model.base) / num(K.SCORE_TEMPERATURE)))
-    staged = df.withColumn("base_score", base_score).withColumn("_items", items)
-    total = F.aggregate("_items", num(0), lambda a, s: a + s["log_odds"])
-    staged = staged.withColumn("_total", total)
+    staged = df.withColumns({"base_score": base_score, "_total": F.aggregate("log_odds", num(0), lambda a, x: a + x),
+                             "_values": F.array(*model.features)})
     scale = F.when(F.abs("_total") > 1e-9, (F.col("model_score") - F.col("base_score")) / F.col("_total")).otherwise(num(0))
     staged = staged.withColumn("_scale", scale)
-    ordered = F.array_sort(F.transform("_items", lambda s: F.struct(
-        (-F.abs(s["log_odds"])).alias("order"), s["i"].alias("i"), s.alias("s"), (s["log_odds"] * F.col("_scale")).alias("points"))))
+    ordered = F.array_sort(F.transform("log_odds", lambda x, i: F.struct((-F.abs(x)).alias("order"), i.alias("i"), x.alias("x"))))
     if top:
         ordered = F.slice(ordered, 1, top)
     tidy = F.transform(ordered, lambda o: F.struct(
-        *[o["s"][n].alias(n) for n in ("feature", "label", "unit", "source", "value", "log_odds")], o["points"].alias("points")))
-    return staged.withColumn("contributions", tidy).drop("_items", "_total", "_scale")
+        *[F.get(meta, o["i"])[n].alias(n) for n in ("feature", "label", "unit", "source")], F.get("_values", o["i"]).alias("value"),
+        o["x"].alias("log_odds"), (o["x"] * F.col("_scale")).alias("points")))
+    return staged.withColumn("contributions", tidy).drop("_total", "_values", "_scale")
 
 
 # ---------------------------------------------------------------- bundles

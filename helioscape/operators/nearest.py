@@ -4,7 +4,7 @@ Targets are placed in cells that get finer (by 4 per axis) until no cell holds m
 so a clump of targets is split instead of becoming one hot bucket.  Query points are grouped by their own
 cell; for each such cell the tree of target cells is descended one level at a time, keeping only cells
 that can still hold a nearest target (lower bound <= best upper bound).  Points then meet just those
-targets.  The number of rows per query cell is bounded by the leaf size, whatever the data.
+targets.  The list of a query cell is bounded by the leaf size, whatever the data.
 """
 import math
 from collections.abc import Callable
@@ -16,6 +16,7 @@ from ..functions.nulls import num
 from .spark_support import stored
 
 STEP = 4
+LEAF = 6
 MAX_LEVEL = 12
 SLACK = 1e-9
 
@@ -104,38 +105,46 @@ class _Index:
 
 
 def nearest(points: DataFrame, targets: DataFrame, dims: list[str], point_id: str, target_cols: list[str],
-            distance2: Callable[[], Column] | None = None, box: tuple[list[str], list[str]] | None = None,
-            leaf: int = 32, digits: int = 9) -> DataFrame:
+            distance2: Callable[[Callable[[str], Column]], Column] | None = None, box: tuple[list[str], list[str]] | None = None,
+            leaf: int = LEAF, digits: int = 9) -> DataFrame:
     """(point_id, *target_cols, distance) of the nearest target; ties go to the smallest target_cols.
 
     `points` has point_id and `dims`; `targets` has `dims` and target_cols.  Targets with an extent pass the
-    columns of their box and `distance2`, the exact squared distance from point columns (`dims`) and target
-    columns (prefixed with `t_`).
+    columns of their box and `distance2(t)`, the exact squared distance between point columns and t(name).
+    Each query cell carries the short list of targets that can win there, so a point is moved once and
+    compared inside its row.
     """
     lo, hi = box or (dims, dims)
+    if box is None:
+        # of several targets at one place only the smallest can win
+        targets = targets.groupBy(*dims).agg(*[F.min(F.struct(*target_cols)).alias("_t")] if target_cols else [F.count("*").alias("_c")]) \
+            .select(*dims, *[F.col("_t")[c].alias(c) for c in target_cols])
     index = _Index(targets, dims, lo, hi, leaf)
     q = [f"q{i}" for i in range(len(dims))]
     asked = points.select(point_id, *dims, *[c.alias(k) for c, k in zip(index.cell_of(index.level), q)])
     pairs = index.candidates(asked.select(*q).distinct())
-    listed = pairs.join(index.targets_by_cell(), index.cells).drop(*index.cells)
-    met = asked.join(listed, q)
-    if distance2 is None:
-        d2 = num(0)
-        for d in dims:
-            delta = F.col(d) - F.col(f"t_{d}")
-            d2 = d2 + delta * delta
-    else:
-        d2 = distance2()
-    scored = met.select(point_id, F.round(F.sqrt(d2), digits).alias("distance"), *[F.col(f"t_{c}").alias(c) for c in target_cols])
-    if not target_cols:
-        return scored.groupBy(point_id).agg(F.min("distance").alias("distance"))
-    best = scored.groupBy(point_id).agg(F.min(F.struct("distance", *target_cols)).alias("_hit"))
-    return best.select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], F.col("_hit")["distance"].alias("distance"))
+    t_columns = [c for c in index.targets.columns]
+    listed = pairs.join(index.targets_by_cell(), index.cells).groupBy(*q).agg(
+        F.collect_list(F.struct(*[F.col(f"t_{c}").alias(c) for c in t_columns])).alias("_list"))
+    scale = float(10 ** digits)
+
+    def hit(t):
+        if distance2 is None:
+            d2 = num(0)
+            for d in dims:
+                delta = F.col(d) - t[d]
+                d2 = d2 + delta * delta
+        else:
+            d2 = distance2(lambda name: t[name])
+        return F.struct(F.rint(F.sqrt(d2) * num(scale)).alias("d"), *[t[c].alias(c) for c in target_cols])
+
+    met = asked.join(listed, q).select(point_id, F.array_min(F.transform("_list", hit)).alias("_hit"))
+    return met.select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], (F.col("_hit")["d"] / num(scale)).alias("distance"))
 
 
 def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, target_cols: list[str],
                       lat: str = "lat", lon: str = "lon", tlat: str = "lat", tlon: str = "lon",
-                      leaf: int = 32) -> DataFrame:
+                      leaf: int = LEAF) -> DataFrame:
     """Great-circle nearest target and its distance in km (valid across dateline and poles)."""
     dims = ["ux", "uy", "uz"]
     p = points.select(point_id, *[c.alias(d) for c, d in zip(unit_xyz(F.col(lat), F.col(lon)), dims)])
@@ -145,15 +154,14 @@ def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, targ
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, target_cols: list[str],
-                    x: str = "x", y: str = "y", leaf: int = 32) -> DataFrame:
+                    x: str = "x", y: str = "y", leaf: int = LEAF) -> DataFrame:
     """Planar distance to the nearest segment (x1, y1, x2, y2)."""
     p = points.select(point_id, F.col(x).alias("cx"), F.col(y).alias("cy"))
     s = segments.select("x1", "y1", "x2", "y2", *target_cols).withColumns({
         "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2,
         "xa": F.least("x1", "x2"), "xb": F.greatest("x1", "x2"), "ya": F.least("y1", "y2"), "yb": F.greatest("y1", "y2")})
     return nearest(p, s, ["cx", "cy"], point_id, target_cols, box=(["xa", "ya"], ["xb", "yb"]), leaf=leaf, digits=6,
-                   distance2=lambda: segment_distance2(F.col("cx"), F.col("cy"), F.col("t_x1"), F.col("t_y1"),
-                                                       F.col("t_x2"), F.col("t_y2")))
+                   distance2=lambda t: segment_distance2(F.col("cx"), F.col("cy"), t("x1"), t("y1"), t("x2"), t("y2")))
 
 
 def split_segments(segments: DataFrame, step: float) -> DataFrame:

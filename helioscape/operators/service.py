@@ -76,7 +76,7 @@ def predict_batch(requests: DataFrame, features: DataFrame, physical: ML.Monoton
     design = global_design(base.withColumn("raw", raw).withColumn("ahp", global_overlay()), [*keep, "raw", "ahp", "landcover"], "current")
     scored = ML.batch_score(physical.predict(design))
     explained = ML.explain(scored, physical, top).withColumnsRenamed({"contributions": "why", "base_score": "why_base"})
-    dev = development.predict(explained.withColumnRenamed("model_score", "physical_score")).withColumn("model_score", F.col("p") * 100)
+    dev = development.predict(explained.withColumnRenamed("model_score", "physical_score").drop("log_odds", "p")).withColumn("model_score", F.col("p") * 100)
     dev = ML.explain(dev, development, 6).withColumnsRenamed({"contributions": "development_why", "model_score": "development"})
     energy = FT.energy(F.col("raw.ghi"), F.col("area_m2"), F.col("efficiency"), F.col("performance_ratio"))
     display = F.struct(*[F.col(f"raw.{c}").alias(c) for c in RAW if c not in ("landcover", "worldcover")],
@@ -153,8 +153,8 @@ def sanity_table(sites: DataFrame, models: dict[str, ML.MonotoneModel]) -> DataF
     design = drop_human(global_design(sites, ["site", "expected", "feature_km", "landcover"], "current"))
     out = design.withColumn("excluded", FT.exclusion_reason(F.col("landcover"), F.col("slope")))
     for name, model in models.items():
-        p = model.probability()
-        out = out.withColumn(name, F.bround(FT.temper(p) if name == "final" else p * 100, 1))
+        p = F.col("p")
+        out = model.predict(out).withColumn(name, F.bround(FT.temper(p) if name == "final" else p * 100, 1)).drop("p", "log_odds")
     final = F.when(F.col("excluded").isNull(), F.col("final")).otherwise(num(0))
     out = out.withColumn("final_excluded", final)
     return out.select("site", "expected", F.bround("feature_km", 1).alias("feature_km"), F.bround("ghi", 2).alias("ghi"),

@@ -212,7 +212,7 @@ def explain_given_weights(spark, sf):
     model = ML.MonotoneModel()
     model.features, model.medians = ["ghi", "cloud_cover"], {"ghi": 0.0, "cloud_cover": 0.0}
     model.ramps, model.coefficients, model.intercept = [("ghi", 2.5, 6.5), ("cloud_cover", 0.0, 100.0)], [2.0, -1.5], 0.3
-    row = s.agg(*[F.avg(model._ramp(*r)).alias(f"m{i}") for i, r in enumerate(model.ramps)]).first()
+    row = s.agg(*[F.avg(F.expr(model._ramp(*r))).alias(f"m{i}") for i, r in enumerate(model.ramps)]).first()
     model.means = [row["m0"], row["m1"]]
     e = ML.explain(model.predict(s).withColumn("model_score", ML.temper(F.col("p"))), model)
     points = F.map_from_entries(F.transform("contributions", lambda c: F.struct(c["feature"], c["points"])))
@@ -231,7 +231,7 @@ def top_contributions(spark, sf):
 @query("mean_abs_contribution")
 def mean_abs_contribution(spark, sf):
     model, s = scored_sites(spark, sf)
-    parts = s.select(*[model.contribution(f).alias(f) for f in model.features])
+    parts = s.select(*[F.col("log_odds")[i].alias(f) for i, f in enumerate(model.features)])
     return PR.mean_abs_contribution(parts, model.features).orderBy(F.desc("mean_abs"), "feature").select("feature", R("mean_abs").alias("mean_abs"))
 
 

@@ -43,7 +43,7 @@ def once_per_day(stream: DataFrame, key: str, request_id: str, ttl_s: int = DAY_
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+        rows = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "request_id"])
         anchor = state.get[0] if state.exists else None
         hits = []
         for t in rows["ts"].astype("int64") // 1_000:
