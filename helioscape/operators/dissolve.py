@@ -12,9 +12,17 @@ def close_pairs(edges: DataFrame, gap: float) -> DataFrame:
 
     Edges are cut into pieces no longer than the gap and placed in cells of 2 x gap by midpoint; pieces
     within the gap have midpoints within 2 x gap, so they share a cell or touch neighbouring cells.
-    Identical pieces of one polygon are removed first.
+    Pieces that coincide (copies of a polygon, shared borders) are one geometry: its polygons are linked to
+    the smallest of them, and only distinct geometries are compared.
     """
-    pieces = split_segments(edges.select("poly", "x1", "y1", "x2", "y2"), gap).distinct()
+    ends = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    a, b = F.least(*ends), F.greatest(*ends)
+    forward = edges.select("poly", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    every = split_segments(forward, gap)
+    geometry = ["x1", "y1", "x2", "y2"]
+    pieces = every.groupBy(*geometry).agg(F.min("poly").alias("poly"))
+    copies = every.join(pieces.withColumnRenamed("poly", "first"), geometry).where("first < poly") \
+        .select(F.col("first").alias("a"), F.col("poly").alias("b")).distinct()
     side = num(2 * gap)
     cell = pieces.withColumns({"i": F.floor((F.col("x1") + F.col("x2")) / 2 / side).cast("bigint"),
                                "j": F.floor((F.col("y1") + F.col("y2")) / 2 / side).cast("bigint")})
@@ -34,7 +42,8 @@ def close_pairs(edges: DataFrame, gap: float) -> DataFrame:
     side_of = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
     crossing = (side_of(ax, ay, bx, by, cx, cy) * side_of(ax, ay, bx, by, dx, dy) < 0) & \
         (side_of(cx, cy, dx, dy, ax, ay) * side_of(cx, cy, dx, dy, bx, by) < 0)
-    return met.where(crossing | (d2 <= num(gap * gap))).select(F.col("poly").alias("a"), F.col("poly_b").alias("b")).distinct()
+    close = met.where(crossing | (d2 <= num(gap * gap))).select(F.col("poly").alias("a"), F.col("poly_b").alias("b"))
+    return close.unionByName(copies).distinct()
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -91,9 +91,11 @@ def test_dissolve_chains_and_gaps(spark):
     rows += square(20, 0.0, 300.0, 100.0) + square(21, 151.0, 300.0, 100.0)  # 51 m apart: two sites
     rows += square(30, 5000.0, 0.0, 200.0) + square(31, 5050.0, 50.0, 200.0)  # overlapping
     rows += square(40, 9000.0, 0.0, 20.0)  # too small
+    for i in range(60, 90):  # copies of one footprint
+        rows += square(i, 12_000.0, 0.0, 100.0)
     df = spark.createDataFrame(rows, "poly long, role string, ring int, x1 double, y1 double, x2 double, y2 double")
     got = {r["poly"]: (r["site"], r["site_area"]) for r in D.dissolve_sites(df, 50.0, 5000.0).collect()}
-    assert {p: s for p, (s, _) in got.items()} == {**{i: 0 for i in range(8)}, 20: 20, 21: 21, 30: 30, 31: 30}
+    assert {p: s for p, (s, _) in got.items()} == {**{i: 0 for i in range(8)}, 20: 20, 21: 21, 30: 30, 31: 30, **{i: 60 for i in range(60, 90)}}
     assert got[0][1] == 80_000 and got[31][1] == 80_000
 
 
