@@ -8,6 +8,7 @@ targets.  The list of a query cell is bounded by the leaf size, whatever the dat
 """
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -21,9 +22,13 @@ MAX_LEVEL = 12
 SLACK = 1e-9
 
 
+def _lit(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
 def _cell(dims: list[str], origin: list[float], width: float, level: int) -> list[Column]:
-    scale = float(STEP ** level)
-    return [F.floor((F.col(d) - num(o)) / num(width) * num(scale)).cast("bigint") for d, o in zip(dims, origin)]
+    scale = _lit(STEP ** level)
+    return [F.expr(f"bigint(floor((`{d}` - {_lit(o)}) / {_lit(width)} * {scale}))") for d, o in zip(dims, origin)]
 
 
 def _boxes(dims: list[str], lo: list[str], hi: list[str]) -> list[Column]:
@@ -78,7 +83,7 @@ class _Index:
         q, cells, m = [f"q{i}" for i in axes], self.cells, [f"m{i}" for i in axes]
         leaf_width = self.width / STEP ** self.level
         half_diagonal = leaf_width * math.sqrt(len(self.dims)) / 2
-        found = queries.withColumns({m[i]: num(self.origin[i]) + (F.col(q[i]) + num(0.5)) * num(leaf_width) for i in axes})
+        found = queries.withColumns({m[i]: F.expr(f"{_lit(self.origin[i])} + ({q[i]} + 0.5D) * {_lit(leaf_width)}") for i in axes})
         # the targets span at most STEP + 1 cells per axis on level 1: a fixed fan-out starts the descent
         first = F.array(*[F.lit(i).cast("bigint") for i in range(STEP + 1)])
         for c in cells:
@@ -92,14 +97,12 @@ class _Index:
                 parent = [f"u{i}" for i in axes]
                 children = boxes.withColumns({u: F.floor(F.col(c) / STEP).cast("bigint") for u, c in zip(parent, cells)})
                 paired = found.select(*q, *m, *[F.col(c).alias(u) for u, c in zip(parent, cells)]).join(children, parent)
-            near, far = num(0), num(0)
-            for i in axes:
-                below, above = F.col(f"b{i}") - F.col(m[i]), F.col(m[i]) - F.col(f"e{i}")
-                gap, reach = F.greatest(below, above, num(0)), F.greatest(-below, -above)
-                near, far = near + gap * gap, far + reach * reach
-            bounds = paired.withColumns({"_near": F.sqrt(near) - num(half_diagonal), "_far": F.sqrt(far) + num(half_diagonal)})
+            near = " + ".join(f"pow(greatest(b{i} - m{i}, m{i} - e{i}, 0D), 2)" for i in axes)
+            far = " + ".join(f"pow(greatest(m{i} - b{i}, e{i} - m{i}), 2)" for i in axes)
+            bounds = paired.withColumns({"_near": F.expr(f"sqrt({near}) - {_lit(half_diagonal)}"),
+                                         "_far": F.expr(f"sqrt({far}) + {_lit(half_diagonal)}")})
             best = F.min("_far").over(W.partitionBy(*q))
-            found = bounds.withColumn("_best", best).where(F.col("_near") <= F.col("_best") * (1 + SLACK) + SLACK * self.width) \
+            found = bounds.withColumn("_best", best).where(f"_near <= _best * {_lit(1 + SLACK)} + {_lit(SLACK * self.width)}") \
                 .select(*q, *m, *cells)
         return found.select(*q, *cells)
 
@@ -173,3 +176,21 @@ def split_segments(segments: DataFrame, step: float) -> DataFrame:
     return cut.select(*[c for c in segments.columns if c not in ("x1", "y1", "x2", "y2")],
                       (F.col("x1") + a * dx).alias("x1"), (F.col("y1") + a * dy).alias("y1"),
                       (F.col("x1") + b * dx).alias("x2"), (F.col("y1") + b * dy).alias("y2"))
+
+
+def distance_index(points: DataFrame, layers: dict[str, DataFrame], point_id: str) -> DataFrame:
+    """Kilometres from each point to the nearest vertex of each layer (x, y in metres), one column per layer.
+
+    The layers' indexes are independent, so their jobs are submitted together.
+    """
+    def one(item):
+        name, vertices = item
+        hit = nearest(points, vertices.select("x", "y"), ["x", "y"], point_id, [], digits=6)
+        return hit.select(point_id, (F.col("distance") / 1000).alias(name))
+
+    with ThreadPoolExecutor(max_workers=len(layers)) as pool:
+        hits = list(pool.map(one, layers.items()))
+    out = points.select(point_id)
+    for hit in hits:
+        out = out.join(hit, point_id, "left")
+    return out

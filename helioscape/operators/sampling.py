@@ -12,7 +12,7 @@ from ..functions.nulls import num
 from .nearest import nearest_on_sphere, nearest_segment, split_segments
 from .ordered import top_n
 from .polygons import containing_polygons, keep_inside, polygon_cells
-from .spark_support import hash_fold, uniform
+from .spark_support import hash_fold, stored, uniform
 
 
 def weighted_top(df: DataFrame, group: list[str], id_col: str, weight: Column, n: int) -> DataFrame:
@@ -56,7 +56,8 @@ def hard_candidates(positives: DataFrame, id_col: str, per_point: int) -> DataFr
 
 def accept(candidates: DataFrame, id_col: str, land: DataFrame, cell: float, plants: DataFrame) -> DataFrame:
     """Candidates on land and far from every plant's surroundings."""
-    return far_from_plants(keep_inside(candidates, land, cell, id_col), plants, id_col)
+    on_land = stored(keep_inside(candidates, land, cell, id_col), "on_land")  # read three times below
+    return far_from_plants(on_land, plants, id_col)
 
 
 def until_enough(draw, wanted: int, batch: int, max_rounds: int = 6) -> DataFrame:

@@ -80,7 +80,8 @@ def nearest_polygon(spark, sf):
     points = view(spark, sf, "sites").select("site_id", "lat", "lon")
     borders = view(spark, sf, "borders")
     inside = P.containing_polygons(points, P.polygon_cells(borders, BORDER_CELL), BORDER_CELL, "site_id")
-    missed = points.join(inside, "site_id", "left_anti").select("site_id", merc_x(F.col("lon")).alias("x"), merc_y(F.col("lat")).alias("y"))
+    missed = stored(points.join(inside, "site_id", "left_anti").select(
+        "site_id", merc_x(F.col("lon")).alias("x"), merc_y(F.col("lat")).alias("y")), "missed")
     flat = borders.select("poly", merc_x(F.col("x1")).alias("x1"), merc_y(F.col("y1")).alias("y1"),
                           merc_x(F.col("x2")).alias("x2"), merc_y(F.col("y2")).alias("y2"))
     hit = NN.nearest_segment(missed, NN.split_segments(flat, 50_000.0), "site_id", ["poly"])
@@ -173,17 +174,6 @@ def densify_points(spark, sf):
     return densified(ways(spark, sf), 5000.0).groupBy("way_id").agg(F.count("*").alias("points"), R(F.sum("x"), 3).alias("sx"), R(F.sum("y"), 3).alias("sy"))
 
 
-def distance_index(points, layers: dict, point_id: str):
-    """Kilometres to the nearest vertex of each layer (x, y in metres)."""
-    out = points.select(point_id)
-    for name, vertices in layers.items():
-        # vertices that coincide are one target
-        t = vertices.select("x", "y").distinct()
-        hit = NN.nearest(points, t, ["x", "y"], point_id, [], digits=6)
-        out = out.join(hit.select(point_id, (F.col("distance") / 1000).alias(name)), point_id, "left")
-    return out
-
-
 @query("dist_infrastructure", views="ways plants", oracle="""
 with p as (select plant_id, (plant_id*7103 % 100000)*1e0 as x, (plant_id*6007 % 99991)*1e0 as y from plants),
 d as (select plant_id, sqrt(min(case when way_id % 2 = 0 then pow(w.x-p.x,2)+pow(w.y-p.y,2) end)) as road, sqrt(min(case when way_id % 2 = 1 then pow(w.x-p.x,2)+pow(w.y-p.y,2) end)) as line,
@@ -192,7 +182,7 @@ select plant_id, round(road/1000, 6) as dist_road_km, round(line/1000, 6) as dis
 def dist_infrastructure(spark, sf):
     w = stored(ways(spark, sf), "ways")  # read by three layers
     pts = view(spark, sf, "plants").selectExpr("plant_id", "(plant_id*7103 % 100000)*1e0 as x", "(plant_id*6007 % 99991)*1e0 as y")
-    out = distance_index(pts, {"dist_road_km": w.where("way_id % 2 = 0"), "dist_powerline_km": w.where("way_id % 2 = 1"),
+    out = NN.distance_index(pts, {"dist_road_km": w.where("way_id % 2 = 0"), "dist_powerline_km": w.where("way_id % 2 = 1"),
                                "dist_substation_km": w.where("seq = 1")}, "plant_id")
     return out.select("plant_id", *[R(c, 6).alias(c) for c in out.columns[1:]])
 
