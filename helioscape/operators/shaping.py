@@ -18,6 +18,13 @@ def scene_filter(obs: DataFrame, start: str, end: str, max_cloud: float) -> Data
                      & (F.col("scene_cloud_pct") < num(max_cloud)))
 
 
+def admin_filter(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows whose administrative names equal the given ones."""
+    for column, name in names.items():
+        df = df.where(F.col(column) == name)
+    return df
+
+
 def in_list(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in a table of wanted ids."""
     return df.join(ids.select(key).distinct(), key, "left_semi")

@@ -8,10 +8,10 @@ from .views import table, view
 
 
 @query("link_quality", views="obs", oracle="""
-select obs_id, pixel_id, clear_score, round(red_dn, 4) as red from obs where obs_id % 5 <> 0""")
+select obs_id, pixel_id, clear_score, round(red_dn, 4) as red from obs where scene_cloud_pct < 80""")
 def link_quality(spark, sf):
     obs = view(spark, sf, "obs")
-    scores = obs.where("obs_id % 5 <> 0").select("obs_id", "pixel_id", "clear_score")
+    scores = obs.where("scene_cloud_pct < 80").select("obs_id", "pixel_id", "clear_score")
     return C.link_quality(obs.drop("clear_score"), scores, ["obs_id", "pixel_id"]).select(
         "obs_id", "pixel_id", "clear_score", R("red_dn", 4).alias("red"))
 
@@ -84,9 +84,9 @@ def climatology_mean(spark, sf):
 
 
 @query("lights_median", views="obs", oracle="""
-select pixel_id, round(coalesce(greatest(median(case when obs_id % 2 = 0 then clear_score - 0.5e0 end), 0), 0), 9) + 0e0 as lights from obs group by pixel_id""")
+select pixel_id, round(coalesce(greatest(median(case when qa < 16 then clear_score - 0.5e0 end), 0), 0), 9) + 0e0 as lights from obs group by pixel_id""")
 def lights_median(spark, sf):
-    obs = view(spark, sf, "obs").selectExpr("pixel_id", "case when obs_id % 2 = 0 then clear_score - 5e-1 end as rad")
+    obs = view(spark, sf, "obs").selectExpr("pixel_id", "case when qa < 16 then clear_score - 5e-1 end as rad")
     return C.lights_median(obs, ["pixel_id"], "rad").select("pixel_id", (R("lights") + 0.0).alias("lights"))
 
 

@@ -39,7 +39,7 @@ def features_of(requests, spark, sf):
     cells = grid(spark, sf)
     exact = cells.withColumn("place", place)
     none = exact.where("false").select("place", *SV.RAW)
-    found = SV.resolve_sources(places, exact.where("cell_id % 2 = 0").select("place", *SV.RAW), none, cells, "place", "cell_id", SV.RAW)
+    found = SV.resolve_sources(places, exact.where("landcover is not null").select("place", *SV.RAW), none, cells, "place", "cell_id", SV.RAW)
     return keyed.select("request_id", "place").join(found, "place").drop("place")
 
 

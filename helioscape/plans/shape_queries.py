@@ -43,11 +43,11 @@ def scene_filter(spark, sf):
 
 
 @query("admin_filter", oracle="""
-select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_name = 'NATION_2'
-union all select n_nationkey, n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_name <> 'NATION_2' and n_nationkey >= 0""")
+select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' and c_mktsegment = 'MACHINERY'""")
 def admin_filter(spark, sf):
-    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
-    return both.where(F.col("r_name") == "ASIA").select("n_nationkey", "n_name")
+    areas = table(spark, sf, "nation").join(table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey"))
+    both = table(spark, sf, "customer").join(areas, F.expr("c_nationkey = n_nationkey"))
+    return shaping.admin_filter(both, {"r_name": "ASIA", "c_mktsegment": "MACHINERY"}).select("c_custkey", "n_name")
 
 
 @query("in_list", views="plants", oracle="""

@@ -41,13 +41,12 @@ def join_interior(spark, sf):
 
 @query("join_scores3", views="sites", oracle="""
 select s.site_id, s.ghi as suitability, d.cloud_cover as development, a.temperature as overlay from sites s
-left join (select site_id, cloud_cover from sites where site_id % 3 <> 0) d using (site_id) left join (select site_id, temperature from sites where site_id % 4 <> 0) a using (site_id)""")
+left join (select site_id, cloud_cover from sites where slope is not null) d using (site_id) left join (select site_id, temperature from sites where ndvi is not null) a using (site_id)""")
 def join_scores3(spark, sf):
     s = view(spark, sf, "sites")
     suit = s.select("site_id", F.col("ghi").alias("suitability"))
-    dev = s.where("site_id % 3 <> 0").select("site_id", F.col("cloud_cover").alias("development"))
-    over = s.where("site_id % 4 <> 0").select("site_id", F.col("temperature").alias("overlay"))
-    # one aggregate instead of two joins: the three score tables share their key and are unique on it
+    dev = s.where("slope is not null").select("site_id", F.col("cloud_cover").alias("development"))
+    over = s.where("ndvi is not null").select("site_id", F.col("temperature").alias("overlay"))
     return suit.join(dev, "site_id", "left").join(over, "site_id", "left")
 
 
@@ -201,11 +200,11 @@ def dissolve_sites(spark, sf):
 
 def shifted(footprints):
     """A copy of the footprints moved by 40 m, standing for the site polygons."""
-    return footprints.where("role = 'outer' and poly % 2 = 0").selectExpr("poly", "x1 + 4e1 as x1", "y1 + 1.3e1 as y1", "x2 + 4e1 as x2", "y2 + 1.3e1 as y2")
+    return footprints.where("role = 'outer' and kind = 'plant'").selectExpr("poly", "x1 + 4e1 as x1", "y1 + 1.3e1 as y1", "x2 + 4e1 as x2", "y2 + 1.3e1 as y2")
 
 
 @query("site_constituents", views="footprints", oracle="""
-with raw as (select poly, cx, cy, w from footprints group by poly, cx, cy, w), s as (select poly as site, cx + 4e1 as cx, cy + 1.3e1 as cy, w from raw where poly % 2 = 0),
+with raw as (select poly, kind, cx, cy, w from footprints group by poly, kind, cx, cy, w), s as (select poly as site, cx + 4e1 as cx, cy + 1.3e1 as cy, w from raw where kind = 'plant'),
 pair as (select site, r.poly, s.cx as sx, s.cy as sy, s.w as sw, r.cx, r.cy, r.w from s join raw r on abs(s.cx-r.cx) <= s.w+r.w and abs(s.cy-r.cy) <= s.w+r.w)
 select site, poly from pair where not (sx-sw > cx+w or cx-w > sx+sw or sy-sw > cy+w or cy-w > sy+sw)
  and cy-w <= sy + 0.9e0*sw - 0.1e0*(least(sx+sw, cx+w)*0 + greatest(sx-sw, cx-w) - sx)
@@ -240,37 +239,37 @@ def largest_sites(spark, sf):
 
 
 @query("dedupe_tiles", views="plants", oracle="""
-with t as (select plant_id, tile from plants, (values (0),(1),(2)) v(tile) where (plant_id + tile) % 3 <> 1 or tile = 0)
+with t as (select plant_id, tile from plants, (values (0),(1),(2)) v(tile) where plat > 10*tile - 10)
 select plant_id, min(tile) as tile from t group by plant_id""")
 def dedupe_tiles(spark, sf):
     tiles = view(spark, sf, "plants").select("plant_id", "plat", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("tile")) \
-        .where("(plant_id + tile) % 3 <> 1 or tile = 0")
+        .where("plat > 10*tile - 10")
     return first_per_key(tiles, ["plant_id"], ["tile"]).select("plant_id", "tile")
 
 
 @query("exact_or_nearest", views="sites plants", oracle=f"""
 with {NEAREST_PLANT}
-select s.site_id, coalesce(case when s.site_id % 3 = 0 then s.ghi*100 end, p.capacity_mw) as value,
- case when s.site_id % 3 = 0 then 0e0 else round(2*6371.0088e0*asin(d/2), 1) end as feature_km
+select s.site_id, coalesce(case when s.slope < 5 then s.ghi*100 end, p.capacity_mw) as value,
+ case when s.slope < 5 then 0e0 else round(2*6371.0088e0*asin(d/2), 1) end as feature_km
 from sites s join near using (site_id) join plants p using (plant_id)""")
 def exact_or_nearest(spark, sf):
     points = view(spark, sf, "sites").select("site_id", "lat", "lon")
-    exact = view(spark, sf, "sites").where("site_id % 3 = 0").select("site_id", (F.col("ghi") * 100).alias("value"))
+    exact = view(spark, sf, "sites").where("slope < 5").select("site_id", (F.col("ghi") * 100).alias("value"))
     cells = view(spark, sf, "plants").select("plant_id", F.col("plat").alias("lat"), F.col("plon").alias("lon"), F.col("capacity_mw").alias("value"))
     return exact_or_nearest_values(points, exact, cells, "site_id", "plant_id").select("site_id", "value", R("feature_km", 1).alias("feature_km"))
 
 
 @query("source_priority", views="sites plants", oracle=f"""
 with {NEAREST_PLANT}
-select s.site_id, case when s.site_id % 5 = 0 then 'cached' when s.site_id % 5 = 1 and slope is not null then 'live' else 'grid_estimate' end as source,
- case when s.site_id % 5 = 0 then s.ghi when s.site_id % 5 = 1 and slope is not null then s.ghi + 1 else p.capacity_mw end as ghi,
- case when s.site_id % 5 = 0 or (s.site_id % 5 = 1 and slope is not null) then null else round(2*6371.0088e0*asin(d/2), 1) end as cell_km
+select s.site_id, case when s.landcover = 16 then 'cached' when s.slope < 5 then 'live' else 'grid_estimate' end as source,
+ case when s.landcover = 16 then s.ghi when s.slope < 5 then s.ghi + 1 else p.capacity_mw end as ghi,
+ case when s.landcover = 16 or (s.slope < 5) then null else round(2*6371.0088e0*asin(d/2), 1) end as cell_km
 from sites s join near using (site_id) join plants p using (plant_id)
-where s.site_id % 5 = 0 or (s.site_id % 5 = 1 and slope is not null) or 2*6371.0088e0*asin(d/2) <= 60""")
+where s.landcover = 16 or (s.slope < 5) or 2*6371.0088e0*asin(d/2) <= 60""")
 def source_priority(spark, sf):
     s = view(spark, sf, "sites")
-    cached = s.where("site_id % 5 = 0").select("site_id", "ghi")
-    live = s.where("site_id % 5 = 1 and slope is not null").select("site_id", (F.col("ghi") + 1).alias("ghi"))
+    cached = s.where("landcover = 16").select("site_id", "ghi")
+    live = s.where("slope < 5").select("site_id", (F.col("ghi") + 1).alias("ghi"))
     cells = view(spark, sf, "plants").select("plant_id", F.col("plat").alias("lat"), F.col("plon").alias("lon"), F.col("capacity_mw").alias("ghi"))
     return resolve_sources(s.select("site_id", "lat", "lon"), cached, live, cells, "site_id", "plant_id", ["ghi"]).select(
         "site_id", "provenance.source", "ghi", R("provenance.cell_km", 1).alias("cell_km"))

@@ -58,10 +58,10 @@ def query_variants(spark, sf):
 
 @query("format_place_size", views="sites", oracle="""
 select site_id, concat(case when site_id % 9 = 0 then 'Multi-phase solar park' else concat(format('{:,}', site_id*37), ' MW solar park') end, ', ', region) as size,
- concat(printf('%.4f', abs(lat)), case when lat >= 0 then '° N, ' else '° S, ' end, printf('%.4f', abs(lon)), case when lon >= 0 then '° E' else '° W' end) as coord from sites where site_id > 0""")
+ concat(printf('%.4f', abs(lat)), case when lat >= 0 then '° N, ' else '° S, ' end, printf('%.4f', abs(lon)), case when lon >= 0 then '° E' else '° W' end) as coord from sites""")
 def format_place_size(spark, sf):
     cap = F.when(F.col("site_id") % 9 != 0, F.col("site_id") * 37)
-    return view(spark, sf, "sites").where("site_id > 0").select("site_id", TX.park_size_text(cap, F.col("region")).alias("size"),
+    return view(spark, sf, "sites").select("site_id", TX.park_size_text(cap, F.col("region")).alias("size"),
                                                                 TX.coordinate_text(F.col("lat"), F.col("lon")).alias("coord"))
 
 
