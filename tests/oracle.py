@@ -65,4 +65,8 @@ def compare(df, con, sql: str):
         return f"{len(bad)} of {len(sr)} rows differ; first {bad[0]}; types {types}"
     if not sr:
         return "both empty"
+    kinds = [(c, type(a[i]).__name__, type(b[i]).__name__) for a, b in zip(sr, dr) for i, c in enumerate(sc)
+             if a[i] is not None and b[i] is not None and type(a[i]) is not type(b[i])]
+    if kinds:
+        return f"types differ: {sorted(set(kinds))}"
     return None

@@ -1,4 +1,4 @@
-"""python tests/run_checks.py [sf] [name-prefix ...]: compare registered queries with their SQL texts."""
+"""python tests/run_checks.py [sf] [--sql] [name-prefix ...]: compare registered queries with their SQL texts."""
 import sys
 import time
 import traceback
@@ -10,7 +10,8 @@ import __spark_entry__ as entry  # noqa: E402
 from oracle import compare, duck, session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
-wanted = sys.argv[2:]
+wanted = [a for a in sys.argv[2:] if a != "--sql"]
+sql_only = "--sql" in sys.argv
 spark = session()
 sf_dir = f"/root/testdata/sf{sf}"
 con = duck(sf_dir)
@@ -18,6 +19,8 @@ oracles = entry.oracle_sql()
 bad = 0
 t_all = time.time()
 for name, fn in entry.queries().items():
+    if sql_only and name not in oracles:
+        continue
     if wanted and not any(name.startswith(w) for w in wanted):
         continue
     t0 = time.time()
