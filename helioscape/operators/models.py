@@ -106,7 +106,7 @@ class MonotoneModel:
     directions: dict | None = None
     ridge: float = 1e-3
     max_iter: int = 60
-    tolerance: float = 1e-4
+    tolerance: float = 1e-3
 
     def fit(self, train: DataFrame, features: list[str], label: str, weight: str | None = None) -> "MonotoneModel":
         signs = K.MONOTONE if self.directions is None else self.directions

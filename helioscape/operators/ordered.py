@@ -16,7 +16,7 @@ def split_points(df: DataFrame, column: str, parts: int | None = None) -> list[f
     if parts is None:
         parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fractions = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, max(2000, 20 * parts)).alias("q")).first()
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), fractions, max(2000, 4 * parts)).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 

@@ -1,4 +1,6 @@
 """Point predictions, comparisons, reports and their streaming forms."""
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -44,10 +46,14 @@ def features_of(requests, spark, sf):
 
 
 def models(spark, sf):
-    physical, _ = fitted_monotone(spark, sf)
-    clean = stored(DS.global_design(labelled(spark, sf), ["label"], "pre"), "clean")
-    development = ML.MonotoneModel(directions={}).fit(clean, DS.global_features(), "label")
-    return physical, development
+    def development():
+        clean = stored(DS.global_design(labelled(spark, sf), ["label"], "pre"), "clean")
+        return ML.MonotoneModel(directions={}).fit(clean, DS.global_features(), "label")
+
+    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent fits
+        dev = pool.submit(development)
+        physical, _ = fitted_monotone(spark, sf)
+        return physical, dev.result()
 
 
 def answered(requests, spark, sf, fitted):
