@@ -160,7 +160,12 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, targe
                     x: str = "x", y: str = "y", leaf: int = LEAF) -> DataFrame:
     """Planar distance to the nearest segment (x1, y1, x2, y2)."""
     p = points.select(point_id, F.col(x).alias("cx"), F.col(y).alias("cy"))
-    s = segments.select("x1", "y1", "x2", "y2", *target_cols).withColumns({
+    # copies of a segment, in either direction, are one target: only the smallest can win
+    ends = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    low, high = F.least(*ends), F.greatest(*ends)
+    once = segments.groupBy(low["x"].alias("x1"), low["y"].alias("y1"), high["x"].alias("x2"), high["y"].alias("y2")) \
+        .agg(F.min(F.struct(*target_cols)).alias("_t")).select("x1", "y1", "x2", "y2", *[F.col("_t")[c].alias(c) for c in target_cols])
+    s = once.withColumns({
         "cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2,
         "xa": F.least("x1", "x2"), "xb": F.greatest("x1", "x2"), "ya": F.least("y1", "y2"), "yb": F.greatest("y1", "y2")})
     return nearest(p, s, ["cx", "cy"], point_id, target_cols, box=(["xa", "ya"], ["xb", "yb"]), leaf=leaf, digits=6,

@@ -45,10 +45,13 @@ def segment_distance(p, a, b):
 def test_nearest_segment(spark):
     rnd = random.Random(6)
     segs = [(i, *[rnd.uniform(0, 1000) for _ in range(4)]) for i in range(60)]
+    segs += [(100 + i, *(segs[0][1:] if i % 2 else segs[0][3:] + segs[0][1:3])) for i in range(200)]  # copies, both directions
     pts = [(i, rnd.uniform(-500, 1500), rnd.uniform(-500, 1500)) for i in range(80)]
     hit = NN.nearest_segment(spark.createDataFrame(pts, "pid int, x double, y double"),
                              NN.split_segments(spark.createDataFrame(segs, "sid int, x1 double, y1 double, x2 double, y2 double"), 100.0), "pid", ["sid"], leaf=3)
-    got = {r["pid"]: r["distance"] for r in hit.collect()}
+    rows = hit.collect()
+    got = {r["pid"]: r["distance"] for r in rows}
+    assert len(rows) == 80 and all(r["sid"] < 100 for r in rows)
     for pid, x, y in pts:
         assert abs(got[pid] - min(segment_distance((x, y), s[1:3], s[3:5]) for s in segs)) < 1e-5
 
