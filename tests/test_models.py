@@ -97,3 +97,10 @@ def test_predictions_are_complete(spark, sf):
     assert all(r["score"] == 0.0 for r in rows if r["excluded"])
     assert {r["source"] for r in rows} <= {"cached", "live", "grid_estimate"}
     assert all(r["cell_km"] <= 60 for r in rows if r["source"] == "grid_estimate")
+
+
+def test_ramp_colours_decode_to_their_values(spark, sf):
+    """Eight-bit colours lose a little: the decoded value stays within a few steps of the clipped original."""
+    rows = Q["decode_ramp"](spark, sf).collect()
+    assert rows and all((r["z"] is None) == (r["value"] is None) for r in rows)
+    assert max(abs(min(max(r["z"], 900.0), 2100.0) - r["value"]) for r in rows if r["z"] is not None) < 15.0
