@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a private one only where the setting is absent (tests)."""
+    """Folder named by spark.checkpoint.dir. Only a local master may go without: driver and tasks then share a private one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor share")
     global _fallback
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="helioscape-")
@@ -24,11 +26,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages survive executor loss without recomputing the lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cuts the lineage by a written table: computed once, and later stages survive executor loss."""
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 import duckdb
 from pyspark.sql import SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations"]
 
 
 def session(cores: str = "8") -> SparkSession:
