@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join
+from . import decontaminate, fingerprints, jaccard_join, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,68 @@ from reach r left join sizes s on s.doc_id = r.doc group by r.doc
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_join.similar_sets(table(spark, sf_dir, "documents"), "doc_id", "text", width=5, threshold=0.75)
     return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op3_url_filters", rf"""
+with parts as (
+  select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as p from pages),
+split as (
+  select page_id, case when p = 0 then '' else substr(url, p + 3) end as rest from parts),
+cut as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from split),
+rules(rule, host, path, verdict) as (values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fits as (
+  select c.page_id, c.host, c.path, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as said
+  from cut c left join rules r on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path)
+  group by all),
+listed as (
+  select distinct regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as canonical from cut
+  where regexp_matches(host, '(^|\.)(cheap-pills|spam-farm)\.')),
+judged as (
+  select f.*, case when host = '' then null else regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') end as canonical
+  from fits f)
+select page_id, host, path, rule, coalesce(said, case when l.canonical is null then 'allow' else 'block' end) as verdict,
+       l.canonical is not null as listed
+from judged j left join listed l on l.canonical = j.canonical
+""")
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of("url").rlike(r"(^|\.)(cheap-pills|spam-farm)\."))
+    judged = url_filter.judge_urls(pages, "url", listed, "url", url_filter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+@query("op5_benchmark_decontamination", rf"""
+with doc as (
+  select doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item as (
+  select item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wins as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as s
+  from (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from item where len(w) > 0)),
+runs as (
+  select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as s
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from doc, (select distinct size from wins) where len(w) >= size)),
+met as (select doc_id, i, r.size, item_id from runs r join wins using (size, s)),
+hit as (select doc_id, count(distinct word) as n_hit from (select doc_id, unnest(range(i, i + size)) as word from met) group by 1),
+found as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+  from met group by 1)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc left join hit using (doc_id) left join found using (doc_id)
+""")
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                     "doc_id", "text", "item_id", "text", width=10)
+    hit = F.size("hit_words").cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query("op8_document_fingerprints")
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
