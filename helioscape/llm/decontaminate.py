@@ -12,17 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spark_support import stored
+from .textkit import LETTERS_ONLY
 
 #: Letters of test items in one automaton; larger sets of items are scanned in several blocks.
 BLOCK_CHARS = 200_000
 
-#: Bytes of words: lower-cased ASCII letters, digits and everything beyond ASCII; the rest separates words.
-_FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normalised_words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(LETTERS_ONLY).split() if text else []
 
 
 def windows_of(items: list[tuple[str, str | None]], width: int) -> dict[bytes, set[str]]:

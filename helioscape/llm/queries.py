@@ -5,11 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, url_filter
+from . import decontaminate, fingerprints, html_extract, jaccard_join, pieces, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Vocabulary of the piece queries; any SentencePiece model file that the driver can read.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,6 +83,19 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel | None:
+    """Grades 0 poor, 1 toxic, 2 good from the two labels."""
+    graded = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    return quality.fit_ratings(docs, "doc_id", "text", graded, "doc_id", "grade")
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.grade_texts(docs.select("doc_id", "text"), "text", model).drop("text")
+
+
 @query("op5_benchmark_decontamination", rf"""
 with doc as (
   select doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -112,3 +128,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.read_vocabulary(PIECE_MODEL)
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, check=True)
+    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")

@@ -11,6 +11,8 @@ MIX2 = np.uint64(0x94D049BB133111EB)
 #: Odd multipliers: of the position of a byte in its word, of the position of a word in its shingle.
 BYTE_STEP = 0xD1342543DE82EF95
 WORD_STEP = 0x9E3779B97F4A7C15
+#: Fold of bytes that leaves lower-cased ASCII letters, digits and all letters beyond ASCII; the rest becomes a blank.
+LETTERS_ONLY = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -35,23 +37,25 @@ def powers(step: int, count: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words per text), words in order.
+def word_hashes(texts: list[str | None], fold: bytes | None = None, begin: int = 0) -> tuple[np.ndarray, ...]:
+    """(hash of every word, number of words per text), words in order; with `begin` also the hash of every word's first bytes.
 
     A-Z is lower-cased and words are runs without ASCII white space (\\x20, \\x09-\\x0D); null has no words.
+    A `fold` table for the bytes of UTF-8 takes the place of lower-casing.
     The hash of a word is the sum of its byte values times powers of an odd number, mixed with its length.
     """
-    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    parts = [p.translate(fold) for p in parts] if fold else [p.lower() for p in parts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     if not len(parts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return (np.empty(0, np.uint64), np.empty(0, np.int64), *[np.empty(0, np.uint64)] * bool(begin))
     space = _IS_SPACE[raw]
     before = np.concatenate(([True], space[:-1]))
     start = np.flatnonzero(before & ~space)
     end = np.flatnonzero(space & ~before)
     if not len(start):
-        return np.empty(0, np.uint64), np.zeros(len(parts), np.int64)
+        return (np.empty(0, np.uint64), np.zeros(len(parts), np.int64), *[np.empty(0, np.uint64)] * bool(begin))
     length = end - start
     total = np.concatenate(([0], np.cumsum(length)))
     # position of each byte in its word, so that the sum needs no division by a power
@@ -62,7 +66,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     hashed = mix(np.add.reduceat(value, total[:-1]) + length.astype(np.uint64) * np.uint64(WORD_STEP))
     text_end = np.cumsum(sizes)
     counts = np.diff(np.concatenate(([0], np.searchsorted(start, text_end))))
-    return hashed, counts
+    if not begin:
+        return hashed, counts
+    value[place >= begin] = 0
+    return hashed, counts, mix(np.add.reduceat(value, total[:-1]) + np.uint64(begin))
 
 
 def shingle_sets(hashed: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
