@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, html_extract, jaccard_join, pieces, quality, url_filter
+from . import decontaminate, fingerprints, html_extract, jaccard_join, pieces, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,26 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def secret_model(docs: DataFrame) -> secrets.SecretModel:
+    """Trained on findings of the rules and other candidates in the texts, and on made token shapes."""
+    return secrets.fit(secrets.labelled_findings(docs, "text") + secrets.made_findings())
+
+
+def joined_spans(spans: str) -> Column:
+    """kind:start:end of all spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op7_secret_scans")
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, "doc_id", "text", secret_model(docs))
+    base = found.withColumn("base", F.filter("spans", lambda s: s["kind"] != "model"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return base.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+                       F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
 @query("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"), "doc_id", "text")
