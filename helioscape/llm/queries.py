@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, html_extract, jaccard_join, pieces, quality, secrets, url_filter
+from . import decontaminate, fingerprints, html_extract, jaccard_join, licenses, pieces, pii, quality, secrets, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def joined_spans(spans: str) -> Column:
+    """kind:start:end of all spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, "doc_id", "text", pii.train_model(docs, "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS],
+                        F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
 @query("op3_url_filters", rf"""
 with parts as (
   select page_id, coalesce(url, '') as url, strpos(coalesce(url, ''), '://') as p from pages),
@@ -125,16 +139,32 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def _licence_sql() -> str:
+    """Counts of every sentence that is a rule by itself in the words of a text."""
+    alone = [(name, licenses.SENTENCES[steps[0]]) for name, steps in licenses.RULES if len(steps) == 1]
+    values = ", ".join(f"('{name}', ' {words} ')" for name, words in alone)
+    return f"""
+with words as (select doc_id, ' ' || regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '  ', 'g') || ' ' as w from documents),
+plain as (select doc_id, regexp_replace(w, ' +', ' ', 'g') as w from words),
+rules(license, words) as (values {values}),
+met as (select doc_id, license, (length(w) - length(replace(w, words, ' '))) // (length(words) - 1) as n
+        from plain, rules where contains(w, words))
+select d.doc_id, coalesce(sum(n), 0)::bigint as n_licenses, coalesce(string_agg(distinct license, ',' order by license), '') as licenses
+from documents d left join met on met.doc_id = d.doc_id group by d.doc_id"""
+
+
+@query("op6_license_scans", _licence_sql())
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.size("found").cast("long").alias("n_licenses"),
+                        F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"))
+
+
 def secret_model(docs: DataFrame) -> secrets.SecretModel:
     """Trained on findings of the rules and other candidates in the texts, and on made token shapes."""
     return secrets.fit(secrets.labelled_findings(docs, "text") + secrets.made_findings())
 
 
-def joined_spans(spans: str) -> Column:
-    """kind:start:end of all spans, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
 @query("op7_secret_scans")
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
