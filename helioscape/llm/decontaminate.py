@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spark_support import stored
@@ -62,10 +63,7 @@ def _word_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 def _scan(items, digest: str, width: int, last: bool):
     """Tasks: adds the hits of one block of items (a broadcast list) to those of the blocks before."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if digest not in _machines:
-            _machines.clear()
-            _machines[digest] = _automaton(items.value, width)
-        machine = _machines[digest]
+        machine = _machine(items, digest, width)
         for batch in batches:
             counts, hits, where, spans = [], [], [], []
             for value, before, met in zip(batch["text"], batch["hit_words"], batch["items"], strict=True):
@@ -91,6 +89,47 @@ def _scan(items, digest: str, width: int, last: bool):
     return run
 
 
+def _blocks(items: DataFrame, item_col: str, item_text_col: str, width: int) -> Iterator[tuple[Broadcast, str]]:
+    """Items in blocks of bounded size, broadcast one after the other, each with the digest of its content."""
+    spark = items.sparkSession
+    words = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")) \
+        .where(F.col("text").isNotNull())
+    letters = words.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-letters // BLOCK_CHARS))
+    dealt = words.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    for b in range(blocks):
+        own = [tuple(r) for r in dealt.where(F.col("block") == b).select("item", "text").collect()]
+        digest = hashlib.md5(repr((width, sorted(own))).encode("utf-8", "surrogatepass")).hexdigest()
+        yield spark.sparkContext.broadcast(own), digest
+
+
+def _machine(items: Broadcast, digest: str, width: int) -> ahocorasick.Automaton:
+    """The worker's automaton of a block; workers keep the last one between tasks."""
+    if digest not in _machines:
+        _machines.clear()
+        _machines[digest] = _automaton(items.value, width)
+    return _machines[digest]
+
+
+def without_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text_col: str, width: int = 10) -> DataFrame:
+    """Rows of docs without any occurrence of a window of the items; null and wordless texts stay. Nothing is shuffled."""
+    for sent, digest in _blocks(items, item_col, item_text_col, width):
+        docs = docs.where(~F.pandas_udf(_any_hit(sent, digest, width), "boolean")(F.col(text_col)))
+    return docs
+
+
+def _any_hit(items: Broadcast, digest: str, width: int):
+    def run(texts: pd.Series) -> pd.Series:
+        machine = _machine(items, digest, width)
+        out = []
+        for text in texts:
+            words = normalised_words(text)
+            plain = (b" " + b" ".join(words) + b" ").decode("latin-1") if words and len(machine) else ""
+            out.append(bool(plain) and next(machine.iter(plain), None) is not None)
+        return pd.Series(out, dtype=bool)
+    return run
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
                width: int = 10) -> DataFrame:
     """One row per document: id, n_words, hit_words (indices), items (ids as sorted strings), spans (code points).
@@ -101,23 +140,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, it
     Items are a stated query set: they are dealt into blocks of bounded size, one automaton each, and every
     block is scanned against all documents. The part of a block is sent to tasks, never the documents.
     """
-    spark = docs.sparkSession
-    words = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")) \
-        .where(F.col("text").isNotNull())
-    letters = words.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-letters // BLOCK_CHARS))
-    dealt = words.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    blocks = list(_blocks(items, item_col, item_text_col, width))
     state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"),
                         F.array().cast("array<string>").alias("items"))
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"id {kind}, {{}}n_words long, hit_words array<int>, items array<string>"
-    for b in range(blocks):
-        own = [tuple(r) for r in dealt.where(F.col("block") == b).select("item", "text").collect()]
-        digest = hashlib.md5(repr((width, sorted(own))).encode("utf-8", "surrogatepass")).hexdigest()
-        last = b == blocks - 1
+    for number, (sent, digest) in enumerate(blocks, 1):
+        last = number == len(blocks)
         schema = shape.format("") + ", spans array<struct<start:int,end:int>>" if last else shape.format("text string, ")
-        state = state.mapInPandas(_scan(spark.sparkContext.broadcast(own), digest, width, last), schema)
+        state = state.mapInPandas(_scan(sent, digest, width, last), schema)
         if not last:
             state = stored(state, "leaks")
     return state
