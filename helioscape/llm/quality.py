@@ -15,18 +15,20 @@ from pyspark.sql import DataFrame, functions as F
 from .textkit import LETTERS_ONLY, word_hashes
 
 #: Rated documents that a fit takes at most, picked by a hash of the id.
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 BUCKET_BITS = 22
 #: Bytes of a word's beginning, a feature of its own beside the word.
 BEGINNING = 4
 #: A word counts only if so many rated documents hold it.
 MIN_DOCUMENTS = 5
-STEPS, RIDGE = 150, 3e-5
+STEPS, RIDGE = 100, 1e-4
 #: Weight of a word that occurs once in a text of one word; it falls with the root of the number of words.
 WORD_SCALE = 8.0
 #: Share of rated documents kept out of the fit, on which the threshold is set.
 HELD_OUT = 0.2
 SIGNALS = 6
+#: Weights are summed as multiples of this fraction.
+FIXED_POINT = 1 << 24
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper-case letter, 2 lower-case letter, 3 digit, 4 mark other than common punctuation
 _KIND[0x41:0x5B], _KIND[0x61:0x7B], _KIND[0x30:0x3A] = 1, 2, 3
@@ -54,6 +56,7 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     bucket = lambda h: (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     fresh = np.ones(len(hashed), bool)
     fresh[1:] = hashed[1:] != hashed[:-1]
+    fresh[(np.cumsum(counts) - counts)[counts > 0]] = True
     return bucket(hashed), bucket(begun), fresh, counts
 
 
@@ -74,10 +77,17 @@ def _signals(texts: list[str | None], fresh: np.ndarray, counts: np.ndarray) ->
 
 def _scores(model: QualityModel, dense: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     words, begun, fresh, counts = _words(texts)
-    worth = np.append((dense[words] + dense[begun]) * fresh, 0.0)
-    first = np.cumsum(counts) - counts
-    sums = np.where(counts > 0, np.add.reduceat(worth, first), 0.0)
-    return WORD_SCALE * sums / np.sqrt(np.maximum(counts, 1)) + _signals(texts, fresh, counts) @ model.signal_weights, counts
+    # whole numbers: a text's sum does not depend on the texts beside it
+    worth = np.append((dense[words] + dense[begun]) * fresh, 0)
+    sums = np.where(counts > 0, np.add.reduceat(worth, np.cumsum(counts) - counts), 0) / FIXED_POINT
+    seen = (_signals(texts, fresh, counts) * model.signal_weights).sum(1)
+    return WORD_SCALE * sums / np.sqrt(np.maximum(counts, 1)) + seen, counts
+
+
+def _dense(model: QualityModel) -> np.ndarray:
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[model.buckets] = np.round(model.weights.astype(float) * FIXED_POINT).astype(np.int64)
+    return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -120,21 +130,40 @@ def _minimise(loss, x: np.ndarray, memory: int = 8) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str | None], grades: np.ndarray, levels: int, keep_clean: float = 0.998) -> QualityModel:
-    """Penalised maximum likelihood on bounded rows. The threshold keeps `keep_clean` of the held-out best grade."""
-    words, begun, fresh, counts = _words(texts)
-    owner, words, begun = np.repeat(np.arange(len(texts)), counts)[fresh], words[fresh], begun[fresh]
-    pairs, times = np.unique(np.concatenate((owner, owner)) * (1 << BUCKET_BITS) + np.concatenate((words, begun)), return_counts=True)
-    owner, bucket = pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
-    named, at, held = np.unique(bucket, return_inverse=True, return_counts=True)
-    common = held[at] >= MIN_DOCUMENTS
-    owner, at, value = owner[common], at[common], WORD_SCALE * times[common] / np.sqrt(np.maximum(counts, 1))[owner[common]]
-    extra = _signals(texts, fresh, counts)
-
-    order = np.random.default_rng(7).permutation(len(texts))
-    held_out, train = np.split(order, [int(len(texts) * HELD_OUT)])
+def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, their values, signals) of every text; what scoring sums up in one go."""
+    out = []
+    for i in range(0, len(texts), 200):
+        part = texts[i:i + 200]
+        words, begun, fresh, counts = _words(part)
+        owner, words, begun = np.repeat(np.arange(len(part)), counts)[fresh], words[fresh], begun[fresh]
+        pairs, times = np.unique(np.concatenate((owner, owner)) * (1 << BUCKET_BITS) + np.concatenate((words, begun)), return_counts=True)
+        owner, bucket = pairs >> BUCKET_BITS, (pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+        value = (WORD_SCALE * times / np.sqrt(np.maximum(counts, 1))[owner]).astype(np.float32)
+        cut = np.searchsorted(owner, np.arange(len(part) + 1))
+        signals = _signals(part, fresh, counts)
+        out += [(bucket[a:b], value[a:b], signals[n]) for n, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+    return out
+
+
+def fit(rated: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, keep_clean: float = 0.998) -> QualityModel:
+    """Penalised maximum likelihood on features of bounded rows. The threshold keeps `keep_clean` of the held-out best grade."""
+    held = np.zeros(1 << BUCKET_BITS, np.int32)
+    for buckets, _, _ in rated:
+        held[buckets] += 1
+    named = np.flatnonzero(held >= MIN_DOCUMENTS)
+    place_of = np.full(1 << BUCKET_BITS, -1, np.int32)
+    place_of[named] = np.arange(len(named))
+    common = [place_of[b] >= 0 for b, _, _ in rated]
+    at = np.concatenate([place_of[b][c] for (b, _, _), c in zip(rated, common, strict=True)])
+    value = np.concatenate([v[c] for (_, v, _), c in zip(rated, common, strict=True)])
+    owner = np.repeat(np.arange(len(rated), dtype=np.int32), [int(c.sum()) for c in common])
+    extra = np.stack([x for _, _, x in rated])
+
+    order = np.random.default_rng(7).permutation(len(rated))
+    held_out, train = np.split(order, [int(len(rated) * HELD_OUT)])
     in_train = np.isin(owner, train)
-    row = np.full(len(texts), -1)
+    row = np.full(len(rated), -1)
     row[train] = np.arange(len(train))
     rows, columns, values, y = row[owner[in_train]], at[in_train], value[in_train], grades[train]
     size = len(named)
@@ -162,7 +191,7 @@ def fit(texts: list[str | None], grades: np.ndarray, levels: int, keep_clean: fl
     model = QualityModel(named[w != 0], w[w != 0].astype(np.float32), v, theta, 0.5)
     best = held_out[grades[held_out] == levels - 1]
     if len(best):
-        place = np.full(len(texts), -1)
+        place = np.full(len(rated), -1)
         place[best] = np.arange(len(best))
         own = place[owner] >= 0
         reached = np.bincount(place[owner[own]], weights=w[at[own]] * value[own], minlength=len(best)) + extra[best] @ v
@@ -180,13 +209,25 @@ def fit_ratings(docs: DataFrame, id_col: str, text_col: str, ratings: DataFrame,
     """
     rated = ratings.select(F.col(rating_id).alias("_id"), F.col(grade_col).cast("int").alias("_grade")).where("_id is not null and _grade is not null")
     chosen = rated.orderBy(F.xxhash64("_id"), "_id", "_grade").limit(fit_rows)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id") \
-        .select("_text", "_grade", F.xxhash64("_id", "_text").alias("_place")).toPandas()
-    if not len(rows):
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = features(batch["_text"].where(batch["_text"].notna(), None).tolist())
+            yield pd.DataFrame({"place": batch["_place"], "grade": batch["_grade"], **{n: [x[i].tobytes() for x in found] for i, n in enumerate(_PACKED)}})
+
+    rows = texts.select("_text", "_grade", F.xxhash64("_id", "_text").alias("_place")) \
+        .mapInPandas(run, "place long, grade int, " + ", ".join(f"{n} binary" for n in _PACKED)).collect()
+    if not rows:
         return None
-    rows = rows.sort_values(["_place", "_grade"])
-    grades = rows["_grade"].to_numpy(np.int64)
-    return fit(rows["_text"].where(rows["_text"].notna(), None).tolist(), grades, max(int(grades.max()) + 1, 2))
+    rows = sorted(rows, key=lambda r: (r.place, r.grade))
+    grades = np.array([r.grade for r in rows])
+    packed = [tuple(np.frombuffer(r[n], kind) for n, kind in _PACKED.items()) for r in rows]
+    return fit(packed, grades, max(int(grades.max()) + 1, 2))
+
+
+#: Features of a text as they travel to the fit.
+_PACKED = {"buckets": np.int32, "values": np.float32, "signals": np.float64}
 
 
 def grade_texts(docs: DataFrame, text_col: str, model: QualityModel | None) -> DataFrame:
@@ -203,8 +244,7 @@ def grade_texts(docs: DataFrame, text_col: str, model: QualityModel | None) -> D
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        dense = np.zeros(1 << BUCKET_BITS, np.float32)
-        dense[m.buckets] = m.weights
+        dense = _dense(m)
         for batch in texts:
             out = []
             for at in range(0, len(batch), 1000):
