@@ -111,8 +111,10 @@ def energy(ghi: Column, area_m2: Column, efficiency: Column | None = None,
     }
 
 
-def monthly_energy(monthly_ghi: Column, area_m2: Column) -> Column:
-    """Twelve monthly yields from twelve daily means."""
+def monthly_energy(monthly_ghi: Column, area_m2: Column, efficiency: Column | None = None, ratio: Column | None = None) -> Column:
+    """Twelve monthly yields from twelve daily means, with the request's efficiency and ratio where it names them."""
     days = F.array(*[num(d) for d in K.MONTH_DAYS])
-    rate = num(K.PANEL_EFFICIENCY * K.PERFORMANCE_RATIO)
+    efficiency = num(K.PANEL_EFFICIENCY) if efficiency is None else efficiency
+    ratio = num(K.PERFORMANCE_RATIO) if ratio is None else ratio
+    rate = efficiency * ratio
     return F.zip_with(monthly_ghi, days, lambda g, d: area_m2 * g * d * rate)

@@ -1,7 +1,6 @@
 """Cloud-masked composites and climatologies over pixel observations.
 
-Input is long: one row per pixel and scene.  All bands of a sensor are reduced in one pass; a pixel with
-very many scenes is handled by grouped_median.
+Input is long: one row per pixel and scene.  All bands of a sensor are reduced in one pass.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,39 +22,39 @@ def masked(values: dict[str, Column], mask: Column | None = None) -> list[Column
     return [(F.when(mask, v) if mask is not None else v).alias(n) for n, v in values.items()]
 
 
-def optical_indices(obs: DataFrame, keys: list[str], group_limit: int = 500_000) -> DataFrame:
+def optical_indices(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Median red/NIR/SWIR of clear pixels, then vegetation and built-up index."""
     clear = obs.where(S.score_clear(F.col("clear_score")))
     bands = clear.select(*keys, *[S.sentinel_reflectance(F.col(f"{b}_dn")).alias(b) for b in ("red", "nir", "swir")])
-    med = grouped_median(bands, keys, ["red", "nir", "swir"], group_limit)
+    med = grouped_median(bands, keys, ["red", "nir", "swir"])
     return med.select(*keys, S.normalized_difference(F.col("nir"), F.col("red")).alias("ndvi"),
                       S.normalized_difference(F.col("swir"), F.col("nir")).alias("ndbi"))
 
 
-def true_color(obs: DataFrame, keys: list[str], group_limit: int = 500_000) -> DataFrame:
+def true_color(obs: DataFrame, keys: list[str]) -> DataFrame:
     clear = obs.where(S.score_clear(F.col("clear_score")))
     bands = clear.select(*keys, F.col("red_dn").alias("red"), F.col("nir_dn").alias("green"), F.col("swir_dn").alias("blue"))
-    med = grouped_median(bands, keys, ["red", "green", "blue"], group_limit)
+    med = grouped_median(bands, keys, ["red", "green", "blue"])
     return med.select(*keys, *[S.sentinel_reflectance(F.col(b)).alias(b) for b in ("red", "green", "blue")])
 
 
-def thermal_baseline(obs: DataFrame, keys: list[str], group_limit: int = 500_000) -> DataFrame:
+def thermal_baseline(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Masked and scaled reflectance and temperature medians, then indices."""
     clear = obs.where(S.landsat_clear(F.col("qa")))
     bands = clear.select(*keys, *[S.landsat_reflectance(F.col(f"{b}_dn")).alias(b) for b in ("red", "nir", "swir")],
                          S.landsat_celsius(F.col("thermal_dn")).alias("lst"))
-    med = grouped_median(bands, keys, ["red", "nir", "swir", "lst"], group_limit)
+    med = grouped_median(bands, keys, ["red", "nir", "swir", "lst"])
     return med.select(*keys, S.normalized_difference(F.col("nir"), F.col("red")).alias("ndvi_pre"),
                       S.normalized_difference(F.col("swir"), F.col("nir")).alias("ndbi_pre"), F.col("lst").alias("lst_pre"))
 
 
-def coarse_composite(obs: DataFrame, keys: list[str], group_limit: int = 500_000) -> DataFrame:
+def coarse_composite(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Vegetation, built-up index and temperature, each under its own quality mask, in one pass."""
     qa = F.col("qa")
     bands = obs.select(*keys, *masked({"ndvi": F.col("red_dn")}, S.summary_clear(qa)),
                        *masked({"nir": F.col("nir_dn"), "swir": F.col("swir_dn")}, S.state_clear(qa)),
                        *masked({"lst": F.col("thermal_dn")}, S.thermal_clear(qa)))
-    med = grouped_median(bands, keys, ["ndvi", "nir", "swir", "lst"], group_limit)
+    med = grouped_median(bands, keys, ["ndvi", "nir", "swir", "lst"])
     return med.select(*keys, (F.col("ndvi") * num(0.0001)).alias("ndvi"),
                       S.normalized_difference(F.col("swir"), F.col("nir")).alias("ndbi"), S.modis_celsius(F.col("lst")).alias("lst"))
 
@@ -68,9 +67,9 @@ def climatology(obs: DataFrame, keys: list[str], radiation: str, kelvin: str, cl
         (F.avg(cloud) * num(0.01)).alias("cloud_cover"))
 
 
-def lights_median(obs: DataFrame, keys: list[str], value: str, group_limit: int = 500_000) -> DataFrame:
+def lights_median(obs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median radiance, never below 0 and 0 where nothing was observed."""
-    med = grouped_median(obs.select(*keys, F.col(value).alias("lights")), keys, ["lights"], group_limit)
+    med = grouped_median(obs.select(*keys, F.col(value).alias("lights")), keys, ["lights"])
     return med.withColumn("lights", unmask(F.col("lights")))
 
 
@@ -88,7 +87,7 @@ def sample_bands(points: DataFrame, stack: DataFrame, pixel: str) -> DataFrame:
     return points.join(stack, pixel, "left")
 
 
-def long_composite(samples: DataFrame, key: str, bands: list[str], group_limit: int = 500_000) -> DataFrame:
+def long_composite(samples: DataFrame, key: str, bands: list[str]) -> DataFrame:
     """Median per band of a long (pixel, band, value) table, one output column per band."""
     wide = samples.select(key, *[F.when(F.col("band") == b, F.col("value")).alias(b) for b in bands])
-    return grouped_median(wide, [key], bands, group_limit)
+    return grouped_median(wide, [key], bands)

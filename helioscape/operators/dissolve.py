@@ -106,7 +106,10 @@ def intersecting_constituents(sites: DataFrame, raw: DataFrame, cell: float) ->
     side_of = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
     a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
     c, d = (F.col("s_x1"), F.col("s_y1")), (F.col("s_x2"), F.col("s_y2"))
-    crossing = (side_of(a, b, c) * side_of(a, b, d) <= 0) & (side_of(c, d, a) * side_of(c, d, b) <= 0)
+    # on one line both products are 0: such segments meet only if their extents do
+    extent = lambda p, q, i: (F.least(p[i], q[i]), F.greatest(p[i], q[i]))
+    overlap = lambda i: (extent(a, b, i)[0] <= extent(c, d, i)[1]) & (extent(c, d, i)[0] <= extent(a, b, i)[1])
+    crossing = (side_of(a, b, c) * side_of(a, b, d) <= 0) & (side_of(c, d, a) * side_of(c, d, b) <= 0) & overlap(0) & overlap(1)
     crossed = met.where(crossing).select("site", "poly")
     return raw_in_site.unionByName(site_in_raw).unionByName(crossed).distinct()
 

@@ -1,7 +1,12 @@
 """Regular lattices and interpolation on them."""
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import constants as K
 from ..functions.nulls import num
+from .polygons import containing_polygons, polygon_cells
+from .shaping import assign_ids
 
 
 def cell_centres(bounds: DataFrame, step: float) -> DataFrame:
@@ -19,6 +24,29 @@ def cell_centres(bounds: DataFrame, step: float) -> DataFrame:
         .drop("south", "north", "west", "east")
 
 
+def land_cells(borders: DataFrame, step: float, band: tuple[float, float] = K.LATITUDE_BAND) -> DataFrame:
+    """(poly, lat, lon, pid): centres of one global lattice that lie in a polygon, numbered by latitude, then longitude.
+
+    The lattice starts at the south of the latitude band and at -180 degrees, whatever the polygons; a centre inside
+    several polygons belongs to the smallest poly. borders: edges (poly, x1, y1, x2, y2) in degrees.
+    """
+    # centres lo + step / 2, lo + 3 step / 2, ... below hi
+    n_rows, n_cols = (math.ceil((hi - lo) / step - 0.5 - 1e-9) for lo, hi in (band, (-180, 180)))
+    south = band[0]
+    first = lambda lo, start: F.greatest(F.ceil((lo - num(start)) / num(step) - num(0.5)), F.lit(0)).cast("int")
+    last = lambda hi, start, count: F.least(F.floor((hi - num(start)) / num(step) - num(0.5)), F.lit(count - 1)).cast("int")
+    boxes = borders.groupBy("poly").agg(first(F.min("y1"), south).alias("i0"), last(F.max("y1"), south, n_rows).alias("i1"),
+                                        first(F.min("x1"), -180).alias("j0"), last(F.max("x1"), -180, n_cols).alias("j1"))
+    rows = boxes.where("i0 <= i1 and j0 <= j1").withColumn("i", F.explode(F.sequence("i0", "i1"))).repartition("i")
+    cells = rows.select("i", F.explode(F.sequence("j0", "j1")).alias("j")).distinct()
+    order = F.col("i").cast("long") * n_cols + F.col("j")
+    grid = cells.select(order.alias("cid"), F.round(num(south + step / 2) + F.col("i") * num(step), 4).alias("lat"),
+                        F.round(num(-180 + step / 2) + F.col("j") * num(step), 4).alias("lon"))
+    found = containing_polygons(grid, polygon_cells(borders, step), step, "cid")
+    land = grid.join(found.groupBy("cid").agg(F.min("poly").alias("poly")), "cid")
+    return assign_ids(land, "cid", f"C{str(step).replace('.', '')}_").select("poly", "lat", "lon", "pid")
+
+
 def padded_nodes(bounds: DataFrame, step: float) -> DataFrame:
     """Nodes covering each box with one extra step on every side, aligned to multiples of step."""
     def count(lo, hi):

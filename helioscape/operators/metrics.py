@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import constants as K
 from ..functions.nulls import num
 from .ordered import running_totals
+from .spark_support import join_same
 
 
 def _score_counts(df: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
@@ -64,7 +65,7 @@ def by_region(df: DataFrame, label: str, score: str, region: str = "region", is_
     sizes = df.groupBy(region).agg(F.sum(F.col(is_test).cast("bigint")).alias("n_test"))
     low = F.col("n_pos") < K.LOW_SAMPLE_POSITIVES
     note = F.when(low, F.format_string("Only %d labelled plants - metrics are unstable; treat predictions in this region with caution.", "n_pos")).otherwise("")
-    return evaluate(df, label, score, [region]).join(sizes, region).withColumns({"low_sample": low, "note": note})
+    return join_same(evaluate(df, label, score, [region]), sizes, [region]).withColumns({"low_sample": low, "note": note})
 
 
 def region_mean_auc(df: DataFrame, label: str, score: str, region: str = "region") -> DataFrame:
@@ -101,4 +102,4 @@ def balanced_weights(df: DataFrame, region: str, label: str) -> DataFrame:
     cells = cells.withColumn("_capped", F.least("_w", mid * num(K.MAX_WEIGHT_RATIO)))
     total = F.sum(F.col("_capped") * F.col("_c")).over(everything)
     cells = cells.select("_r", label, (F.col("_capped") * F.col("_n") / total).alias("weight"))
-    return marked.join(cells, ["_r", label]).drop("_r")
+    return join_same(marked, cells, ["_r", label]).drop("_r")

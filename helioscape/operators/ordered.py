@@ -8,6 +8,8 @@ work: any boundaries give the same result.
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .spark_support import join_same
+
 RANGE_COLUMN = "_range"
 
 
@@ -49,7 +51,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     local = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     inside = ranged.withColumns(
         {f"_{s}_inside": F.coalesce(F.sum(s).over(local), F.lit(0)) for s in sums})
-    joined = inside.join(offsets, group)
+    joined = join_same(inside, offsets, group)
     return joined.select(
         *df.columns,
         *[(F.col(f"_{s}_offset") + F.col(f"_{s}_inside")).alias(f"{s}_before") for s in sums],
@@ -80,31 +82,19 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: list[floa
     return ranked.where(wanted).groupBy(*keys).agg(*out)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Keys with more than `limit` rows: at most rows/limit of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).drop("_rows")
-
-
-def grouped_median(df: DataFrame, keys: list[str], values: list[str], group_limit: int = 500_000) -> DataFrame:
-    """Exact median of several columns per key.
+def grouped_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Exact median of several columns per key, null keys included; NaN counts as missing.
 
-    Groups up to `group_limit` rows use the built-in aggregate (one shuffle).  Larger ones, found by a
-    map-side combined count, go through the range-split form.
+    Every key takes the same path: its values are counted and cut into ranges, so no task holds a whole key.
+    A key without any value has null medians.
     """
-    heavy = heavy_keys(df, keys, group_limit)
-    plain = [F.median(v).alias(v) for v in values]
-    if not heavy.take(1):
-        return df.groupBy(*keys).agg(*plain)
-    light = df.join(heavy, keys, "left_anti").groupBy(*keys).agg(*plain)
-    big = df.join(heavy, keys, "left_semi")
-    long = big.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(v).alias("_band"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_e")) \
+    number = lambda v: F.col(v).cast("double")
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_band"), F.when(~F.isnan(number(v)), number(v)).alias("_x")) for i, v in enumerate(values)])).alias("_e")) \
         .select(*keys, "_e._band", "_e._x")
     medians = percentiles(long, [*keys, "_band"], "_x", [0.5], ["_m"])
-    wide = medians.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_band") == v, F.col("_m"))).alias(v) for v in values])
-    kept = heavy.join(wide, keys, "left")
-    return light.unionByName(kept.select(*light.columns))
+    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_band") == i, F.col("_m"))).alias(v) for i, v in enumerate(values)])
+    return join_same(df.select(*keys).distinct(), wide, keys, "left")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, spread: str, salts: int = 32,

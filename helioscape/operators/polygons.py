@@ -118,9 +118,12 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 
 def centroids(edges: DataFrame) -> DataFrame:
-    """Area-weighted centroid of each polygon from its ring edges."""
+    """Area-weighted centroid of each polygon from its ring edges; holes are taken out, however they wind."""
+    ringed = edges if "ring" in edges.columns else edges.withColumns({"ring": F.lit(0), "role": F.lit("outer")})
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
-    sums = edges.groupBy("poly").agg(
+    rings = ringed.groupBy("poly", "ring", "role").agg(
         F.sum(cross).alias("a"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("sx"),
         F.sum((F.col("y1") + F.col("y2")) * cross).alias("sy"))
+    sign = F.signum("a") * F.when(F.col("role") == "inner", -1).otherwise(1)
+    sums = rings.groupBy("poly").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("a", "sx", "sy")])
     return sums.select("poly", (F.col("sx") / (3 * F.col("a"))).alias("cx"), (F.col("sy") / (3 * F.col("a"))).alias("cy"))

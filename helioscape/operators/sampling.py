@@ -11,7 +11,7 @@ from ..functions.geo import block_id, destination, segment_distance2
 from ..functions.nulls import num
 from .nearest import nearest_on_sphere, nearest_segment, split_segments
 from .ordered import top_n
-from .polygons import containing_polygons, keep_inside, polygon_cells
+from .polygons import containing_polygons, keep_inside, polygon_cells, ring_area
 from .spark_support import hash_fold, stored, uniform
 
 
@@ -27,13 +27,13 @@ def first_n(df: DataFrame, id_col: str, n: int, salt: str) -> DataFrame:
 
 
 def far_from_plants(points: DataFrame, plants: DataFrame, point_id: str) -> DataFrame:
-    """Points farther from the nearest plant than 1 km plus that plant's radius.
+    """Points farther from the nearest plant than 1 km plus that plant's radius; all points where there is no plant.
 
-    plants: plant_id, plat, plon, area_m2.
+    A point without coordinates is near nothing and stays. plants: plant_id, plat, plon, area_m2.
     """
     hit = nearest_on_sphere(points, plants, point_id, ["plant_id", "area_m2"], tlat="plat", tlon="plon")
-    far = hit.where(F.col("km") > num(1) + F.sqrt(F.col("area_m2") / num(math.pi)) / num(1000))
-    return points.join(far.select(point_id), point_id, "left_semi")
+    near = hit.where(F.col("km") <= num(1) + F.sqrt(F.col("area_m2") / num(math.pi)) / num(1000))
+    return points.join(near.select(point_id), point_id, "left_anti")
 
 
 def background_candidates(ids: DataFrame, id_col: str, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -60,44 +60,38 @@ def accept(candidates: DataFrame, id_col: str, land: DataFrame, cell: float, pla
     return far_from_plants(on_land, plants, id_col)
 
 
-def until_enough(draw, wanted: int, batch: int, max_rounds: int = 6) -> DataFrame:
-    """Repeat `draw(start, count)` with a growing count until `wanted` rows are accepted."""
-    count = batch
-    for _ in range(max_rounds):
-        accepted = draw(0, count)
-        if accepted.limit(wanted).count() >= wanted:
-            return accepted
-        count *= 2
-    raise ValueError(f"fewer than {wanted} points accepted after {max_rounds} rounds")
-
-
 def interior_points(edges: DataFrame, per_polygon: Column, edge_m: float, tries: int = 12) -> DataFrame:
-    """Points inside each polygon at least `edge_m` from its edges; (poly, k, x, y).
+    """Points inside each polygon, as many as `per_polygon` asks (a column over `area`); (poly, rn, x, y, margin).
 
-    Each wanted point has `tries` candidates in the polygon's box, tested against its own edges only.  A
-    polygon too narrow for the margin keeps its candidate farthest from the edges, and one that no candidate
-    hits gets the middle of the widest stretch it covers on one horizontal line.
+    Each wanted point has `tries` candidates. A candidate lies on a random horizontal line, in one of the stretches
+    that the polygon covers there, so thin and slanted polygons lose none; candidates are drawn with a chance in
+    proportion to what their line covers, which spreads them evenly over the area. Points `edge_m` from all edges
+    come first, others fill up. A polygon without any such point has one, its candidate farthest from the edges.
+    edges: poly, x1, y1, x2, y2 and, where there are holes, ring and role.
     """
-    box = edges.groupBy("poly").agg(F.min("x1").alias("x0"), F.max("x1").alias("xm"), F.min("y1").alias("y0"), F.max("y1").alias("ym"),
-                                    F.abs(F.sum((F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2)).alias("area"))
-    box = box.withColumn("n", per_polygon)
-    cand = box.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") * tries)))
-    cand_id = F.concat_ws("-", F.col("poly").cast("string"), F.col("k").cast("string"))
-    cand = cand.select("poly", "k", "n", (F.col("x0") + uniform(cand_id, "x") * (F.col("xm") - F.col("x0"))).alias("px"),
-                       (F.col("y0") + uniform(cand_id, "y") * (F.col("ym") - F.col("y0"))).alias("py"))
-    met = cand.join(edges.select("poly", "x1", "y1", "x2", "y2"), "poly")
-    crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (
-        F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    ringed = edges if "ring" in edges.columns else edges.withColumns({"ring": F.lit(0), "role": F.lit("outer")})
+    box = edges.groupBy("poly").agg(F.min("x1").alias("x0"), F.max("x1").alias("xm"), F.min("y1").alias("y0"), F.max("y1").alias("ym"))
+    box = box.join(ring_area(ringed), "poly").withColumn("n", per_polygon)
+    lines = box.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") * tries)))
+    draw = lambda salt, *more: uniform(F.concat_ws("-", F.col("poly").cast("string"), F.col("k").cast("string"), *more), salt)
+    lines = lines.select("poly", "k", "n", (F.col("y0") + draw("y") * (F.col("ym") - F.col("y0"))).alias("py"))
+    sides = edges.select("poly", "x1", "y1", "x2", "y2")
+    at = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    met = lines.join(sides, "poly").where((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))).select("poly", "k", "n", "py", at.alias("x"))
+    order = W.partitionBy("poly", "k").orderBy("x")
+    runs = met.withColumns({"pos": F.row_number().over(order), "next": F.lead("x").over(order)}).where("pos % 2 = 1 and next > x")
+    race = -F.log(draw("run", F.col("pos").cast("string"))) / (F.col("next") - F.col("x"))
+    chosen = runs.groupBy("poly", "k", "n", "py").agg(F.min_by(F.struct("x", "next"), race).alias("r"), F.sum(F.col("next") - F.col("x")).alias("cover"))
+    cand = chosen.select("poly", "k", "n", "py", (F.col("r.x") + draw("x") * (F.col("r.next") - F.col("r.x"))).alias("px"), (-F.log(draw("rank")) / F.col("cover")).alias("race"))
     d2 = segment_distance2(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    tested = met.groupBy("poly", "k", "n", "px", "py").agg(
-        F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("hits"), F.sqrt(F.min(d2)).alias("margin"))
-    inside = tested.where("hits % 2 = 1").withColumn("deep", F.col("margin") >= num(edge_m))
-    deep = top_n(inside.where("deep"), ["poly"], ["k"], K.MAX_POINTS_PER_POLYGON, spread="k", rank="rn").where("rn <= n")
-    deep = deep.select("poly", "rn", "px", "py", "margin")
-    narrow = inside.groupBy("poly").agg(F.max(F.struct("margin", "px", "py")).alias("m"), F.max("deep").alias("any_deep")) \
-        .where("not any_deep").select("poly", F.lit(1).alias("rn"), "m.px", "m.py", "m.margin")
-    drawn = deep.unionByName(narrow)
-    missed = box.join(drawn.select("poly").distinct(), "poly", "left_anti")
+    tested = cand.join(sides, "poly").groupBy("poly", "k", "n", "px", "py", "race").agg(F.sqrt(F.min(d2)).alias("margin"))
+    tested = tested.withColumn("shallow", F.col("margin") < num(edge_m))
+    ranked = top_n(tested, ["poly"], ["shallow", "race", "k"], K.MAX_POINTS_PER_POLYGON, spread="k", rank="rn").where("rn <= n")
+    deep = tested.groupBy("poly").agg(F.min("shallow").alias("narrow"), F.max(F.struct("margin", "px", "py")).alias("m"))
+    wide = ranked.join(deep.where("not narrow").select("poly"), "poly", "left_semi").select("poly", "rn", "px", "py", "margin")
+    narrow = deep.where("narrow").select("poly", F.lit(1).alias("rn"), "m.px", "m.py", "m.margin")
+    drawn = wide.unionByName(narrow)
+    missed = box.join(deep.select("poly"), "poly", "left_anti")
     return drawn.unionByName(_representative(edges, missed)).withColumnsRenamed({"px": "x", "py": "y"})
 
 

@@ -1,6 +1,7 @@
 """Session-level helpers: the shared folder, lineage cuts and deterministic uniforms."""
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -37,6 +38,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null equals a null; the keys stay as they are on the left."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = reduce(Column.__and__, [left[k].eqNullSafe(other[f"_same_{k}"]) for k in keys])
+    return left.join(other, same, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def uniform(key: Column, salt: str = "42") -> Column:
     """Reproducible uniform in (0,1) derived from a key; equal across engines and task retries."""
     digest = F.substring(F.md5(F.concat(F.lit(salt + ":"), key.cast("string"))), 1, 8)

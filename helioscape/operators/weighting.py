@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
+from .spark_support import join_same
 
 
 def pair_list(criteria: list[str]) -> list[tuple[str, str]]:
@@ -29,7 +30,7 @@ def expert_weights(judgements: DataFrame, expert: str, criteria: list[str]) -> D
     """judgements (expert, a, b, ratio) -> expert, weights, lambda_max, ci, cr.
 
     Judgements are pivoted into one fixed-length array per expert (the geometric mean of repeats), then
-    eigenvectors are taken for a whole Arrow batch at a time.  An expert without a full set is dropped.
+    eigenvectors are taken for a whole Arrow batch at a time.  An expert without a full set has null figures.
     """
     pairs = pair_list(criteria)
     n = len(criteria)
@@ -38,7 +39,7 @@ def expert_weights(judgements: DataFrame, expert: str, criteria: list[str]) -> D
         same, flipped = (F.col("a") == a) & (F.col("b") == b), (F.col("a") == b) & (F.col("b") == a)
         picked.append(F.exp(F.avg(F.when(same, F.log("ratio")).when(flipped, -F.log("ratio")))))
     wide = judgements.groupBy(expert).agg(F.array(*picked).alias("upper"))
-    wide = wide.where(~F.exists("upper", lambda x: x.isNull()))
+    whole = wide.where(~F.exists("upper", lambda x: x.isNull()))
     index = K.RANDOM_INDEX[n]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +52,8 @@ def expert_weights(judgements: DataFrame, expert: str, criteria: list[str]) -> D
                                 "cr": ci / index if index > 0 else np.zeros_like(ci)})
 
     kind = judgements.schema[expert].dataType.simpleString()
-    return wide.mapInPandas(solve, f"{expert} {kind}, weights array<double>, lambda_max double, ci double, cr double")
+    solved = whole.mapInPandas(solve, f"{expert} {kind}, weights array<double>, lambda_max double, ci double, cr double")
+    return join_same(wide.select(expert), solved, [expert], "left")
 
 
 def group_judgement(judgements: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ select pixel_id, round((nir-red)/(nir+red), 8) as ndvi, round((swir-nir)/(swir+n
 def skewed_composite(spark, sf):
     """A third of all observations fall on one pixel: that pixel takes the range-split path."""
     obs = view(spark, sf, "obs").withColumn("pixel_id", F.expr("case when obs_id % 3 = 0 then 1 else pixel_id end"))
-    out = C.optical_indices(obs, ["pixel_id"], group_limit=200)
+    out = C.optical_indices(obs, ["pixel_id"])
     return out.select("pixel_id", R("ndvi", 8).alias("ndvi"), R("ndbi", 8).alias("ndbi"))
 
 

@@ -117,7 +117,8 @@ def physical_training(spark, sf):
     """Physical design with plausibility, reliable negatives and balanced weights."""
     s = labelled(spark, sf).withColumn("plaus", O.plausibility("pre"))
     marked = O.reliable_negatives(s, "label", "plaus")
-    balanced = M.balanced_weights(marked, "region", "label")
+    balanced = M.balanced_weights(marked.where("in_training"), "region", "label") \
+        .unionByName(marked.where("not coalesce(in_training, false)").withColumn("weight", F.lit(0.0)))
     return stored(DS.drop_human(DS.global_design(balanced, [*KEEP, "weight", "reliable", "in_training"], "pre")), "physical")
 
 

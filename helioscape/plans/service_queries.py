@@ -166,7 +166,7 @@ def stream_requests(spark, sf):
 
     def answer(stream):
         energy = FT.energy(F.col("ghi"), F.col("area_m2"))
-        return stream.join(cells, "site_id").select("request_id", "site_id", "score", energy["annual_kwh"].alias("annual_kwh"))
+        return stream.join(cells, "site_id", "left").select("request_id", "site_id", "score", energy["annual_kwh"].alias("annual_kwh"))
 
     out = scratch_path(spark, "answers")
     run = ST.answer_stream(ST.read_requests(spark, path, schema, 2), answer, out, scratch_path(spark, "progress"))
@@ -191,14 +191,21 @@ def stream_nearest(spark, sf):
     return spark.read.parquet(out).select("request_id", "plant_id", R("km", 4).alias("km"))
 
 
-@query("stream_dedupe")
-def stream_dedupe(spark, sf):
+@query("stream_dedupe", views="requests", oracle="""
+with recursive r as (select request_id, cast(site_id as varchar) as key, ts from requests),
+anchors(key, start) as (
+ select key, min(ts) from r group by key
+ union all
+ select a.key, min(r.ts) from anchors a join r on r.key = a.key and r.ts >= a.start + interval 1 day group by a.key),
+answered as (select r.key, a.start, min(request_id) as request_id from anchors a join r on r.key = a.key and r.ts = a.start group by r.key, a.start)
+select r.request_id, r.key, r.ts, w.request_id is null as cache_hit from r left join answered w on w.key = r.key and w.start = r.ts and w.request_id = r.request_id""")
+def stream_dedupe(spark, sf, files_per_trigger: int = 1):
     path, schema = request_files(spark, sf)
-    out = scratch_path(spark, "deduped")
-    once = ST.once_per_day(ST.read_requests(spark, path, schema, 4), "site_id", "request_id")
-    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "progress")) \
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    out = scratch_path(spark, "logged")
+    stream = ST.read_requests(spark, path, schema, files_per_trigger)
+    ST.log_requests(stream, "site_id", "request_id", out, scratch_path(spark, "progress")).awaitTermination()
+    log = spark.read.schema("request_id long, key string, ts timestamp").parquet(out)
+    return ST.once_per_day(log).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("late_results", views="requests", oracle="""

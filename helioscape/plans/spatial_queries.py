@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import merc_x, merc_y, project_metric
-from ..operators import dissolve as D
+from ..operators import dissolve as D, lattice
 from ..operators import nearest as NN
 from ..operators import polygons as P
 from ..operators import sampling as SM
@@ -87,28 +87,19 @@ def nearest_polygon(spark, sf):
     return hit.select("site_id", "poly", R(F.col("distance") / 1000, 4).alias("km"))
 
 
-@query("land_cells", views="borders", oracle="""
-with b as (select poly, min(y1) as south, max(y1) as north, min(x1) as west, max(x1) as east from borders group by poly),
-n as (select *, cast(ceil((north-south)/0.5e0 - 0.5e0) as int) as nr, cast(ceil((east-west)/0.5e0 - 0.5e0) as int) as nc from b),
-i as (select *, unnest(generate_series(0, nr-1)) as i from n), j as (select *, unnest(generate_series(0, nc-1)) as j from i),
-g as (select poly as box, round(south + 0.25e0 + i*0.5e0, 4) as lat, round(west + 0.25e0 + j*0.5e0, 4) as lon from j),
-h as (select box, lat, lon, sum(case when (b.y1 > lat) <> (b.y2 > lat) and lon < b.x1 + (lat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits
- from g join borders b on b.poly = g.box group by box, lat, lon)
-select box as poly, lat, lon, printf('C05_%06d', row_number() over (order by lat, lon) - 1) as pid from h where hits % 2 = 1""")
-def land_cells(spark, sf):
-    return land_cell_points(view(spark, sf, "borders"), 0.5)
+# One lattice over the latitude band: 256 rows from 56 degrees south, 720 columns; written from the definition.
+LAND_SQL = """g as (select i, j, -56 + 0.25e0 + i*0.5e0 as lat, -180 + 0.25e0 + j*0.5e0 as lon
+ from (select unnest(generate_series(0, 255)) as i), (select unnest(generate_series(0, 719)) as j)),
+b as (select poly, min(y1) as south, max(y1) as north, min(x1) as west, max(x1) as east from borders group by poly),
+h as (select e.poly, g.i, g.j, g.lat, g.lon, sum(case when (e.y1 > g.lat) <> (e.y2 > g.lat) and g.lon < e.x1 + (g.lat-e.y1)*(e.x2-e.x1)/(e.y2-e.y1) then 1 else 0 end) as hits
+ from g join b on g.lat between south and north and g.lon between west and east join borders e on e.poly = b.poly group by e.poly, g.i, g.j, g.lat, g.lon),
+l as (select min(poly) as poly, round(lat, 4) as lat, round(lon, 4) as lon, printf('C05_%06d', row_number() over (order by i, j) - 1) as pid from h where hits % 2 = 1 group by i, j, lat, lon)
+"""
 
 
-def land_cell_points(borders, step: float):
-    """Lattice cell centres on land with sequential ids in (lat, lon) order."""
-    from ..operators.lattice import cell_centres
-    from ..operators.shaping import assign_ids
-    boxes = borders.groupBy("poly").agg(F.min("y1").alias("south"), F.max("y1").alias("north"), F.min("x1").alias("west"), F.max("x1").alias("east"))
-    grid = cell_centres(boxes, step).select(F.concat_ws("_", "poly", "i", "j").alias("cid"), "lat", "lon")
-    found = P.containing_polygons(grid, P.polygon_cells(borders, step), step, "cid")
-    first = found.groupBy("cid").agg(F.min("poly").alias("poly"))
-    land = grid.join(first, "cid").withColumn("_order", F.bround((F.col("lat") + 90) * 10_000, 0) * 10_000_000.0 + F.bround((F.col("lon") + 180) * 10_000, 0))
-    return assign_ids(land, "_order", "C05_").select("poly", "lat", "lon", "pid")
+@query("land_cells", views="borders", oracle=f"with {LAND_SQL} select poly, lat, lon, pid from l")
+def land_cells(spark, sf):
+    return lattice.land_cells(view(spark, sf, "borders"), 0.5)
 
 
 NEAREST_PLANT = """near as (select site_id, arg_min(plant_id, (round(d, 12), plant_id)) as plant_id, min(d) as d from (
@@ -354,7 +345,7 @@ def sample_hard(spark, sf):
 
 @query("sample_interior")
 def sample_interior(spark, sf):
-    foot = view(spark, sf, "footprints").select("poly", "x1", "y1", "x2", "y2")
+    foot = view(spark, sf, "footprints").select("poly", "ring", "role", "x1", "y1", "x2", "y2")
     return SM.interior_points(foot, SM.points_per_area(F.col("area")), K.INNER_BUFFER_M).select(
         "poly", "rn", R("x", 4).alias("x"), R("y", 4).alias("y"), R("margin", 4).alias("margin"))
 
@@ -406,20 +397,14 @@ def build_labelled(spark, sf):
     return points.join(feats, "id", "left").select(F.concat_ws("-", "src", "id").alias("pid"), "lat", "lon", "label", "neg_type", "area_m2", "group_id", "ghi", "slope")
 
 
-@query("grid_features", views="borders cells", oracle="""
-with e as (select max(r) as nr from cells), b as (select poly, min(y1) as south, max(y1) as north, min(x1) as west, max(x1) as east from borders group by poly),
-n as (select *, cast(ceil((north-south)/0.5e0 - 0.5e0) as int) as nr, cast(ceil((east-west)/0.5e0 - 0.5e0) as int) as nc from b),
-i as (select *, unnest(generate_series(0, nr-1)) as i from n), j as (select *, unnest(generate_series(0, nc-1)) as j from i),
-g as (select poly as box, round(south + 0.25e0 + i*0.5e0, 4) as lat, round(west + 0.25e0 + j*0.5e0, 4) as lon from j),
-h as (select box, lat, lon, sum(case when (b.y1 > lat) <> (b.y2 > lat) and lon < b.x1 + (lat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits
- from g join borders b on b.poly = g.box group by box, lat, lon),
-l as (select lat, lon, printf('C05_%06d', row_number() over (order by lat, lon) - 1) as pid from h where hits % 2 = 1)
-select pid, z, code from l left join cells k on l.lat between 8 and 8 + (select nr from e)*0.5e0 and l.lon between 70 and 94.5e0 and k.r = ceil((l.lat-8)/0.5e0) and k.c = ceil((l.lon-70)/0.5e0)""")
+@query("grid_features", views="borders cells", oracle=f"""
+with n as (select max(r) as nr from cells), {LAND_SQL}
+select pid, z, code from l left join cells k on l.lat between 8 and 8 + (select nr from n)*0.5e0 and l.lon between 70 and 94.5e0 and k.r = ceil((l.lat-8)/0.5e0) and k.c = ceil((l.lon-70)/0.5e0)""")
 def grid_features(spark, sf):
     from ..operators import raster as RS
     from .raster_queries import raster
     cells = raster(spark, sf)
     nrows = RS.extent(cells)[1] + 1
-    land = land_cell_points(view(spark, sf, "borders"), 0.5)
+    land = lattice.land_cells(view(spark, sf, "borders"), 0.5)
     return RS.pixel_lookup(land, cells, 8.0, 0.5, nrows, 70.0, 0.5, 50, ["z", "code"]).select("pid", "z", "code")
 

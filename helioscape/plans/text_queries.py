@@ -23,11 +23,10 @@ COORD_TEXT = """case when c_custkey % 5 = 0 then concat(c_custkey % 95, '.5 N ',
  when c_custkey % 5 = 2 then concat(' ', c_custkey % 60, '° S; ', c_custkey % 100, '.5° e ') when c_custkey % 5 = 3 then concat('place ', c_custkey) else concat(c_custkey % 1000, '.1, 20') end"""
 
 
-@query("parse_coordinates", oracle=f"""
-with t as (select c_custkey, {COORD_TEXT} as q from customer),
-m as (select c_custkey, regexp_extract(q, '^\\s*(-?\\d{{1,3}}(?:\\.\\d+)?)\\s*°?\\s*([NSns])?\\s*[,;\\s]\\s*(-?\\d{{1,3}}(?:\\.\\d+)?)\\s*°?\\s*([EWew])?\\s*$', ['a','b','c','d']) as g from t),
-v as (select c_custkey, case when upper(g.b) = 'S' then -abs(try_cast(g.a as double)) else try_cast(g.a as double) end as lat, case when upper(g.d) = 'W' then -abs(try_cast(g.c as double)) else try_cast(g.c as double) end as lon from m)
-select c_custkey, case when lat between -90 and 90 and lon between -180 and 180 then lat + 0e0 end as lat, case when lat between -90 and 90 and lon between -180 and 180 then lon + 0e0 end as lon from v""")
+@query("parse_coordinates", oracle="""
+with made as (select c_custkey, case c_custkey % 5 when 0 then c_custkey % 95 + 0.5e0 when 1 then -(c_custkey % 80 + 0.125e0) when 2 then -(c_custkey % 60) when 4 then c_custkey % 1000 + 0.1e0 end as lat,
+ case c_custkey % 5 when 0 then -(c_custkey % 190 + 0.25e0) when 1 then c_custkey % 170 when 2 then c_custkey % 100 + 0.5e0 when 4 then 20e0 end as lon from customer)
+select c_custkey, case when lat between -90 and 90 and lon between -180 and 180 then lat + 0e0 end as lat, case when lat between -90 and 90 and lon between -180 and 180 then lon + 0e0 end as lon from made""")
 def parse_coordinates(spark, sf):
     t = table(spark, sf, "customer").selectExpr("c_custkey", f"{COORD_TEXT} as q")
     p = TX.parse_coordinates(F.col("q"))

@@ -1,4 +1,5 @@
 """Nested payloads: polygon files, map elements, climate nodes and array columns kept as JSON text."""
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +45,7 @@ def read_polygons(spark: SparkSession, path: str, id_property: str) -> DataFrame
     coords = F.transform("points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return rings.select(
         F.element_at("properties", id_property).alias("poly"),
-        (F.col("part") * 1000 + F.col("ring")).alias("ring"),
+        (F.col("part").cast("long") * (1 << 32) + F.col("ring")).alias("ring"),
         F.when(F.col("ring") == 0, "outer").otherwise("inner").alias("role"), coords.alias("coords"), "properties")
 
 
@@ -64,14 +65,43 @@ def parse_elements(df: DataFrame, text: str) -> DataFrame:
 
 
 def element_rings(elements: DataFrame) -> DataFrame:
-    """(poly, ring, role, coords): a way is one outer ring, a relation one ring per member way."""
+    """(poly, ring, role, coords): the closed rings of each element.
+
+    A way is one outer ring if it closes and has four points or more. A relation's rings are chained from its member
+    ways by their end points, outer and inner ones apart, in whatever order and direction they are listed; chains
+    that do not close are left out. Elements without a geometry have no rings.
+    """
     own = F.when(F.col("type") == "way", F.array(F.struct(F.lit("outer").alias("role"), F.col("geometry").alias("g"))))
     member = F.transform(
         F.filter("members", lambda m: (m["type"] == "way") & m["geometry"].isNotNull()),
         lambda m: F.struct(F.when(m["role"] == "inner", "inner").otherwise("outer").alias("role"), m["geometry"].alias("g")))
-    rings = elements.select(F.concat_ws("/", "type", "id").alias("poly"), F.posexplode(F.coalesce(own, member)).alias("ring", "r"))
-    return rings.select("poly", "ring", F.col("r.role").alias("role"), F.transform(
-        "r.g", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
+    lines = elements.select(F.concat_ws("/", "type", "id").alias("poly"), F.posexplode(F.coalesce(own, member)).alias("at", "r")) \
+        .select("poly", "at", F.col("r.role").alias("role"), F.transform("r.g", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
+    ends = lambda df: df.withColumns({"first": F.element_at("coords", 1), "last": F.element_at("coords", -1)})
+    sized = ends(lines.where(F.size("coords") >= 2))
+    closed = sized.where((F.col("first") == F.col("last")) & (F.size("coords") >= 4))
+    loose = sized.where((F.col("first") != F.col("last")) & F.col("poly").startswith("relation"))
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        """The open ways of one relation and role, joined end to end."""
+        ways = {at: [(p["x"], p["y"]) for p in coords] for at, coords in zip(group["at"], group["coords"], strict=True)}
+        rings = []
+        while ways:
+            start = min(ways)
+            line = ways.pop(start)
+            while line[0] != line[-1]:
+                after = next((at for at in sorted(ways) if line[-1] in (ways[at][0], ways[at][-1])), None)
+                if after is None:
+                    break
+                way = ways.pop(after)
+                line = line + (way[1:] if way[0] == line[-1] else way[-2::-1])
+            if line[0] == line[-1] and len(line) >= 4:
+                rings.append((group["poly"].iloc[0], start, group["role"].iloc[0], [{"x": x, "y": y} for x, y in line]))
+        return pd.DataFrame(rings, columns=["poly", "at", "role", "coords"])
+
+    joined = loose.select("poly", "at", "role", "coords").groupBy("poly", "role") \
+        .applyInPandas(chain, "poly string, at int, role string, coords array<struct<x:double,y:double>>")
+    return closed.select("poly", "at", "role", "coords").unionByName(joined).withColumnRenamed("at", "ring")
 
 
 def parse_climate(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

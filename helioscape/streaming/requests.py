@@ -3,7 +3,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import first_per_key
 
@@ -33,35 +32,40 @@ def answer_batches(stream: DataFrame, answer: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def once_per_day(stream: DataFrame, key: str, request_id: str, ttl_s: int = DAY_S, lateness: str = "1 hour") -> DataFrame:
-    """(request_id, key, ts, cache_hit): a repeat within `ttl_s` of the answered request is a cache hit.
+def log_requests(stream: DataFrame, key: str, request_id: str, out: str, checkpoint: str):
+    """Log of (request_id, key, ts); a batch overwrites its own folder. No row is late: the log has no watermark."""
+    slim = stream.select(F.col(request_id).alias("request_id"), F.col(key).cast("string").alias("key"), "ts")
 
-    State is one timestamp per key and leaves with the watermark.  A micro-batch is bounded by the source, so
-    is the part of a key that one call sorts; only ids and timestamps reach Python.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return slim.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def once_per_day(requests: DataFrame, ttl_s: int = DAY_S) -> DataFrame:
+    """(request_id, key, ts, cache_hit): a repeat within `ttl_s` of the request that was answered is a cache hit.
+
+    By event time (then request_id), so the order and the batches in which requests arrived do not matter. Rows are
+    sorted by key within partitions and folded as a stream with one timestamp of state: a hot key costs time in
+    its task, not memory. Requests without a time are answered and are never hits.
     """
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(["ts", "request_id"])
-        anchor = state.get[0] if state.exists else None
-        hits = []
-        for t in rows["ts"].astype("int64") // 1_000:
-            fresh = anchor is None or t >= anchor + ttl_s * 1_000_000
-            if fresh:
-                anchor = t
-            hits.append(not fresh)
-        state.update((int(anchor),))
-        deadline = int(anchor // 1000 + ttl_s * 1000)
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
-        else:
-            state.remove()
-        yield pd.DataFrame({"request_id": rows["request_id"], "key": k[0], "ts": rows["ts"], "cache_hit": hits})
-
-    slim = stream.select(F.col(request_id).alias("request_id"), F.col(key).cast("string").alias("key"), "ts").withWatermark("ts", lateness)
-    return slim.groupBy("key").applyInPandasWithState(
-        step, "request_id long, key string, ts timestamp, cache_hit boolean", "anchor long", "append", GroupStateTimeout.EventTimeTimeout)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, anchor = object(), None
+        for rows in batches:
+            hits = []
+            missing = rows["ts"].isna()
+            for k, t, none in zip(rows["key"], rows["ts"].astype("int64") // 1_000, missing, strict=True):
+                if k != key:
+                    key, anchor = k, None
+                fresh = bool(none) or anchor is None or t >= anchor + ttl_s * 1_000_000
+                if fresh and not none:
+                    anchor = t
+                hits.append(not fresh)
+            yield rows.assign(cache_hit=hits)
+
+    in_time = requests.select("request_id", "key", F.col("ts").cast("timestamp").alias("ts")) \
+        .repartition("key").sortWithinPartitions("key", "ts", "request_id")
+    return in_time.mapInPandas(fold, "request_id long, key string, ts timestamp, cache_hit boolean")
 
 
 def keep_best(stream: DataFrame, keys: list[str], order: list[str], out: str, checkpoint: str):

@@ -16,7 +16,7 @@ def hot_rows(n=3000, seed=1):
 def test_median_of_hot_keys(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k int, x double, id int").withColumn("y", F.when(F.col("x") > 20, F.col("x") * 2))
-    got = {r["k"]: (r["x"], r["y"]) for r in OD.grouped_median(df, ["k"], ["x", "y"], group_limit=100).collect()}
+    got = {r["k"]: (r["x"], r["y"]) for r in OD.grouped_median(df, ["k"], ["x", "y"]).collect()}
     for k in {r[0] for r in rows}:
         xs = [r[1] for r in rows if r[0] == k]
         ys = [2 * x for x in xs if x > 20]
