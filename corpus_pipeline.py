@@ -14,7 +14,7 @@ from helioscape.operators.spark_support import stored
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose chance of the best grade is below the model's threshold, and those without words."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.grade_texts(docs, "text", model).where("keep").select(docs.columns)
+    return quality.good_texts(docs, "text", model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

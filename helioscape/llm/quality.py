@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textkit import LETTERS_ONLY, word_hashes
 
@@ -230,6 +230,24 @@ def fit_ratings(docs: DataFrame, id_col: str, text_col: str, ratings: DataFrame,
 _PACKED = {"buckets": np.int32, "values": np.float32, "signals": np.float64}
 
 
+def _judge(spark: SparkSession, model: QualityModel):
+    """Column function: a text's struct<expected_grade, p_best, keep>."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        dense = _dense(sent.value)
+        for batch in texts:
+            out = [pd.DataFrame({"expected_grade": np.empty(0), "p_best": np.empty(0), "keep": np.empty(0, bool)})]
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at:at + 1000]
+                score, counts = _scores(sent.value, dense, part.where(part.notna(), None).tolist())
+                tails = np.where(counts[:, None] > 0, sent.value.tails(score), 0.0)
+                out.append(pd.DataFrame({"expected_grade": tails.sum(1), "p_best": tails[:, -1], "keep": (tails[:, -1] >= sent.value.least) & (counts > 0)}))
+            yield pd.concat(out[1:] or out)
+
+    return F.pandas_udf(run, "expected_grade double, p_best double, keep boolean")
+
+
 def grade_texts(docs: DataFrame, text_col: str, model: QualityModel | None) -> DataFrame:
     """Rows of docs with expected_grade, p_best (chance of the best grade) and keep; clashing columns are replaced.
 
@@ -237,22 +255,12 @@ def grade_texts(docs: DataFrame, text_col: str, model: QualityModel | None) -> D
     and every row is kept. Equal texts have equal results; repeated rows are repeated.
     """
     named = ["expected_grade", "p_best", "keep"]
-    docs = docs.select(*[c for c in docs.columns if c not in named or c == text_col])
-    if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_best": F.lit(None).cast("double"), "keep": F.lit(True)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    judged = F.struct(*[F.lit(None).cast("double").alias(c) for c in named[:2]], F.lit(True).alias("keep")) if model is None \
+        else _judge(docs.sparkSession, model)(F.col(text_col))
+    others = [c for c in docs.columns if c not in named]
+    return docs.select(*others, judged.alias("_judged")).select(*others, "_judged.*")
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        dense = _dense(m)
-        for batch in texts:
-            out = []
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000]
-                score, counts = _scores(m, dense, part.where(part.notna(), None).tolist())
-                tails = np.where(counts[:, None] > 0, m.tails(score), 0.0)
-                out.append(pd.DataFrame({"expected_grade": tails.sum(1), "p_best": tails[:, -1], "keep": (tails[:, -1] >= m.least) & (counts > 0)}))
-            yield pd.concat(out) if out else pd.DataFrame({"expected_grade": [], "p_best": [], "keep": []})
 
-    judge = F.pandas_udf(run, "expected_grade double, p_best double, keep boolean")
-    return docs.withColumn("_judged", judge(F.col(text_col))).select("*", "_judged.*").drop("_judged")
+def good_texts(docs: DataFrame, text_col: str, model: QualityModel | None) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    return docs if model is None else docs.where(_judge(docs.sparkSession, model)(F.col(text_col))["keep"])

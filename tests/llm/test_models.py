@@ -160,6 +160,9 @@ def test_quality_of_awkward_rows(spark):
             assert (r.expected_grade, r.p_best, r.keep) == (0.0, 0.0, False)
         assert 0 <= r.p_best <= 1 and r.p_best <= r.expected_grade <= 2
     assert len({(r.text, r.p_best) for r in got}) == len({r.text for r in got})  # equal texts, equal results
+    model = quality.fit(quality.features(texts), grades, 3)
+    kept = quality.good_texts(docs, "text", model)
+    assert kept.columns == docs.columns and kept.where("keep = 'clash'").count() == kept.count() == sum(r.keep for r in got)
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert quality.fit_ratings(docs, "doc_id", "text", none, "doc_id", "grade") is None
     assert quality.grade_texts(docs, "text", None).where("not keep").count() == 0
