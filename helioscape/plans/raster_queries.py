@@ -97,7 +97,7 @@ def order_lattice(spark, sf):
 
 
 @query("climate_bilinear", views="cells sites", oracle="""
-with e as (select max(r) as nr from cells), z as (select r, c, coalesce(z, 1000e0) as z from cells),
+with e as (select 1 + max(r) as nr from (select r from cells group by r having count(*) = 50)), z as (select r, c, coalesce(z, 1000e0) as z from cells),
 p as (select site_id, (lat-8)/0.5e0 as fr, (lon-70)/0.5e0 as fc, nr from sites, e),
 q as (select *, cast(least(greatest(floor(fr), 0), nr-2) as int) as r, cast(least(greatest(floor(fc), 0), 48) as int) as c from p),
 w as (select *, fr-r as wr, fc-c as wc from q)
@@ -105,9 +105,9 @@ select site_id, round(a.z*(1-wr)*(1-wc) + b.z*(1-wr)*wc + d.z*wr*(1-wc) + f.z*wr
  round((a.z+2)*(1-wr)*(1-wc) + (b.z+2)*(1-wr)*wc + (d.z+2)*wr*(1-wc) + (f.z+2)*wr*wc, 5) as mar
 from w join z a on a.r=w.r and a.c=w.c join z b on b.r=w.r and b.c=w.c+1 join z d on d.r=w.r+1 and d.c=w.c join z f on f.r=w.r+1 and f.c=w.c+1""")
 def climate_bilinear(spark, sf):
-    # the last lattice row may be incomplete, so the lattice ends one row earlier
+    # the lattice ends with its last whole row: beyond it a cell lacks corners
     nodes = raster(spark, sf).withColumn("ghi", F.coalesce("z", F.lit(1000.0)))
-    nrows = RS.extent(nodes)[1]
+    nrows = 1 + nodes.groupBy("r").count().where("count = 50").agg(F.max("r")).first()[0]
     nodes = nodes.withColumn("monthly", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.col("ghi") + i))
     cells = L.corner_cells(nodes.select("r", "c", "ghi", "monthly"), ["ghi", "monthly"])
     points = view(spark, sf, "sites").select("site_id", "lat", "lon")

@@ -144,7 +144,8 @@ def pairwise_weights(spark, sf):
 
 # ---------------------------------------------------------------- descriptive statistics
 
-PROFILE = ["ghi", "temperature", "slope", "elevation", "ndvi_pre", "lst_pre"]
+PROFILE = ["ghi", "temperature", "cloud_cover", "elevation", "slope", "accessibility", "ndvi", "ndvi_pre", "ndbi", "ndbi_pre", "lst", "lst_pre",
+           "nightlights", "nightlights_pre", "population", "population_pre"]
 
 
 @query("region_class_counts", views="sites", oracle="select region, label, count(*) as n from sites group by region, label")
@@ -203,13 +204,20 @@ def missing_pct(spark, sf):
     return PR.missing_pct(view(spark, sf, "sites"), PROFILE + ["aspect", "landcover"]).select("feature", R("pct", 7).alias("pct"), "n_missing")
 
 
-@query("class_histogram", views="sites", oracle="""
-with l as (select quantile_cont(ghi, 0.01) as lo, quantile_cont(ghi, 0.99) as hi from sites),
-b as (select label, cast(least(floor((least(greatest(ghi, lo), hi) - lo)/((hi-lo)/39)), 38) as int) as bin, (hi-lo)/39 as width from sites, l where ghi is not null),
+HISTOGRAMS = ["ghi", "temperature", "slope", "elevation", "ndvi_pre", "lst_pre"]
+
+
+def _histogram_sql(f):
+    return f"""
+select * from (with l as (select quantile_cont({f}, 0.01) as lo, quantile_cont({f}, 0.99) as hi from sites),
+b as (select label, cast(least(floor((least(greatest({f}, lo), hi) - lo)/((hi-lo)/39)), 38) as int) as bin, (hi-lo)/39 as width from sites, l where {f} is not null),
 n as (select label, bin, count(*) as n, any_value(width) as width from b group by label, bin)
-select 'ghi' as feature, label, bin, n, round(n/(sum(n) over (partition by label)*width), 7) as density from n""")
+select '{f}' as feature, label, bin, n, round(n/(sum(n) over (partition by label)*width), 7) as density from n) t_{f}"""
+
+
+@query("class_histogram", views="sites", oracle=" union all ".join(_histogram_sql(f) for f in HISTOGRAMS))
 def class_histogram(spark, sf):
-    return PR.class_histogram(view(spark, sf, "sites"), ["ghi"], "label").select("feature", "label", "bin", "n", R("density", 7).alias("density"))
+    return PR.class_histogram(view(spark, sf, "sites"), HISTOGRAMS, "label").select("feature", "label", "bin", "n", R("density", 7).alias("density"))
 
 
 _SP = ["ghi", "slope", "ndvi_pre", "lst_pre"]

@@ -18,12 +18,14 @@ def R(x, n=9):
 
 
 @query("inventory_projection", views="plants footprints", oracle="""
-with o as (select poly, sum(x1*y2-x2*y1) as a, sum((x1+x2)*(x1*y2-x2*y1)) as sx, sum((y1+y2)*(x1*y2-x2*y1)) as sy
-  from footprints where role = 'outer' group by poly)
+with r as (select poly, ring, any_value(role) as role, sum(x1*y2-x2*y1) as a, sum((x1+x2)*(x1*y2-x2*y1)) as sx, sum((y1+y2)*(x1*y2-x2*y1)) as sy
+  from footprints group by poly, ring),
+s as (select *, sign(a)*(case when role = 'inner' then -1 else 1 end) as f from r),
+o as (select poly, sum(f*a) as a, sum(f*sx) as sx, sum(f*sy) as sy from s group by poly)
 select plant_id as unique_id, area_m2, capacity_mw, confidence, round(sx/(3*a), 3) as x, round(sy/(3*a), 3) as y
 from plants join o on poly = plant_id""")
 def inventory_projection(spark, sf):
-    centre = centroids(view(spark, sf, "footprints").where("role = 'outer'"))
+    centre = centroids(view(spark, sf, "footprints"))
     return view(spark, sf, "plants").join(centre, F.col("poly") == F.col("plant_id")).select(
         F.col("plant_id").alias("unique_id"), "area_m2", "capacity_mw", "confidence", R("cx", 3).alias("x"), R("cy", 3).alias("y"))
 
