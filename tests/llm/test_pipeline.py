@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as pipeline
 import sentencepiece
 from test_jaccard import brute
-from test_models import plain_secrets
+from test_trained import plain_secrets
 from test_texts import leaks
 
 from helioscape.llm import queries
