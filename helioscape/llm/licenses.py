@@ -98,7 +98,7 @@ RULES = [
 ]
 #: Characters that may stand between two sentences of a rule: comment marks, numbering, a short remark.
 GAP = 200
-#: Every known sentence holds one of these; a text without any has no licence.
+#: Every known sentence holds one of these; a text without any has no licence. Words, held against words.
 ANCHORS = ("license", "permission", "redistribut", "warranty", "licensed", "copyright", "public domain", "liable")
 
 #: A sentence ends at a mark before white space, or at a line end; what follows may still continue it.
@@ -117,33 +117,39 @@ def _trie(sentences: dict[str, str]) -> dict:
 
 
 class Matcher:
-    """Known sentences as a trie of words, and rules by their first sentence."""
+    """Known sentences as a trie of words, and rules by their first sentence.
 
-    def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES):
+    With `anywhere`, sentences are also known inside longer ones; otherwise only where the text pauses before and after.
+    """
+
+    def __init__(self, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, anywhere: bool = False):
         loose = [n for n, words in sentences.items() if not any(a in words for a in ANCHORS)]
         if loose:
             raise ValueError(f"sentences without an anchor word: {loose}")
         self.trie, self.rules = _trie(sentences), {}
+        self.anywhere = anywhere
+        self.anchors = [(a.split()[0], re.compile("[^a-z0-9]+".join(a.split()))) for a in ANCHORS]
         for rank, (licence, steps) in enumerate(rules):
             self.rules.setdefault(steps[0], []).append((rank, licence, steps))
 
     def sentences(self, text: str) -> list[tuple[str, int, int]]:
-        """(identifier, start, end) of known sentences, the longest at each sentence beginning."""
+        """(identifier, start, end) of known sentences, the leftmost first and the longest at each place, without overlaps."""
         lowered = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
         words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
-        starts = [w[1] for w in words]
-        breaks = sorted({m.end() for m in _END.finditer(lowered)} | {0})
+        if self.anywhere:
+            places = (i for i, w in enumerate(words) if w[0] in self.trie)
+        else:
+            starts = [w[1] for w in words]
+            places = (bisect_right(starts, at - 1) for at in sorted({m.end() for m in _END.finditer(lowered)} | {0}))
         out, free = [], 0
-        for at in breaks:
-            first = bisect_right(starts, at - 1)
-            if first < free or first >= len(words) or words[first][0] not in self.trie:
+        for first in places:
+            if first < free or first >= len(words):
                 continue
             node, here, found = self.trie, first, None
             while here < len(words) and words[here][0] in node:
                 node = node[words[here][0]]
                 here += 1
-                # a sentence is whole where the text pauses after it
-                if "" in node and (here == len(words) or _END.search(lowered, words[here - 1][2], words[here][1])):
+                if "" in node and (self.anywhere or here == len(words) or _END.search(lowered, words[here - 1][2], words[here][1])):
                     found = node[""], here
             if found:
                 free = found[1]
@@ -155,7 +161,7 @@ class Matcher:
         if not text:
             return []
         lowered = text.lower()
-        if not any(a in lowered for a in ANCHORS):
+        if not any(word in lowered and anchor.search(lowered) for word, anchor in self.anchors):
             return []
         known, out, at = self.sentences(text), [], 0
         while at < len(known):
@@ -181,16 +187,17 @@ class Matcher:
 
 
 def find_licences(docs: DataFrame, id_col: str, text_col: str, sentences: dict[str, str] = SENTENCES,
-                  rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+                  rules: list[tuple[str, list[str]]] = RULES, anywhere: bool = False) -> DataFrame:
     """(id, found array<struct<license, start, end>>): licences of whole texts in text order, code points, ends exclusive.
 
-    Null and empty texts have none; a licence stated twice is found twice. Repeated rows are repeated; other
+    Null and empty texts have none; a licence stated twice is found twice. With `anywhere`, sentences inside longer ones
+    count; otherwise the text must pause before and after. Repeated rows are repeated; other
     columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sentences, rules)
+        matcher = Matcher(sentences, rules, anywhere)
         for batch in batches:
             found = [[{"license": n, "start": a, "end": b} for n, a, b in matcher.licences(t)] for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "found": found})

@@ -155,7 +155,7 @@ from documents d left join met on met.doc_id = d.doc_id group by d.doc_id"""
 
 @query("op6_license_scans", _licence_sql())
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.find_licences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = licenses.find_licences(table(spark, sf_dir, "documents"), "doc_id", "text", anywhere=True)
     return found.select(F.col("id").alias("doc_id"), F.size("found").cast("long").alias("n_licenses"),
                         F.array_join(F.array_sort(F.array_distinct("found.license")), ",").alias("licenses"))
 
