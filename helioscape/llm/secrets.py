@@ -1,4 +1,4 @@
-"""Secret scan: rules give base findings; a character convolutional network judges every other candidate in its context.
+"""Secret scan: rules give base findings; a character convolutional network judges every other run of six characters and more in its context.
 
 The network is trained here, in numpy, on labelled findings (value with the text around it). Its scores are calibrated
 on findings held out of the fit, and the threshold is the highest that keeps the recall asked for.
@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.spark_support import stored
+
 #: The base rules. Letters of names in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -22,7 +24,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "model")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: A candidate is a run of these characters, with a letter and a digit and at least so long.
+#: Runs of these characters, so long, can be a finding of the rules; those with a letter and a digit are drawn apart for a fit.
 _RUN_CHARACTERS = string.ascii_letters + string.digits + "+/_=-"
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in _RUN_CHARACTERS]] = True
@@ -30,12 +32,22 @@ _DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LETTER[65:91] = _LETTER[97:123] = True
 LEAST_RUN = 12
+#: Candidates are runs of so many characters without blanks, those between marks that join values, and those of the characters above.
+LEAST_CANDIDATE = 6
+JOINS = "/:@="
 
 #: Shape of the network: characters seen left of, in and right of a candidate (from its two ends), sizes of its layers.
 LEFT, VALUE, RIGHT = 24, 40, 8
 WIDTH, EMBEDDED, FILTERS = 5, 8, 24
 _ALPHABET = {c: i + 2 for i, c in enumerate(string.ascii_letters + string.digits + string.punctuation + " \n")}
 SYMBOLS = len(_ALPHABET) + 2  # 0 beyond the text, 1 any other character
+_SYMBOL = np.ones(128, np.uint8)
+for _c, _i in _ALPHABET.items():
+    _SYMBOL[ord(_c)] = _i
+#: A value longer than the network sees is shown by its two ends and in windows that begin so far apart.
+STRIDE = VALUE // 2
+#: Characters of texts that are scored together, and of a block whose responses are held at once.
+BATCH_CHARACTERS, BLOCK = 4_000_000, 16_384
 
 #: Findings of either label that a fit takes at most.
 FIT_FINDINGS = 3_000
@@ -73,13 +85,76 @@ def _has_run(texts: list[str]) -> np.ndarray:
     return out
 
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+class Characters:
+    """Texts as symbols in one array, LEFT zeros before and after each; the candidates between their base spans."""
+
+    def __init__(self, texts: list[str], base: list[list[tuple[int, int, int]]]):
+        gap = "\n" * LEFT
+        points = np.frombuffer((gap + gap.join([*texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = LEFT + np.cumsum(np.append(0, sizes[:-1] + LEFT))
+        ascii_only = np.minimum(points, 127)
+        self.symbols = np.where(points < 128, _SYMBOL[ascii_only], 1).astype(np.uint8)
+        blank = np.isin(ascii_only, _SPACES[_SPACES < 127])
+        wide = np.flatnonzero(points > 127)
+        blank[wide[np.isin(points[wide], _SPACES)]] = True
+        self.symbols[:LEFT] = 0
+        for at, size, spans in zip(self.starts, sizes, base, strict=True):
+            self.symbols[at + size:at + size + LEFT] = 0
+            for a, b, _ in spans:
+                blank[at + a:at + b] = True
+        joins = np.isin(ascii_only, [ord(c) for c in JOINS])
+        run = _RUN[ascii_only] & (points < 128) & ~blank
+        found = [_runs(~blank), _runs(~blank & ~joins), _runs(run)]
+        start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        whole = end - start >= LEAST_CANDIDATE
+        key = np.unique(start[whole] << 32 | end[whole])
+        self.start, self.end = key >> 32, key & 0xFFFFFFFF
+        self.owner = np.searchsorted(self.starts, self.start, side="right") - 1
+        count = lambda kind: np.append(0, np.cumsum(kind[ascii_only] & (points < 128), dtype=np.int64))
+        digits, letters, runs = count(_DIGIT), count(_LETTER), np.append(0, np.cumsum(run, dtype=np.int64))
+        held = lambda c: c[self.end] - c[self.start]
+        mark = np.zeros(128, bool)
+        mark[[ord(c) for c in string.punctuation]] = True
+        #: Those with a mark.
+        self.marked = held(count(mark)) > 0
+        #: Runs long enough that hold a letter and a digit.
+        self.coded = (held(digits) > 0) & (held(letters) > 0) & (held(runs) == self.end - self.start) & (self.end - self.start >= LEAST_RUN)
+
+    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Views of chosen candidates as codes, and the row that each belongs to: both ends, and windows over long values."""
+        s, e = self.start[rows], self.end[rows]
+        long = np.flatnonzero(e - s > VALUE)
+        count = -(-(e[long] - s[long] - VALUE) // STRIDE) + 1
+        of = np.repeat(long, count)
+        at = np.minimum(s[of] + STRIDE * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)), e[of] - VALUE)
+        a, b = np.append(s, at), np.append(e, at + VALUE)
+        j = np.arange(VALUE)
+        size = (b - a)[:, None]
+        place = np.where((size > VALUE) & (j >= VALUE // 2), b[:, None] - VALUE + j, a[:, None] + j)
+        value = np.where(j < size, self.symbols[np.minimum(place, len(self.symbols) - 1)], 0)
+        codes = np.concatenate((self.symbols[a[:, None] + np.arange(-LEFT, 0)], value, self.symbols[b[:, None] + np.arange(RIGHT)]), 1)
+        return codes.astype(np.int64), np.append(np.arange(len(rows)), of)
+
+
+def _runs(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(held[1:] != held[:-1]) + 1
+    return edge[::2].astype(np.int64), edge[1::2].astype(np.int64)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs long enough that hold a letter and a digit."""
-    return [m.span() for m in _CANDIDATE.finditer(text)
-            if not m.group().isalpha() and any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group())]
+    """All runs of LEAST_CANDIDATE characters and more: without blanks, without JOINS, and of the characters of a code."""
+    seen = Characters([text], [[]])
+    return [(int(a) - LEFT, int(b) - LEFT) for a, b in zip(seen.start, seen.end, strict=True)]
+
+
+def _views(text: str, start: int, end: int) -> list[np.ndarray]:
+    """What the network sees of a value: both ends, and overlapping windows over a long one."""
+    places = [*range(start, end - VALUE, STRIDE), end - VALUE] if end - start > VALUE else []
+    return [_codes(text, start, end), *[_codes(text, a, a + VALUE) for a in places]]
 
 
 def _codes(text: str, start: int, end: int) -> np.ndarray:
@@ -117,6 +192,62 @@ class SecretModel:
         return _chance(np.concatenate(parts), self.slope, self.offset) if parts else np.empty(0)
 
 
+    def chances(self, seen: Characters) -> np.ndarray:
+        """Calibrated chance of every candidate, of a long one the largest of its views.
+
+        A response belongs to a place of the text, so it is found once for all candidates around it.
+        """
+        logits = np.full(len(seen.start), -np.inf)
+        size = seen.end - seen.start
+        short, rest = np.flatnonzero(size <= VALUE - WIDTH + 1), np.flatnonzero(size > VALUE - WIDTH + 1)
+        for i in range(0, len(rest), 1000):
+            codes, of = seen.windows(rest[i:i + 1000])
+            for k in range(0, len(codes), 2000):
+                np.maximum.at(logits, rest[i + of[k:k + 2000]], self.logits(codes[k:k + 2000]))
+        tables = [(self.embedding @ self.filters[k * EMBEDDED:(k + 1) * EMBEDDED]).astype(np.float32) for k in range(WIDTH)]
+        bias = self.bias.astype(np.float32)
+        pairs = [(a[:, None] + b).reshape(-1, FILTERS) for a, b in ((tables[0], tables[1]), (tables[2], tables[3]))]
+        zero = np.array([t[0] for t in tables])
+        beyond = np.maximum(zero.sum(0) + bias, 0)
+        dense = self.dense.astype(np.float32)
+        symbols = np.append(seen.symbols, np.zeros(2 * VALUE, np.uint8)).astype(np.int64)
+        double = symbols[:-1] * SYMBOLS + symbols[1:]
+        cuts = np.searchsorted(seen.start[short], np.arange(0, len(seen.symbols) + BLOCK, BLOCK))
+        for block, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if i == j:
+                continue
+            rows = short[i:j]
+            low, high = max(0, block * BLOCK - LEFT), min((block + 1) * BLOCK + VALUE + RIGHT, len(symbols) - WIDTH)
+            response = pairs[0][double[low:high]]
+            response += pairs[1][double[low + 2:high + 2]]
+            response += tables[4][symbols[low + 4:high + 4]]
+            response += bias
+            np.maximum(response, 0, out=response)
+            largest = {1: response}  # of so many responses from a place on
+            for width in (1, 2, 4, 8, 16):
+                before = largest[width]
+                largest[2 * width] = np.maximum(before[:-width], before[width:])
+            total = np.concatenate((np.zeros((1, FILTERS)), np.cumsum(response, 0, dtype=np.float64)))
+            s, e, n = seen.start[rows] - low, seen.end[rows] - low, size[rows]
+            left = np.maximum(largest[16][s - LEFT], largest[8][s - 8])
+            top, mean = largest[4][e], total[e + 4] - total[e] + total[e - 4] - total[s - 4]
+            for width in (4, 8, 16, 32):
+                of = np.flatnonzero((n >= width) & (n < 2 * width))
+                top[of] = np.maximum(top[of], np.maximum(largest[width][s[of] - 4], largest[width][e[of] - 4 - width]))
+            for m in range(1, WIDTH):
+                for first, at in ((0, e - m), (WIDTH - m, e)):  # the last m characters of a value, the first m after it
+                    edge = bias + (zero[m:].sum(0) if first == 0 else zero[:first].sum(0))
+                    edge = edge + sum(tables[first + k][symbols[low + at + k]] for k in range(m))
+                    np.maximum(edge, 0, out=edge)
+                    np.maximum(top, edge, out=top)
+                    mean += edge
+            zeros = VALUE - WIDTH + 1 - n
+            top = np.where((zeros > 0)[:, None], np.maximum(top, beyond), top)
+            mean = (mean + zeros[:, None] * beyond) / (_PARTS[1][1] - _PARTS[1][0])
+            logits[rows] = left @ dense[:FILTERS] + top @ dense[FILTERS:2 * FILTERS] + mean @ self.dense[2 * FILTERS:-1] + self.dense[-1]
+        return _chance(logits, self.slope, self.offset)
+
+
 def _chance(logits: np.ndarray, slope: float, offset: float) -> np.ndarray:
     return 1 / (1 + np.exp(-(slope * np.clip(logits, -20, 20) + offset)))
 
@@ -144,10 +275,13 @@ def fit(findings: list[tuple[str, int, int, int]], epochs: int = 6, recall: floa
     is the model's precision. Without held-out secrets it is 0.5.
     """
     rng = np.random.default_rng(11)
-    codes = np.stack([_codes(t, a, b) for t, a, b, _ in findings])
-    labels = np.array([y for *_, y in findings], float)
-    order = rng.permutation(len(labels))
-    held_out, train = np.split(order, [len(order) // 5])
+    views = [_views(t, a, b) for t, a, b, _ in findings]
+    codes, of = np.concatenate(views), np.repeat(np.arange(len(views)), [len(v) for v in views])
+    labels = np.array([y for *_, y in findings], float)[of]
+    held_out, train = np.split(rng.permutation(len(findings)), [len(findings) // 5])
+    is_train = np.zeros(len(findings), bool)
+    is_train[train] = True
+    train = np.flatnonzero(is_train[of])
     params = [rng.normal(0, 0.3, (SYMBOLS, EMBEDDED)), rng.normal(0, 0.25, (WIDTH * EMBEDDED, FILTERS)), np.zeros(FILTERS),
               rng.normal(0, 0.1, 3 * FILTERS + 1)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -177,7 +311,10 @@ def fit(findings: list[tuple[str, int, int, int]], epochs: int = 6, recall: floa
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    held, y = _forward(*params, codes[held_out])[0], labels[held_out]
+    largest = np.full(len(findings), -np.inf)
+    for i in range(0, len(codes), 2000):
+        np.maximum.at(largest, of[i:i + 2000], _forward(*params, codes[i:i + 2000])[0])
+    held, y = largest[held_out], np.array([findings[i][3] for i in held_out], float)
     a, b = _calibrated(held, y)
     chance = _chance(held, a, b)
     positive = np.sort(chance[y == 1])
@@ -212,7 +349,7 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_findings(docs: DataFrame, text_col: str, limit: int = FIT_FINDINGS) -> list[tuple[str, int, int, int]]:
-    """At most `limit` findings of either label from the texts: values of base findings and other candidates, with context.
+    """At most `limit` findings of four kinds with context: values of base findings, other coded runs, others with and without marks.
 
     All texts are searched; a hash of the finding chooses, so the choice does not depend on order or partitions.
     """
@@ -220,21 +357,38 @@ def labelled_findings(docs: DataFrame, text_col: str, limit: int = FIT_FINDINGS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch["text"]]
-            for text in _with_runs(texts):
-                spans = base_spans(text)
-                values = [ASSIGN.match(text, a).span(2) if k == 0 else (a, b) for a, b, k in spans]
-                free = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in spans)]
-                for label, found in ((1, values), (0, free)):
-                    for a, b in found:
+            for texts, base in _with_base([t or "" for t in batch["text"]]):
+                rows = []
+                for text, spans in zip(texts, base, strict=True):
+                    for a, b in (ASSIGN.match(text, a).span(2) if k == 0 else (a, b) for a, b, k in spans):
                         start = max(0, a - reach)
-                        rows.append((text[start:b + reach], a - start, b - start, label))
-            yield pd.DataFrame(rows, columns=["text", "start", "end", "label"])
+                        rows.append((0, 0, text[start:b + reach], a - start, b - start))
+                seen = Characters(texts, base)
+                rank = _rank(seen)
+                for kind, there in ((1, seen.coded), (2, ~seen.coded & seen.marked), (3, ~seen.coded & ~seen.marked)):
+                    there = np.flatnonzero(there)
+                    ranks, first = np.unique(rank[there], return_index=True)
+                    for r, i in zip(ranks[:limit], there[first[:limit]], strict=True):
+                        text, at = texts[seen.owner[i]], seen.starts[seen.owner[i]]
+                        a, b = int(seen.start[i] - at), int(seen.end[i] - at)
+                        start = max(0, a - reach)
+                        rows.append((kind, int(r), text[start:b + reach], a - start, b - start))
+                yield pd.DataFrame(rows, columns=["kind", "rank", "text", "start", "end"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind int, rank long, text string, start int, end int")
+    found = stored(found, "secret-findings").distinct()
+    order = ["rank", F.xxhash64("text", "start", "end"), "text", "start", "end"]
+    chosen = [found.where(F.col("kind") == y).orderBy(*order).limit(limit).collect() for y in (0, 1, 2, 3)]
+    return [(r.text, r.start, r.end, int(r.kind == 0)) for rows in chosen for r in rows]
+
 
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "text string, start int, end int, label int").distinct()
-    chosen = [found.where(F.col("label") == y).orderBy(F.xxhash64("text", "start", "end"), "text", "start", "end").limit(limit).collect() for y in (0, 1)]
-    return [tuple(r) for rows in chosen for r in rows]
+def _rank(seen: Characters) -> np.ndarray:
+    """A number of every candidate that depends on its size and the characters around and in it only."""
+    out = (seen.end - seen.start).astype(np.uint64)
+    for j in [*range(-8, 24)]:
+        out = (out ^ seen.symbols[np.minimum(seen.start + j, len(seen.symbols) - 1)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(1)).astype(np.int64)
 
 
 def made_findings(count: int = 1_500, seed: int = 5) -> list[tuple[str, int, int, int]]:
@@ -248,11 +402,14 @@ def made_findings(count: int = 1_500, seed: int = 5) -> list[tuple[str, int, int
         secret = [lambda: pick(alnum, int(rng.integers(20, 44))), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24),
                   lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24), lambda: pick(alnum + "+/", 40) + "==",
                   lambda: "eyJ" + pick(alnum + "_-", 30), lambda: "AIza" + pick(alnum + "_-", 35), lambda: pick("0123456789abcdef", 32),
-                  lambda: "glpat-" + pick(alnum + "_-", 20)][i % 9]()
+                  lambda: "glpat-" + pick(alnum + "_-", 20), lambda: pick(alnum + "!#$%&*?", int(rng.integers(12, 20))),
+                  lambda: pick(string.ascii_letters, int(rng.integers(24, 48)))][i % 11]()
         plain = [lambda: f"{word()}-{word()}-{rng.integers(1, 99)}", lambda: f"{word()}{rng.integers(1000, 99999)}{word()}",
                  lambda: f"/{word()}/{word()}/{rng.integers(1, 9999)}/{word()}", lambda: f"version-{rng.integers(0, 20)}-{rng.integers(0, 20)}-{word()}",
                  lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}",
-                 lambda: word() + word() + word() + str(rng.integers(0, 9)), lambda: f"{word()}_{word()}_{rng.integers(1, 999)}"][i % 7]()
+                 lambda: word() + word() + word() + str(rng.integers(0, 9)), lambda: f"{word()}_{word()}_{rng.integers(1, 999)}",
+                 lambda: word() + str(rng.choice(["", ",", ".", "s", "-" + word()])), lambda: str(rng.integers(10**5, 10**12)),
+                 lambda: word().upper() + str(rng.choice(["!!", ",!!", ".!!", "???", "."])), lambda: word() + word() + word() + word() + str(rng.choice(["", "***", "&&&", "$$$", "%%%"]))][i % 11]()
         for value, label in ((secret, 1), (plain, 0)):
             before = str(rng.choice(["", "the ", "Authorization: Bearer ", "key = ", "auth: ", "see ", "credential ", "id ", "use ", '"', "of the "]))
             left = f"{word()} {word()} {before}"
@@ -260,12 +417,17 @@ def made_findings(count: int = 1_500, seed: int = 5) -> list[tuple[str, int, int
     return out
 
 
-def _with_runs(texts: list[str]) -> Iterator[str]:
-    for at in range(0, len(texts), 1000):
-        part = texts[at:at + 1000]
-        for text, there in zip(part, _has_run(part), strict=True):
-            if there or _named(text):
-                yield text
+def _with_base(texts: list[str]) -> Iterator[tuple[list[str], list[list[tuple[int, int, int]]]]]:
+    """Parts of the texts, of bounded size unless a single text is longer, with their base spans."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and end - at < 1000 and size + len(texts[end]) <= BATCH_CHARACTERS:
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        yield part, [base_spans(t) if there or _named(t) else [] for t, there in zip(part, _has_run(part), strict=True)]
+        at = end
 
 
 def _named(text: str) -> bool:
@@ -273,14 +435,23 @@ def _named(text: str) -> bool:
     return any(name in lowered for name in NAMES)
 
 
-def find_spans(text: str, model: SecretModel | None, runs: bool = True) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of base findings and of the candidates beside them that the network holds for secrets."""
-    base = base_spans(text)
-    free = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)] if runs and model else []
-    if not free:
-        return base
-    chance = model.probability(np.stack([_codes(text, a, b) for a, b in free]))
-    return sorted(base + [(a, b, 3) for (a, b), p in zip(free, chance, strict=True) if p >= model.threshold])
+def find_spans(texts: list[str], model: SecretModel | None) -> Iterator[list[tuple[int, int, int]]]:
+    """(start, end, kind) of base findings and of the candidates beside them that the network holds for secrets.
+
+    Candidates that overlap are one span.
+    """
+    for part, base in _with_base(texts):
+        if model:
+            seen = Characters(part, base)
+            # responses are found in single precision here
+            for i in np.flatnonzero(model.chances(seen) >= model.threshold - 1e-6):
+                spans, at = base[seen.owner[i]], seen.starts[seen.owner[i]]
+                a, b = int(seen.start[i] - at), int(seen.end[i] - at)
+                if spans and spans[-1][2] == 3 and a < spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(b, spans[-1][1]), 3)
+                else:
+                    spans.append((a, b, 3))
+        yield from (sorted(spans) for spans in base)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, model: SecretModel | None) -> DataFrame:
@@ -294,13 +465,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, model: SecretModel | None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            spans = []
-            for at in range(0, len(texts), 1000):
-                part = texts[at:at + 1000]
-                for text, there in zip(part, _has_run(part) if part else (), strict=True):
-                    found = find_spans(text, sent.value, there) if there or _named(text) else []
-                    spans.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in found])
+            found = find_spans([t or "" for t in batch["text"]], sent.value)
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in one] for one in found]
             yield pd.DataFrame({"id": batch["id"], "spans": spans})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
@@ -323,12 +489,9 @@ def mask_secrets(docs: DataFrame, text_col: str, model: SecretModel | None) -> D
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000].where(batch.iloc[at:at + 1000].notna(), None).tolist()
-                for text, there in zip(part, _has_run([t or "" for t in part]), strict=True):
-                    touched = text is not None and (there or _named(text))
-                    out.append(masked(text, find_spans(text, sent.value, there)) if touched else text)
+            texts = batch.where(batch.notna(), None).tolist()
+            found = find_spans([t or "" for t in texts], sent.value)
+            out = [masked(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
             yield pd.Series(out, dtype=object)
 
     return docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
