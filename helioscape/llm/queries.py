@@ -5,13 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fingerprints, html_extract, jaccard_join, licenses, pieces, pii, quality, secrets, url_filter
+from ..operators.spark_support import join_same
+from . import conversations, decontaminate, fingerprints, html_extract, jaccard_join, licenses, manifest, packing, pieces, pii, quality, secrets, \
+    structure_sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Vocabulary of the piece queries; any SentencePiece model file that the driver can read.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Tokenizer of the packing query and the id that ends a text.
+PACKING_MODEL, END_ID = "/opt/tokenizers/word_bpe_49k.json", 1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -191,3 +195,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.read_vocabulary(PIECE_MODEL)
     encoded = pieces.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, check=True)
     return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
+@query("op11_conversation_repair", structure_sql.REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation id, null included; repeated rows are turns of their own (duplicates), an empty table gives no rows."""
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    found = conversations.repair(damaged, "conv", "turn", "role", "text", dropped_col="dropped")
+    return join_same(found.reports, found.digests(), ["conv"]).withColumnsRenamed({"conv": "conv_id", "digest": "repaired_sha256"})
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece; null and empty texts are the end mark alone, repeated rows are packed each, an empty table gives no rows."""
+    pieces_ = packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", PACKING_MODEL, end_id=END_ID)
+    return pieces_.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("tokens").alias("ids_crc32"),
+                          F.col("text_tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+@query("op13_merkle_manifest", structure_sql.manifest())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents, repeated ones too; a null doc_id is a leaf that nobody tampers with, an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    row = lambda text: manifest.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    lowered = F.translate("text", _UPPER, _LOWER)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claim = F.when(hit, row(lowered)).otherwise(row(F.col("text")))
+    proofs = manifest.build_manifest(docs, "doc_id", "lang", row(F.col("text")), claim).proofs()
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"),
+                         F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
