@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spark_support import stored
+from .textkit import give_back
 
 #: The base rules. Letters of names in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -51,6 +52,8 @@ BATCH_CHARACTERS, BLOCK = 4_000_000, 16_384
 
 #: Findings of either label that a fit takes at most.
 FIT_FINDINGS = 3_000
+#: Texts that the findings of a fit come from.
+FIT_TEXTS = 20_000
 RECALL = 0.995
 
 
@@ -348,11 +351,15 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def labelled_findings(docs: DataFrame, text_col: str, limit: int = FIT_FINDINGS) -> list[tuple[str, int, int, int]]:
+def labelled_findings(docs: DataFrame, text_col: str, limit: int = FIT_FINDINGS, texts: int = FIT_TEXTS) -> list[tuple[str, int, int, int]]:
     """At most `limit` findings of four kinds with context: values of base findings, other coded runs, others with and without marks.
 
-    All texts are searched; a hash of the finding chooses, so the choice does not depend on order or partitions.
+    About `texts` different texts are searched, all if there are fewer. Hashes of the text and of the finding choose, so the
+    choice does not depend on order or partitions.
     """
+    share = min(1.0, texts / max(docs.count(), 1))
+    drawn = F.pmod(F.xxhash64(text_col, F.lit("fit")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    docs = docs.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull() & drawn).distinct()
     reach = LEFT + RIGHT
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,7 +382,7 @@ def labelled_findings(docs: DataFrame, text_col: str, limit: int = FIT_FINDINGS)
                         rows.append((kind, int(r), text[start:b + reach], a - start, b - start))
                 yield pd.DataFrame(rows, columns=["kind", "rank", "text", "start", "end"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind int, rank long, text string, start int, end int")
+    found = docs.mapInPandas(run, "kind int, rank long, text string, start int, end int")
     found = stored(found, "secret-findings").distinct()
     order = ["rank", F.xxhash64("text", "start", "end"), "text", "start", "end"]
     chosen = [found.where(F.col("kind") == y).orderBy(*order).limit(limit).collect() for y in (0, 1, 2, 3)]
@@ -468,6 +475,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, model: SecretModel | None)
             found = find_spans([t or "" for t in batch["text"]], sent.value)
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in one] for one in found]
             yield pd.DataFrame({"id": batch["id"], "spans": spans})
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .mapInPandas(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int>>")
@@ -493,5 +501,6 @@ def mask_secrets(docs: DataFrame, text_col: str, model: SecretModel | None) -> D
             found = find_spans([t or "" for t in texts], sent.value)
             out = [masked(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)]
             yield pd.Series(out, dtype=object)
+        give_back()
 
     return docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
