@@ -14,6 +14,7 @@ and those of frequent words are remembered.
 """
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .textkit import give_back
+
 BLANK = "▁"
 #: Words in one of the two generations that a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 _UNKNOWN_PENALTY = 10.0
 _RUNS = re.compile(" +[^ ]*")
 
@@ -178,20 +181,28 @@ class Encoder:
     def _merged(self, text: str) -> list[int]:
         """The merges themselves: of the neighbours whose joint text is a piece the best scored, leftmost join, again and again."""
         parts, ids, scores = list(text), self.ids, self.vocabulary.scores
-        joint = [ids.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            at, best = -1, -np.inf
-            for i, j in enumerate(joint):
-                if j is not None and scores[j] > best:
-                    at, best = i, scores[j]
-            if at < 0:
-                return [ids.get(p, self.unknown) for p in parts]
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            del joint[at]
-            if at < len(joint):
-                joint[at] = ids.get(parts[at] + parts[at + 1])
-            if at:
-                joint[at - 1] = ids.get(parts[at - 1] + parts[at])
+        after = [*range(1, len(parts)), -1]  # neighbours that are left; joined parts are None
+        ahead = [*range(-1, len(parts) - 1)]
+        waiting: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i] if i >= 0 else -1
+            if j >= 0 and (piece := ids.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(waiting, (-scores[piece], i, parts[i] + parts[j]))
+
+        for i in range(len(parts)):
+            offer(i)
+        while waiting:
+            _, i, joined = heapq.heappop(waiting)
+            j = after[i] if parts[i] is not None else -1
+            if j < 0 or len(parts[i]) + len(parts[j]) != len(joined) or parts[i] + parts[j] != joined:
+                continue  # one of the two has been joined since
+            parts[i], parts[j], after[i] = joined, None, after[j]
+            if after[i] >= 0:
+                ahead[after[i]] = i
+            offer(i)
+            offer(ahead[i])
+        return [ids.get(p, self.unknown) for p in parts if p is not None]
 
     def _skip(self, best: list[float], back: list[int], at: int) -> None:
         if best[at] + self.unknown_score > best[at + 1]:
@@ -235,7 +246,7 @@ _encoders: dict[int, Encoder] = {}
 
 
 def _encoder(sent: Broadcast) -> Encoder:
-    """The worker's encoder of a vocabulary; kept between tasks."""
+    """The worker's encoder of a vocabulary."""
     vocabulary = sent.value
     name = hash(vocabulary)
     if name not in _encoders:
@@ -271,6 +282,10 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabu
                 if check:
                     columns.append(pa.array([encoder.decode(x) == (t or "").replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "round_trip"][:len(columns)])
+        # remembered words would stay beside the stages that follow
+        del encoder
+        _encoders.clear()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \

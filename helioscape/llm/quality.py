@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .textkit import LETTERS_ONLY, word_hashes
+from .textkit import LETTERS_ONLY, give_back, word_hashes
 
 #: Rated documents that a fit takes at most, picked by a hash of the id.
 FIT_ROWS = 6_000
@@ -244,6 +244,8 @@ def _judge(spark: SparkSession, model: QualityModel):
                 tails = np.where(counts[:, None] > 0, sent.value.tails(score), 0.0)
                 out.append(pd.DataFrame({"expected_grade": tails.sum(1), "p_best": tails[:, -1], "keep": (tails[:, -1] >= sent.value.least) & (counts > 0)}))
             yield pd.concat(out[1:] or out)
+        del dense
+        give_back()
 
     return F.pandas_udf(run, "expected_grade double, p_best double, keep boolean")
 

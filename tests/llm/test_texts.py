@@ -5,7 +5,7 @@ import re
 from cases import awkward_documents, edited, prose
 from pyspark.sql import functions as F
 
-from helioscape.llm import decontaminate, fingerprints, licenses, queries, textkit, url_filter
+from helioscape.llm import decontaminate, fingerprints, licenses, pieces, queries, textkit, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -167,3 +167,34 @@ def test_bloom_filter_has_no_false_negative(spark):
     for i, bit in enumerate(url_filter._bits(F.col("u"))):
         met = met.where(F.col(f"lane{i}").bitwiseAND(bit) != 0)
     assert met.count() == 3000
+
+
+def test_merging_takes_a_run_of_blanks_in_proportion():
+    import time
+
+    vocabulary = pieces.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    encoder = pieces.Encoder(vocabulary)
+    start = time.process_time()
+    ids = encoder.encode(" " * 100_000 + "a")
+    assert time.process_time() - start < 10
+    assert encoder.decode(ids) == " " * 100_000 + "a"
+
+
+def test_merging_by_plain_repetition():
+    import random
+
+    vocabulary = pieces.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    encoder, draw = pieces.Encoder(vocabulary), random.Random(2)
+
+    def plain(text):
+        parts = list(text)
+        while True:
+            joint = [(-vocabulary.scores[encoder.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in encoder.ids]
+            if not joint:
+                return [encoder.ids.get(p, encoder.unknown) for p in parts]
+            i = min(joint)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+    for _ in range(300):
+        text = "".join(draw.choice("aabetionsrl▁▁▁") for _ in range(draw.randrange(30)))
+        assert encoder._merged(text) == plain(text), text

@@ -258,3 +258,11 @@ def test_unigram_paths_by_brute_force():
         assert "".join(vocabulary.pieces[i] for i in ids) == marked
         assert abs(sum(vocabulary.scores[i] for i in ids) - best(marked)) < 1e-9
     assert encoder.encode("axb").tolist().count(0) == 1
+
+
+def test_personal_data_in_long_and_foreign_digits():
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(1, 0, 5007)]
+    assert pii.base_spans("9" * 5000 + ".2.3.4") == []
+    assert not pii._plausible("1.2.3.²", 1, 0, 7)
+    assert not pii._plausible("1.2.3.٣", 1, 0, 7)
+    assert pii._plausible("001.2.3.255", 1, 0, 11)
