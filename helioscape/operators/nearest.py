@@ -1,12 +1,11 @@
-"""Exact nearest neighbour as equi-joins on nested grid cells.
+"""Exact nearest neighbour as equi-joins down a packed tree of boxes.
 
-Targets are placed in cells that get finer (by 4 per axis) until no cell holds more than a few of them,
-so a clump of targets is split instead of becoming one hot bucket.  Query points are grouped by their own
-cell; for each such cell the tree of target cells is descended one level at a time, keeping only cells
-that can still hold a nearest target (lower bound <= best upper bound).  Points then meet just those
-targets.  The list of a query cell is bounded by the leaf size, whatever the data.
+Targets are sorted by Morton code of their place and cut into runs of a fixed number; a run is a leaf, 16 consecutive
+nodes are one node of the next level. A leaf therefore holds at most that number of targets and a node at most 16 children,
+whether the targets are spread out, lie in a clump or on a ring, or share one midpoint. Leaves are packed, not cells, so
+nothing has to be refined. Every distinct query place starts at the few top nodes and goes down level by level, keeping the
+nodes whose box is no farther than the best upper bound that the place knows; then it meets the targets of the leaves left.
 """
-import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,120 +15,106 @@ from ..functions.geo import chord_km, segment_distance2, unit_xyz
 from ..functions.nulls import num
 from .spark_support import stored
 
-STEP = 4
-LEAF = 6
-MAX_LEVEL = 12
+#: Targets of a leaf, and children of a node as a power of two.
+LEAF = 16
+FAN_BITS = 4
 SLACK = 1e-9
 
 
-def _lit(value: float) -> str:
-    return f"({float(value)!r}D)"
-
-
-def _cell(dims: list[str], origin: list[float], width: float, level: int) -> list[Column]:
-    scale = _lit(STEP ** level)
-    return [F.expr(f"bigint(floor((`{d}` - {_lit(o)}) / {_lit(width)} * {scale}))") for d, o in zip(dims, origin)]
-
-
-def _boxes(dims: list[str], lo: list[str], hi: list[str]) -> list[Column]:
-    """Tight bounding box of a group of targets, plus their number."""
-    out = [F.count("*").alias("_n")]
-    for i, (a, b) in enumerate(zip(lo, hi)):
-        out += [F.min(a).alias(f"b{i}"), F.max(b).alias(f"e{i}")]
-    return out
-
-
-def _coarser(tree: DataFrame, cells: list[str], steps: int) -> DataFrame:
-    """Boxes of the ancestors `steps` levels up."""
-    up = tree.withColumns({c: F.floor(F.col(c) / float(STEP ** steps)).cast("bigint") for c in cells})
-    aggs = [F.sum("_n").alias("_n")]
-    for i in range(len(cells)):
-        aggs += [F.min(f"b{i}").alias(f"b{i}"), F.max(f"e{i}").alias(f"e{i}")]
-    return up.groupBy(*cells).agg(*aggs)
-
-
-class _Index:
-    """Targets with their leaf cell, and the boxes of all occupied leaf cells, both written once."""
-
-    def __init__(self, targets: DataFrame, dims: list[str], lo: list[str], hi: list[str], leaf: int):
-        axes = range(len(dims))
-        self.dims, self.cells = dims, [f"t{i}" for i in axes]
-        self.targets = stored(targets, "targets")
-        row = self.targets.agg(F.count("*").alias("n"), *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)],
-                               *[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]).first()
-        n = row["n"]
-        self.origin = [row[f"lo{i}"] or 0.0 for i in axes]
-        self.width = max([(row[f"hi{i}"] or 0.0) - (row[f"lo{i}"] or 0.0) for i in axes]) or 1.0
-        self.level = min(MAX_LEVEL, max(1, round(math.log(max(n / leaf, 1), STEP ** 2))))
-        while True:
-            keys = [c.alias(k) for c, k in zip(self.cell_of(self.level), self.cells)]
-            grouped = self.targets.select(*keys, *set(lo + hi)).groupBy(*self.cells).agg(*_boxes(dims, lo, hi))
-            self.tree = stored(grouped, "cells")
-            top = self.tree.agg(F.max("_n")).first()[0] or 0
-            if top <= 4 * leaf or self.level >= MAX_LEVEL:
-                break
-            self.level += 1
-
-    def cell_of(self, level: int) -> list[Column]:
-        return _cell(self.dims, self.origin, self.width, level)
-
-    def targets_by_cell(self) -> DataFrame:
-        return self.targets.select(*[c.alias(k) for c, k in zip(self.cell_of(self.level), self.cells)],
-                                   *[F.col(c).alias(f"t_{c}") for c in self.targets.columns])
-
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """Pairs (q0.., t0..): target cells that can hold the nearest target of some point in the query cell."""
-        axes = range(len(self.dims))
-        q, cells, m = [f"q{i}" for i in axes], self.cells, [f"m{i}" for i in axes]
-        leaf_width = self.width / STEP ** self.level
-        half_diagonal = leaf_width * math.sqrt(len(self.dims)) / 2
-        found = queries.withColumns({m[i]: F.expr(f"{_lit(self.origin[i])} + ({q[i]} + 0.5D) * {_lit(leaf_width)}") for i in axes})
-        # the targets span at most STEP + 1 cells per axis on level 1: a fixed fan-out starts the descent
-        first = F.array(*[F.lit(i).cast("bigint") for i in range(STEP + 1)])
-        for c in cells:
-            found = found.withColumn(c, F.explode(first))
-        for depth in range(1, self.level + 1):
-            boxes = self.tree if depth == self.level else _coarser(self.tree, cells, self.level - depth)
-            boxes = boxes.drop("_n")
-            if depth == 1:
-                paired = found.join(boxes, cells)
-            else:
-                parent = [f"u{i}" for i in axes]
-                children = boxes.withColumns({u: F.floor(F.col(c) / STEP).cast("bigint") for u, c in zip(parent, cells)})
-                paired = found.select(*q, *m, *[F.col(c).alias(u) for u, c in zip(parent, cells)]).join(children, parent)
-            near = " + ".join(f"pow(greatest(b{i} - m{i}, m{i} - e{i}, 0D), 2)" for i in axes)
-            far = " + ".join(f"pow(greatest(m{i} - b{i}, e{i} - m{i}), 2)" for i in axes)
-            bounds = paired.withColumns({"_near": F.expr(f"sqrt({near}) - {_lit(half_diagonal)}"),
-                                         "_far": F.expr(f"sqrt({far}) + {_lit(half_diagonal)}")})
-            best = F.min("_far").over(W.partitionBy(*q))
-            found = bounds.withColumn("_best", best).where(f"_near <= _best * {_lit(1 + SLACK)} + {_lit(SLACK * self.width)}") \
-                .select(*q, *m, *cells)
-        return found.select(*q, *cells)
+def _morton(dims: list[str], origin: list[float], width: float) -> Column:
+    """Interleaved bits of the scaled coordinates: places with a long common prefix lie in one small cell."""
+    count = len(dims)
+    bits = 62 // count
+    code = F.lit(0).cast("bigint")
+    for i, (d, o) in enumerate(zip(dims, origin)):
+        x = F.floor((F.col(d) - num(o)) * num(((1 << bits) - 1) / width)).cast("bigint")
+        block = 1 << (bits - 1).bit_length() - 1
+        while block:  # move halves of every block apart
+            mask = sum(((1 << block) - 1) << (k * block * count) for k in range(64 // (block * count) + 1)) & (1 << 63) - 1
+            x = x.bitwiseOR(F.shiftleft(x, block * (count - 1))).bitwiseAND(F.lit(mask))
+            block //= 2
+        code = code.bitwiseOR(F.shiftleft(x, i))
+    return code
+
+
+class PackedTree:
+    """Targets with the number of their leaf, and the boxes of all nodes by level; both are written once."""
+
+    def __init__(self, targets: DataFrame, dims: list[str], lo: list[str], hi: list[str], leaf: int, extent: tuple[list[float], float]):
+        self.dims = dims
+        ranged = targets.withColumn("_code", _morton(dims, *extent)).repartitionByRange("_code").sortWithinPartitions("_code")
+        kept = stored(ranged.drop("_code").withColumn("_at", F.monotonically_increasing_id()), "nearest-targets")
+        kept = kept.withColumn("_part", F.shiftright("_at", 33)).withColumn("_run", F.expr(f"(_at & {(1 << 33) - 1}) div {leaf}"))
+        # leaves are numbered through all partitions: one row a partition
+        counts = kept.groupBy("_part").agg((F.max("_run") + 1).alias("runs")).orderBy("_part").collect()
+        first, offsets = 0, []
+        for r in counts:
+            offsets += [first] * (r["_part"] + 1 - len(offsets))
+            first += r["runs"]
+        self.leaves = first
+        began = F.element_at(F.lit(offsets or [0]).cast("array<bigint>"), F.col("_part").cast("int") + 1)
+        self.targets = kept.withColumn("_leaf", began + F.col("_run")).drop("_at", "_part", "_run")
+        self.height = 0
+        while first > 1 << FAN_BITS:
+            first, self.height = -(-first // (1 << FAN_BITS)), self.height + 1
+        self.bounds = [f"{side}{i}" for i in range(len(dims)) for side in "be"]
+        low = [F.min(c).alias(f"b{i}") for i, c in enumerate(lo)] + [F.max(c).alias(f"e{i}") for i, c in enumerate(hi)]
+        boxes = self.targets.groupBy("_leaf").agg(*low)
+        levels = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.height)))) \
+            .withColumn("node", F.expr(f"shiftright(_leaf, level * {FAN_BITS})"))
+        up = [(F.min if c[0] == "b" else F.max)(c).alias(c) for c in self.bounds]
+        self.nodes = stored(levels.groupBy("level", "node").agg(*up), "nearest-nodes")
+
+    def candidates(self, places: DataFrame, tolerance: float) -> DataFrame:
+        """(dims, _leaf): the leaves that can hold the nearest target of a place."""
+        top = self.nodes.where(F.col("level") == self.height).orderBy("node").collect()  # at most 16
+        roots = F.array(*[F.struct(F.lit(r["node"]).alias("node"), *[F.lit(r[c]).alias(c) for c in self.bounds]) for r in top])
+        found = places.select(*self.dims, F.explode(roots).alias("_r")).select(*self.dims, "_r.*")
+        near = " + ".join(f"pow(greatest(b{i} - `{d}`, `{d}` - e{i}, 0D), 2)" for i, d in enumerate(self.dims))
+        # a target touches every face of a box: one is no farther than the far end of the nearer face of any axis
+        face = lambda i, d, k: f"pow({'least' if i == k else 'greatest'}(abs(`{d}` - b{i}), abs(e{i} - `{d}`)), 2)"
+        ends = [" + ".join(face(i, d, k) for i, d in enumerate(self.dims)) for k in range(len(self.dims))]
+        far = f"least({', '.join(ends)})"
+        for level in range(self.height, -1, -1):
+            if level < self.height:
+                children = self.nodes.where(F.col("level") == level).select(F.expr(f"shiftright(node, {FAN_BITS})").alias("_up"), "node", *self.bounds)
+                found = found.join(children, F.col("_at") == F.col("_up"))
+            met = found.select(*self.dims, F.col("node").alias("_at"), F.expr(f"sqrt({near})").alias("_near"), F.expr(f"sqrt({far})").alias("_far"))
+            bound = F.min("_far").over(W.partitionBy(*self.dims))
+            found = met.withColumn("_best", bound).where(F.col("_near") <= F.col("_best") * num(1 + SLACK) + num(tolerance)).select(*self.dims, "_at")
+        return found.withColumnRenamed("_at", "_leaf")
 
 
 def nearest(points: DataFrame, targets: DataFrame, dims: list[str], point_id: str, target_cols: list[str],
             distance2: Callable[[Callable[[str], Column]], Column] | None = None, box: tuple[list[str], list[str]] | None = None,
-            leaf: int = LEAF, digits: int = 9) -> DataFrame:
+            leaf: int = LEAF, digits: int = 9, extent: tuple[list[float], float] | None = None) -> DataFrame:
     """(point_id, *target_cols, distance) of the nearest target; ties go to the smallest target_cols.
 
     `points` has point_id and `dims`; `targets` has `dims` and target_cols.  Targets with an extent pass the
     columns of their box and `distance2(t)`, the exact squared distance between point columns and t(name).
-    Each query cell carries the short list of targets that can win there, so a point is moved once and
-    compared inside its row.
+    `extent` (origin and width) saves the pass that finds it. Points and targets without a place (null, NaN) are left out;
+    repeated points are repeated; without targets nothing is returned.
     """
     lo, hi = box or (dims, dims)
+    there = lambda df: df.where(" and ".join(f"`{d}` is not null and not isnan(`{d}`)" for d in dims))
+    targets = there(targets)
+    if extent is None:
+        row = targets.agg(*[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)], *[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]).first()
+        origin = [row[f"lo{i}"] or 0.0 for i in range(len(dims))]
+        extent = origin, max((row[f"hi{i}"] or 0.0) - o for i, o in enumerate(origin)) or 1.0
     if box is None:
         # of several targets at one place only the smallest can win
         targets = targets.groupBy(*dims).agg(*[F.min(F.struct(*target_cols)).alias("_t")] if target_cols else [F.count("*").alias("_c")]) \
             .select(*dims, *[F.col("_t")[c].alias(c) for c in target_cols])
-    index = _Index(targets, dims, lo, hi, leaf)
-    q = [f"q{i}" for i in range(len(dims))]
-    asked = points.select(point_id, *dims, *[c.alias(k) for c, k in zip(index.cell_of(index.level), q)])
-    pairs = index.candidates(asked.select(*q).distinct())
-    t_columns = [c for c in index.targets.columns]
-    listed = pairs.join(index.targets_by_cell(), index.cells).groupBy(*q).agg(
-        F.collect_list(F.struct(*[F.col(f"t_{c}").alias(c) for c in t_columns])).alias("_list"))
+    tree = PackedTree(targets, dims, lo, hi, leaf, extent)
+    asked = there(points.select(point_id, *dims))
+    if not tree.leaves:
+        kinds = {f.name: f.dataType for f in targets.schema.fields}
+        return asked.where("false").select(point_id, *[F.lit(None).cast(kinds[c]).alias(c) for c in target_cols], F.lit(None).cast("double").alias("distance"))
     scale = float(10 ** digits)
+    leaves = tree.candidates(asked.select(*dims).distinct(), 2 / scale)
+    # a leaf's few targets travel as one row
+    lists = tree.targets.groupBy("_leaf").agg(F.collect_list(F.struct(*[c for c in tree.targets.columns if c != "_leaf"])).alias("_list"))
 
     def hit(t):
         if distance2 is None:
@@ -141,8 +126,9 @@ def nearest(points: DataFrame, targets: DataFrame, dims: list[str], point_id: st
             d2 = distance2(lambda name: t[name])
         return F.struct(F.rint(F.sqrt(d2) * num(scale)).alias("d"), *[t[c].alias(c) for c in target_cols])
 
-    met = asked.join(listed, q).select(point_id, F.array_min(F.transform("_list", hit)).alias("_hit"))
-    return met.select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], (F.col("_hit")["d"] / num(scale)).alias("distance"))
+    met = leaves.join(lists, "_leaf").select(*dims, F.array_min(F.transform("_list", hit)).alias("_hit"))
+    best = met.groupBy(*dims).agg(F.min("_hit").alias("_hit"))
+    return asked.join(best, dims).select(point_id, *[F.col("_hit")[c].alias(c) for c in target_cols], (F.col("_hit")["d"] / num(scale)).alias("distance"))
 
 
 def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, target_cols: list[str],
@@ -152,7 +138,7 @@ def nearest_on_sphere(points: DataFrame, targets: DataFrame, point_id: str, targ
     dims = ["ux", "uy", "uz"]
     p = points.select(point_id, *[c.alias(d) for c, d in zip(unit_xyz(F.col(lat), F.col(lon)), dims)])
     t = targets.select(*target_cols, *[c.alias(d) for c, d in zip(unit_xyz(F.col(tlat), F.col(tlon)), dims)])
-    hit = nearest(p, t, dims, point_id, target_cols, leaf=leaf, digits=12)
+    hit = nearest(p, t, dims, point_id, target_cols, leaf=leaf, digits=12, extent=([-1.0] * 3, 2.0))
     return hit.withColumn("km", chord_km(F.col("distance"))).drop("distance")
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..operators import gazetteer as GZ
+from ..operators import gazetteer as GZ, retrieval as RT
 from ..operators.ordered import top_n
 from .registry import query
 from .shape_queries import R
@@ -174,3 +174,32 @@ def search_places(spark, sf):
 @query("search_places_fuzzy")
 def search_places_fuzzy(spark, sf):
     return GZ.search_places(queries(spark, sf), provider_answers(spark, sf))
+
+
+# ---------------------------------------------------------------- retrieval from the gazetteer itself
+
+def places(spark, sf):
+    return view(spark, sf, "gazetteer").selectExpr(
+        "place_id", "name", "concat(context, ' ', osm_value) as context", "case place_id % 5 when 0 then 'plant' when 1 then 'bus_stop' when 2 then 'city' else osm_value end as osm_value",
+        "case place_id % 7 when 0 then 'highway' when 1 then 'shop' else 'place' end as category", "20 + (place_id % 1700)/1e2 as lat", "65 + (place_id % 1300)/1e2 as lon")
+
+
+WORDS = f"""p as (select place_id, list_distinct(list_concat({TOKS.format(x='name')}, {TOKS.format(x="concat(context, ' ', osm_value)")})) as words from gazetteer),
+i as (select place_id, words, unnest(words) as word from p), n as (select word, count(*) as n from i group by word),
+q as (select place_id as query_id, list_distinct({TOKS.format(x=QUERY_TEXT)}) as words from gazetteer where place_id % 6 <> 4),
+r as (select query_id, arg_min(word, (n, word)) as word from (select query_id, unnest(words) as word from q) join n using (word) group by query_id),
+m as (select query_id, i.place_id, len(list_intersect(q.words, i.words)) as hits, len(i.words) as size from r join q using (query_id) join i using (word)),
+found as (select query_id, place_id, row_number() over (partition by query_id order by hits desc, size, place_id) - 1 as rank from m)"""
+
+
+@query("retrieve_places", views="gazetteer", oracle=f"with {WORDS} select query_id, place_id, cast(rank as int) as rank from found where rank < 10")
+def retrieve_places(spark, sf):
+    asked = queries(spark, sf).where("query_id % 6 <> 4")
+    return RT.retrieve(asked, ["query_id"], "query", places(spark, sf)).select("query_id", "place_id", "rank")
+
+
+@query("search_gazetteer")
+def search_gazetteer(spark, sf):
+    """Whole composition: corrected query, variants, beginnings of words, curated parks, all result columns."""
+    asked = queries(spark, sf).withColumn("query", F.when(F.col("query_id") % 12 == 5, F.concat("query", F.lit(" stadum"))).otherwise(F.col("query")))
+    return RT.search(asked, places(spark, sf)).withColumns({"lat": R("lat", 6), "lon": R("lon", 6)})
