@@ -64,7 +64,7 @@ def by_region(df: DataFrame, label: str, score: str, region: str = "region", is_
     """evaluate per region with test size, low-sample flag and note."""
     sizes = df.groupBy(region).agg(F.sum(F.col(is_test).cast("bigint")).alias("n_test"))
     low = F.col("n_pos") < K.LOW_SAMPLE_POSITIVES
-    note = F.when(low, F.format_string("Only %d labelled plants - metrics are unstable; treat predictions in this region with caution.", "n_pos")).otherwise("")
+    note = F.when(low, F.format_string("%d plants only: the figures of this region vary widely", "n_pos")).otherwise("")
     return join_same(evaluate(df, label, score, [region]), sizes, [region]).withColumns({"low_sample": low, "note": note})
 
 

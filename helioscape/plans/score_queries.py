@@ -287,7 +287,7 @@ def classification_metrics(spark, sf):
 with {SCORED}, r as (select *, rank() over (partition by region order by p) + (count(*) over (partition by region, p) - 1)/2e0 as rk from s),
 c as (select region, {CONFUSION}, round({AUC_SQL}, 9) as auc, cast(sum(case when site_id % 5 = 0 then 1 else 0 end) as bigint) as n_test from r group by region)
 select region, tp+fp+fn+tn as n, tp+fn as n_pos, {RATES}, auc, n_test, tp+fn < 150 as low_sample,
- case when tp+fn < 150 then concat('Only ', tp+fn, ' labelled plants - metrics are unstable; treat predictions in this region with caution.') else '' end as note from c""")
+ case when tp+fn < 150 then concat(tp+fn, ' plants only: the figures of this region vary widely') else '' end as note from c""")
 def metrics_by_region(spark, sf):
     s = scored(spark, sf).withColumn("is_test", F.col("site_id") % 5 == 0)
     return M.by_region(s, "label", "p").select("region", "n", "n_pos", *[R(c).alias(c) for c in RATE_COLUMNS + ("auc",)], "n_test", "low_sample", "note")
