@@ -3,15 +3,17 @@
 Randomness is a hash of an id and the seed, never rand(): a retried task draws the same points.
 """
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import constants as K
-from ..functions.geo import block_id, destination, segment_distance2
+from ..functions.geo import block_id, destination, merc_x, merc_y, segment_distance2
 from ..functions.nulls import num
 from .nearest import nearest_on_sphere, nearest_segment, split_segments
-from .ordered import top_n
-from .polygons import containing_polygons, keep_inside, polygon_cells, ring_area
+from .ordered import ordinal, top_n
+from .polygons import attach_polygon, containing_polygons, polygon_cells, ring_area
 from .spark_support import hash_fold, stored, uniform
 
 
@@ -44,19 +46,99 @@ def background_candidates(ids: DataFrame, id_col: str, south: float, north: floa
     return ids.select(id_col, F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
+def _annulus_point(key: str) -> list[Column]:
+    """lat, lon of a point 5-100 km from the row's (lat, lon), uniform over the annulus."""
+    lo, hi = K.HARD_KM
+    km = F.sqrt(num(lo ** 2) + uniform(F.col(key), "km") * num(hi ** 2 - lo ** 2))
+    lat, lon = destination(F.col("lat"), F.col("lon"), uniform(F.col(key), "bearing") * 360, km)
+    return [F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon")]
+
+
 def hard_candidates(positives: DataFrame, id_col: str, per_point: int) -> DataFrame:
-    """Points in the 5-100 km annulus around each positive, uniform over its area."""
+    """`per_point` points in the annulus around each positive."""
     tries = positives.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(per_point - 1)))) \
         .withColumn("cand_id", F.concat_ws("-", F.col(id_col).cast("string"), F.col("_k").cast("string")))
-    lo, hi = K.HARD_KM
-    km = F.sqrt(num(lo ** 2) + uniform(F.col("cand_id"), "km") * num(hi ** 2 - lo ** 2))
-    lat, lon = destination(F.col("lat"), F.col("lon"), uniform(F.col("cand_id"), "bearing") * 360, km)
-    return tries.select("cand_id", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
+    return tries.select("cand_id", *_annulus_point("cand_id"))
+
+
+def hard_draws(draws: DataFrame, id_col: str, positives: DataFrame, count: int) -> DataFrame:
+    """One point per draw, in the annulus around a positive that each draw picks with equal chance.
+
+    positives: pos (1 to count), lat, lon.
+    """
+    pos = (F.floor(uniform(F.col(id_col), "source") * count) + 1).cast("bigint")
+    return draws.select(id_col, pos.alias("pos")).join(positives.select("pos", "lat", "lon"), "pos").select(id_col, *_annulus_point(id_col))
+
+
+def numbered(points: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """Points with a position `pos` from 1 in the order of a unique numeric id, and how many there are."""
+    placed = stored(ordinal(points, [], id_col, "pos"), "numbered")
+    return placed, placed.count()
+
+
+def _nth_smallest(ids: DataFrame, id_col: str, n: int, end: int, buckets: int = 1024) -> int:
+    """The n-th smallest of unique ids in 0..end-1, by counts over ever narrower ranges; nothing is sorted."""
+    low, width = 0, end
+    while width > 1:
+        step = -(-width // buckets)
+        within = ids.where((F.col(id_col) >= low) & (F.col(id_col) < low + width))
+        counts = within.groupBy(F.floor((F.col(id_col) - low) / step).alias("b")).count().collect()  # at most `buckets` rows
+        for b, count in sorted((r["b"], r["count"]) for r in counts):
+            if n <= count:
+                break
+            n -= count
+        low, width = low + b * step, step
+    return low
+
+
+def sample_exact(spark: SparkSession, draw: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], wanted: int,
+                 id_col: str = "draw", most: int = 10_000) -> DataFrame:
+    """Rejection sampling to an exact count: the first `wanted` accepted draws in the order of their numbers.
+
+    draw(ids) makes a candidate of every number in `id_col`, keep(candidates) leaves the accepted ones. A candidate depends
+    on its number alone, so neither the sizes of the rounds nor retried tasks change the sample. Every round draws what is
+    short times the inverse of the rate seen so far and is written once. wanted <= 0 gives no rows; where fewer than one of
+    `most` draws is accepted, as on an empty land, ValueError instead of a short sample.
+    """
+    if wanted <= 0:
+        return keep(draw(spark.range(0).withColumnRenamed("id", id_col)))
+    parts, tried, have = [], 0, 0
+    while have < wanted:
+        if tried >= most * (have + 1):
+            raise ValueError(f"{have} of {tried} draws accepted, {wanted} wanted")
+        rate = (have + 1) / (tried + 1)
+        batch = min(math.ceil(1.1 * (wanted - have) / rate) + 100, most * (have + 1) - tried)
+        ids = spark.range(tried, tried + batch).withColumnRenamed("id", id_col)
+        part = stored(keep(draw(ids)), "accepted")
+        parts.append(part)
+        have, tried = have + part.count(), tried + batch
+    found = reduce(DataFrame.unionByName, parts)
+    return found.where(F.col(id_col) <= _nth_smallest(found, id_col, wanted, tried))
+
+
+def assign_region(points: DataFrame, borders: DataFrame, cell: float, point_id: str, piece: float = 50_000.0) -> DataFrame:
+    """Adds poly and region: the smallest polygon that contains the point, else that of the nearest outline (Mercator metres).
+
+    borders: poly, region, role, ring and edges in degrees. A point without coordinates, or without any polygon, has nulls.
+    """
+    placed = stored(attach_polygon(points, borders, cell, point_id), "placed")
+    flat = borders.select("poly", merc_x(F.col("x1")).alias("x1"), merc_y(F.col("y1")).alias("y1"), merc_x(F.col("x2")).alias("x2"), merc_y(F.col("y2")).alias("y2"))
+    missed = placed.where("poly is null and lat is not null and lon is not null").select(point_id, merc_x(F.col("lon")).alias("x"), merc_y(F.col("lat")).alias("y"))
+    near = nearest_segment(missed, split_segments(flat, piece), point_id, ["poly"]).select(point_id, F.col("poly").alias("_near"))
+    names = borders.groupBy("poly").agg(F.min("region").alias("region"))
+    return placed.join(near, point_id, "left").withColumn("poly", F.coalesce("poly", "_near")).drop("_near").join(names, "poly", "left")
+
+
+def select_positives(plants: DataFrame, borders: DataFrame, cell: float, most: int = K.MAX_POSITIVES_PER_REGION) -> DataFrame:
+    """Plants with lat, lon and the region they lie in: at most `most` a region, large ones favoured (weight: root of the area)."""
+    placed = assign_region(plants, borders, cell, "plant_id")
+    return weighted_top(placed, ["region"], "plant_id", F.sqrt("area_m2"), most)
 
 
 def accept(candidates: DataFrame, id_col: str, land: DataFrame, cell: float, plants: DataFrame) -> DataFrame:
-    """Candidates on land and far from every plant's surroundings."""
-    on_land = stored(keep_inside(candidates, land, cell, id_col), "on_land")  # read three times below
+    """Candidates on land and far from every plant's surroundings. land: `polygon_cells` of the land, made once for all rounds."""
+    inside = containing_polygons(candidates, land, cell, id_col).select(id_col).distinct()
+    on_land = stored(candidates.join(inside, id_col, "left_semi"), "on_land")  # read three times below
     return far_from_plants(on_land, plants, id_col)
 
 

@@ -309,38 +309,85 @@ def group_folds(spark, sf):
     return SM.group_folds(SM.with_blocks(view(spark, sf, "sites")), "group_id").select("site_id", "fold")
 
 
-BACKGROUND = f"""cand as (select c_custkey as site_id, round(degrees(asin(sin(radians(-20e0)) + {u_sql('c_custkey', 'lat')}*(sin(radians(20e0)) - sin(radians(-20e0))))), 7) as lat,
- round(60 + {u_sql('c_custkey', 'lon')}*40e0, 7) as lon from customer)"""
+# Draws are numbered from 0; a SQL text tries a fixed number that is ample for the accepted share and keeps the first ones.
+def box_sql(sfx: str, tries: str, south: str, north: str, west: str, east: str) -> str:
+    low, high = f"sin(radians({south}))", f"sin(radians({north}))"
+    return f"""n{sfx} as (select unnest(range(0, cast({tries} as bigint))) as draw),
+cand{sfx} as (select draw, round(degrees(asin({low} + {u_sql('draw', 'lat')}*({high} - {low}))), 7) as lat, round({west} + {u_sql('draw', 'lon')}*({east} - {west}), 7) as lon from n{sfx})"""
 
 
-def accepted_sql(cand: str, cid: str) -> str:
-    return f"""{cand}, land as (select {cid} from (select c.{cid}, b.poly,
- sum(case when (b.y1 > c.lat) <> (b.y2 > c.lat) and c.lon < b.x1 + (c.lat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits from cand c join borders b on true group by c.{cid}, b.poly) t where hits % 2 = 1),
-near as (select {cid}, arg_min(area_m2, (round(d, 12), plant_id, area_m2)) as area_m2, min(d) as d from (
- select s.{cid}, p.plant_id, p.area_m2, sqrt(pow(cos(radians(s.lat))*cos(radians(s.lon))-cos(radians(p.plat))*cos(radians(p.plon)),2)
+def land_sql(sfx: str) -> str:
+    return f"""land{sfx} as (select distinct draw from (select c.draw, b.poly,
+ sum(case when (b.y1 > c.lat) <> (b.y2 > c.lat) and c.lon < b.x1 + (c.lat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits
+ from cand{sfx} c join borders b on c.lat between -20 and 21 and c.lon between 60 and 101 group by c.draw, b.poly) t where hits % 2 = 1)"""
+
+
+def accepted_sql(sfx: str, limit: int) -> str:
+    """ok: candidates on land and far from plants, the first `limit` by number."""
+    return f"""{land_sql(sfx)},
+near{sfx} as (select draw, arg_min(area_m2, (round(d, 12), plant_id, area_m2)) as area_m2, min(d) as d from (
+ select s.draw, p.plant_id, p.area_m2, sqrt(pow(cos(radians(s.lat))*cos(radians(s.lon))-cos(radians(p.plat))*cos(radians(p.plon)),2)
  + pow(cos(radians(s.lat))*sin(radians(s.lon))-cos(radians(p.plat))*sin(radians(p.plon)),2) + pow(sin(radians(s.lat))-sin(radians(p.plat)),2)) as d
- from cand s join plants p on true where s.{cid} in (select {cid} from land)) t group by {cid}),
-ok as (select c.{cid}, c.lat, c.lon from cand c join near using ({cid}) where 2*6371.0088e0*asin(d/2) > 1 + sqrt(area_m2/pi())/1000)"""
+ from cand{sfx} s join plants p on true where s.draw in (select draw from land{sfx})) t group by draw),
+ok{sfx} as (select c.draw, c.lat, c.lon from cand{sfx} c join near{sfx} using (draw) where 2*6371.0088e0*asin(d/2) > 1 + sqrt(area_m2/pi())/1000 order by c.draw limit {limit})"""
+
+
+REGION_SQL = f"""pin as (select plant_id, min(poly) as poly from (select p.plant_id, b.poly,
+ sum(case when (b.y1 > p.plat) <> (b.y2 > p.plat) and p.plon < b.x1 + (p.plat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits
+ from plants p join borders b on true group by p.plant_id, b.poly) t where hits % 2 = 1 group by plant_id),
+pm as (select plant_id, 6378137e0*radians(plon) as x, 6378137e0*ln(tan(pi()/4+radians(plat)/2)) as y from plants where plant_id not in (select plant_id from pin)),
+bm as (select poly, 6378137e0*radians(x1) as x1, 6378137e0*ln(tan(pi()/4+radians(y1)/2)) as y1, 6378137e0*radians(x2) as x2, 6378137e0*ln(tan(pi()/4+radians(y2)/2)) as y2 from borders),
+pd as (select plant_id, poly, sqrt(min({SEGMENT_D2})) as m from pm p join bm b on true group by plant_id, poly),
+pq as (select * from pin union all select plant_id, arg_min(poly, (round(m, 3), poly)) from pd group by plant_id),
+preg as (select plant_id, poly, region from pq join (select distinct poly, region from borders) using (poly))"""
+POSITIVES_SQL = f"""{REGION_SQL},
+pos as (select * from (select p.plant_id, plat, plon, area_m2, capacity_mw, r.poly, r.region,
+ row_number() over (partition by r.region order by -ln({u_sql('p.plant_id')})/sqrt(area_m2), p.plant_id) as rn
+ from plants p join preg r using (plant_id) where area_m2 >= 10000 and confidence <> 'D') t where rn <= {K.MAX_POSITIVES_PER_REGION})"""
+BACKGROUND = box_sql("b", "220000", f"{K.LATITUDE_BAND[0]}e0", f"{K.LATITUDE_BAND[1]}e0", "-180e0", "180e0")
+HARD = f"""nh as (select unnest(range(0, 40000)) as draw), placed as (select plat, plon, row_number() over (order by plant_id) as pos from pos),
+t1 as (select draw, cast(floor({u_sql('draw', 'source')}*(select count(*) from pos)) as bigint) + 1 as pos from nh),
+t2 as (select *, sqrt(25 + {u_sql('draw', 'km')}*(10000-25))/6371.0088e0 as d, radians({u_sql('draw', 'bearing')}*360) as b, radians(plat) as la from t1 join placed using (pos)),
+t3 as (select *, sin(la)*cos(d) + cos(la)*sin(d)*cos(b) as s2 from t2),
+candh as (select draw, round(degrees(asin(s2)), 7) as lat, round(((plon + degrees(atan2(sin(b)*sin(d)*cos(la), cos(d)-sin(la)*s2)) + 540) % 360) - 180, 7) as lon from t3)"""
 
 
-@query("sample_background", views="plants borders", oracle=f"with {accepted_sql(BACKGROUND, 'site_id')} select site_id, lat, lon from ok")
-def sample_background(spark, sf):
-    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("site_id"))
-    cand = SM.background_candidates(ids, "site_id", -20, 20, 60, 100)
-    return SM.accept(cand, "site_id", view(spark, sf, "borders"), BORDER_CELL, view(spark, sf, "plants")).select("site_id", "lat", "lon")
+@query("assign_region", views="plants borders", oracle=f"with {REGION_SQL} select plant_id, poly, region from preg")
+def assign_region(spark, sf):
+    plants = view(spark, sf, "plants").select("plant_id", F.col("plat").alias("lat"), F.col("plon").alias("lon"))
+    return SM.assign_region(plants, view(spark, sf, "borders"), BORDER_CELL, "plant_id").select("plant_id", "poly", "region")
 
 
-HARD = f"""tries as (select plant_id, plat, plon, concat(plant_id, '-', k) as cand_id from plants, (values (0),(1),(2)) v(k)),
-t2 as (select *, sqrt(25 + {u_sql('cand_id', 'km')}*(10000-25))/6371.0088e0 as d, radians({u_sql('cand_id', 'bearing')}*360) as b, radians(plat) as la from tries),
-t3 as (select *, sin(la)*cos(d) + cos(la)*sin(d)*cos(b) as s2 from t2),
-cand as (select cand_id, round(degrees(asin(s2)), 7) as lat, round(((plon + degrees(atan2(sin(b)*sin(d)*cos(la), cos(d)-sin(la)*s2)) + 540) % 360) - 180, 7) as lon from t3)"""
+def positives(spark, sf):
+    from ..operators.shaping import eligible_plants
+    plants = eligible_plants(view(spark, sf, "plants")).withColumnsRenamed({"plat": "lat", "plon": "lon"}).drop("region")
+    return stored(SM.select_positives(plants, view(spark, sf, "borders"), BORDER_CELL), "positives")
+
+
+def land_and_far(spark, sf):
+    land, plants = stored(P.polygon_cells(view(spark, sf, "borders"), BORDER_CELL), "land"), view(spark, sf, "plants")
+    return lambda candidates: SM.accept(candidates, "draw", land, BORDER_CELL, plants)
+
+
+def background_negatives(spark, keep):
+    """As many as the labelled set asks for, uniform over all land of the latitude band."""
+    return SM.sample_exact(spark, lambda ids: SM.background_candidates(ids, "draw", *K.LATITUDE_BAND, -180, 180), keep, K.N_BACKGROUND)
+
+
+def hard_negatives(spark, keep, chosen):
+    """Negatives in the surroundings of chosen positives; none where nothing was chosen."""
+    placed, count = SM.numbered(chosen.select("plant_id", "lat", "lon"), "plant_id")
+    return SM.sample_exact(spark, lambda ids: SM.hard_draws(ids, "draw", placed, count), keep, K.N_HARD if count else 0)
 
 
-@query("sample_hard", views="plants borders", oracle=f"with {accepted_sql(HARD, 'cand_id')} select cand_id, lat, lon from ok")
+@query("sample_background", views="plants borders", oracle=f"with {BACKGROUND}, {accepted_sql('b', K.N_BACKGROUND)} select draw, lat, lon from okb")
+def sample_background(spark, sf):
+    return background_negatives(spark, land_and_far(spark, sf)).select("draw", "lat", "lon")
+
+
+@query("sample_hard", views="plants borders", oracle=f"with {POSITIVES_SQL}, {HARD}, {accepted_sql('h', K.N_HARD)} select draw, lat, lon from okh")
 def sample_hard(spark, sf):
-    plants = view(spark, sf, "plants")
-    cand = SM.hard_candidates(plants.select("plant_id", F.col("plat").alias("lat"), F.col("plon").alias("lon")), "plant_id", 3)
-    return SM.accept(cand, "cand_id", view(spark, sf, "borders"), BORDER_CELL, plants).select("cand_id", "lat", "lon")
+    return hard_negatives(spark, land_and_far(spark, sf), positives(spark, sf)).select("draw", "lat", "lon")
 
 
 @query("sample_interior")
@@ -350,17 +397,38 @@ def sample_interior(spark, sf):
         "poly", "rn", R("x", 4).alias("x"), R("y", 4).alias("y"), R("margin", 4).alias("margin"))
 
 
-@query("sample_region_negatives")
+METRIC_SQL = """k as (select 6378137.0e0/(1+n)*(1+n*n/4+n*n*n*n/64) as a, n/2-2*n*n/3+5*n*n*n/16+41*n*n*n*n/180 as a1,
+  13*n*n/48-3*n*n*n/5+557*n*n*n*n/1440 as a2, 61*n*n*n/240-103*n*n*n*n/140 as a3, 49561*n*n*n*n/161280 as a4, 2*sqrt(n)/(1+n) as e
+  from (select (1/298.257223563e0)/(2-1/298.257223563e0) as n)),
+km as (select draw, lat, lon, sinh(atanh(sin(radians(lat))) - e*atanh(e*sin(radians(lat)))) as t, radians(lon-81) as d, k.* from candr, k where draw in (select draw from landr)),
+ku as (select *, atan2(t, cos(d)) as xi, asinh(sin(d)/sqrt(t*t+cos(d)*cos(d))) as eta from km),
+kp as (select draw, lat, lon, 500000 + 0.9996e0*a*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta) + a4*cos(8*xi)*sinh(8*eta)) as x,
+  0.9996e0*a*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta) + a4*sin(8*xi)*cosh(8*eta)) as y from ku)"""
+WANTED_SQL = f"""wanted as (select cast(floor({K.NEGATIVE_RATIO}*sum(least(greatest(round_even(area/10000*{K.POINTS_PER_HA}, 0), 1), {K.MAX_POINTS_PER_POLYGON}))) as bigint) as w from (
+ select poly, sum(case when role = 'inner' then -r else r end) as area from (select poly, ring, role, abs(sum(x1*y2 - x2*y1))/2 as r from footprints group by poly, ring, role) q group by poly) q2)"""
+BOUNDS = ["(select min(y1) from borders)", "(select max(y1) from borders)", "(select min(x1) from borders)", "(select max(x1) from borders)"]
+
+
+@query("sample_region_negatives", views="borders footprints", oracle=f"""
+with {WANTED_SQL}, {box_sql('r', '(select 3*w + 200 from wanted)', *BOUNDS)}, {land_sql('r')}, {METRIC_SQL},
+f as (select p.draw, min(p.lat) as lat, min(p.lon) as lon from kp p join footprints b on true group by p.draw having min({SEGMENT_D2}) > 1e6)
+select draw, lat, lon, concat('B', cast(floor(lat/25e-2) as int), '_', cast(floor(lon/25e-2) as int)) as group_id from f
+where draw in (select draw from f order by draw limit (select w from wanted))""")
 def sample_region_negatives(spark, sf):
-    """Uniform points in a region's box, inside its polygon and outside the buffers of footprints in metres."""
-    borders = view(spark, sf, "borders")
-    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("pid"))
-    cand = SM.background_candidates(ids, "pid", -20, 20, 60, 100)
-    inside = P.keep_inside(cand, borders, BORDER_CELL, "pid")
-    x, y = project_metric(F.col("lat"), F.col("lon"))
-    metric = inside.withColumns({"x": x, "y": y})
-    kept = SM.outside_buffer(metric, view(spark, sf, "footprints"), "pid", K.OUTER_BUFFER_M, FOOTPRINT_CELL)
-    return SM.with_blocks(kept, 0.25).select("pid", "lat", "lon", "group_id")
+    """Uniform points in a region's box, inside its polygons and outside the buffers of footprints: 1.5 for every interior point wanted."""
+    borders, foot = view(spark, sf, "borders"), view(spark, sf, "footprints")
+    land = stored(P.polygon_cells(borders, BORDER_CELL), "land")
+    positive = P.ring_area(foot).agg(F.sum(SM.points_per_area(F.col("area")))).first()[0] or 0
+    bounds = borders.agg(F.min("y1"), F.max("y1"), F.min("x1"), F.max("x1")).first()
+
+    def keep(candidates):
+        x, y = project_metric(F.col("lat"), F.col("lon"))
+        found = P.containing_polygons(candidates, land, BORDER_CELL, "draw").select("draw").distinct()
+        inside = stored(candidates.join(found, "draw", "left_semi").withColumns({"x": x, "y": y}), "inside")
+        return SM.outside_buffer(inside, foot, "draw", K.OUTER_BUFFER_M, FOOTPRINT_CELL)
+
+    kept = SM.sample_exact(spark, lambda ids: SM.background_candidates(ids, "draw", *bounds), keep, int(K.NEGATIVE_RATIO * positive))
+    return SM.with_blocks(kept, 0.25).select("draw", "lat", "lon", "group_id")
 
 
 @query("union_labels", views="plants sites", oracle="""
@@ -373,28 +441,37 @@ def union_labels(spark, sf):
         .unionByName(s.where("neg_type = 'hard'"), allowMissingColumns=True)
 
 
+BANDS = ["ghi", "temperature", "cloud_cover", "elevation", "slope", "aspect", "accessibility", "worldcover", *[
+    f"{b}{sfx}" for sfx in ("_pre", "") for b in ("ndvi", "ndbi", "lst", "landcover", "nightlights", "population")]]
+
+
 @query("build_labelled", views="plants borders sites", oracle=f"""
-with {accepted_sql(BACKGROUND, 'site_id')},
-pos as (select plant_id, plat as lat, plon as lon, area_m2, region from (select *, row_number() over (partition by region order by -ln({u_sql('plant_id')})/sqrt(area_m2), plant_id) as rn
- from plants where area_m2 >= 10000 and confidence <> 'D') t where rn <= 1400),
-u as (select 'P' as src, plant_id as id, lat, lon, 1 as label, '' as neg_type, area_m2 from pos union all select 'B', site_id, lat, lon, 0, 'background', null from ok),
-w as (select site_id, ghi, slope from sites)
-select concat(src, '-', id) as pid, u.lat, u.lon, cast(u.label as int) as label, u.neg_type, u.area_m2, concat('B', cast(floor(u.lat/2) as int), '_', cast(floor(u.lon/2) as int)) as group_id, w.ghi, w.slope
-from u left join w on w.site_id = u.id""")
+with {POSITIVES_SQL}, {BACKGROUND}, {accepted_sql('b', K.N_BACKGROUND)}, {HARD}, {accepted_sql('h', K.N_HARD)},
+neg as (select 'B' as src, draw as id, lat, lon, 'background' as neg_type from okb union all select 'H', draw, lat, lon, 'hard' from okh),
+npoly as (select src, id, min(poly) as poly from (select c.src, c.id, b.poly,
+ sum(case when (b.y1 > c.lat) <> (b.y2 > c.lat) and c.lon < b.x1 + (c.lat-b.y1)*(b.x2-b.x1)/(b.y2-b.y1) then 1 else 0 end) as hits
+ from neg c join borders b on true group by c.src, c.id, b.poly) t where hits % 2 = 1 group by src, id),
+u as (select concat('P-', plant_id) as pid, plat as lat, plon as lon, 1 as label, '' as neg_type, area_m2, capacity_mw, poly, region from pos
+ union all select concat(src, '-', id), lat, lon, 0, neg_type, null, null, poly, region from neg join npoly using (src, id) join (select distinct poly, region from borders) using (poly)),
+d as (select u.pid, s.site_id, sqrt(pow(cos(radians(u.lat))*cos(radians(u.lon))-cos(radians(s.lat))*cos(radians(s.lon)),2)
+ + pow(cos(radians(u.lat))*sin(radians(u.lon))-cos(radians(s.lat))*sin(radians(s.lon)),2) + pow(sin(radians(u.lat))-sin(radians(s.lat)),2)) as d from u join sites s on true),
+m as (select pid, arg_min(site_id, (round(d, 12), site_id)) as site_id from d group by pid)
+select u.pid, u.lat, u.lon, cast(u.label as int) as label, u.neg_type, u.area_m2, u.capacity_mw, u.poly, u.region,
+ concat('B', cast(floor(u.lat/2) as int), '_', cast(floor(u.lon/2) as int)) as group_id, {', '.join('s.' + b for b in BANDS)}
+from u join m using (pid) join sites s using (site_id)""")
 def build_labelled(spark, sf):
-    """Positives, background negatives, blocks and sampled features as one lineage."""
-    from ..operators.shaping import eligible_plants
-    plants = view(spark, sf, "plants")
-    chosen = SM.weighted_top(eligible_plants(plants), ["region"], "plant_id", F.sqrt("area_m2"), K.MAX_POSITIVES_PER_REGION)
-    pos = chosen.select(F.lit("P").alias("src"), F.col("plant_id").alias("id"), F.col("plat").alias("lat"), F.col("plon").alias("lon"),
-                        "area_m2", F.lit(1).alias("label"), F.lit("").alias("neg_type"))
-    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("site_id"))
-    cand = SM.background_candidates(ids, "site_id", -20, 20, 60, 100)
-    neg = SM.accept(cand, "site_id", view(spark, sf, "borders"), BORDER_CELL, plants).select(
-        F.lit("B").alias("src"), F.col("site_id").alias("id"), "lat", "lon", F.lit(0).alias("label"), F.lit("background").alias("neg_type"))
-    points = SM.with_blocks(pos.unionByName(neg, allowMissingColumns=True))
-    feats = view(spark, sf, "sites").select(F.col("site_id").alias("id"), "ghi", "slope")
-    return points.join(feats, "id", "left").select(F.concat_ws("-", "src", "id").alias("pid"), "lat", "lon", "label", "neg_type", "area_m2", "group_id", "ghi", "slope")
+    """Positives, background and hard negatives to their full counts, regions, blocks and all bands of the nearest measured place."""
+    chosen, keep = positives(spark, sf), land_and_far(spark, sf)
+    pos = chosen.select(F.concat(F.lit("P-"), F.col("plant_id")).alias("pid"), "lat", "lon", "area_m2", "capacity_mw", "poly", "region",
+                        F.lit(1).alias("label"), F.lit("").alias("neg_type"))
+    named = lambda df, src, kind: df.select(F.concat(F.lit(src), F.col("draw")).alias("pid"), "lat", "lon", F.lit(0).alias("label"), F.lit(kind).alias("neg_type"))
+    neg = stored(named(background_negatives(spark, keep), "B-", "background").unionByName(named(hard_negatives(spark, keep, chosen), "H-", "hard")), "negatives")
+    neg = SM.assign_region(neg, view(spark, sf, "borders"), BORDER_CELL, "pid")
+    points = stored(SM.with_blocks(pos.unionByName(neg, allowMissingColumns=True)), "labelled")
+    sites = view(spark, sf, "sites")
+    hit = NN.nearest_on_sphere(points, sites, "pid", ["site_id"]).select("pid", "site_id")
+    return points.join(hit, "pid", "left").join(sites.select("site_id", *BANDS), "site_id", "left").select(
+        "pid", "lat", "lon", "label", "neg_type", "area_m2", "capacity_mw", "poly", "region", "group_id", *BANDS)
 
 
 @query("grid_features", views="borders cells", oracle=f"""
