@@ -3,11 +3,14 @@
 Fitting, scoring and evaluation are distributed; the driver holds parameters only (medians, knots,
 coefficients), whose number depends on the features and not on the rows.
 """
+import hashlib
 import json
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,7 +25,7 @@ from ..functions.nulls import num
 from . import metrics as M
 from .ordered import percentiles
 from .profile import unpivot
-from .spark_support import stored
+from .spark_support import scratch_path, shared_dir, stored
 
 KNOT_FRACTIONS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -285,3 +288,43 @@ def load_bundle(spark, path: str):
     model.pipeline = PipelineModel.load(f"{path}/pipeline")
     model.features, model.medians = meta["features"], meta["medians"]
     return model, meta
+
+
+# ---------------------------------------------------------------- registry
+
+REGISTRY = "name string, key string, path string"
+
+
+def table_key(df: DataFrame) -> str:
+    """Digest of a table's columns and rows, whatever their order: one aggregate, nothing sorted."""
+    cells = [c for name in df.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).alias("h")).first()
+    return hashlib.sha256(f"{df.schema.simpleString()}|{row['n']}|{row['h']}".encode()).hexdigest()
+
+
+def _bundles(spark, name: str, key: str) -> list:
+    """Finished bundles of a model in a fixed order; none where nothing was registered yet."""
+    try:
+        index = spark.read.schema(REGISTRY).parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return index.where((F.col("name") == name) & (F.col("key") == key)).orderBy("path").collect()
+
+
+def registered(spark, name: str, source: DataFrame, recipe: str, fit: Callable[[], TreeModel | MonotoneModel]) -> TreeModel | MonotoneModel:
+    """The model of that name for these source rows and this recipe: loaded if it was ever saved, else fitted, saved and loaded.
+
+    The registry is a table in the shared folder with one row a bundle. A row is appended once its bundle is complete, so a
+    fit that died leaves none; two fits at once leave two rows, and every reader takes the same one. `recipe` names the rules and parameters that turn source rows into a model: it changes when they do.
+    """
+    key = hashlib.sha256(f"{table_key(source)}|{recipe}".encode()).hexdigest()[:32]
+    found = _bundles(spark, name, key)
+    if not found:
+        path = scratch_path(spark, f"bundles/{name}")
+        save_bundle(spark, path, fit(), {"name": name, "key": key, "recipe": recipe})
+        row = spark.createDataFrame([(name, key, path)], REGISTRY)
+        row.coalesce(1).write.mode("append").parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
+        found = _bundles(spark, name, key)
+    return load_bundle(spark, found[0]["path"])[0]

@@ -11,9 +11,9 @@ from ..operators import models as ML
 from ..operators import overlay as O
 from ..operators import service as SV
 from ..operators.raster import extent
-from ..operators.spark_support import scratch_path, stored
+from ..operators.spark_support import scratch_path
 from ..streaming import requests as ST
-from .model_queries import fitted_monotone, labelled
+from .model_queries import development_model, fitted_monotone, physical_model
 from .registry import query
 from .score_queries import overlay_sql
 from .shape_queries import R
@@ -46,14 +46,9 @@ def features_of(requests, spark, sf):
 
 
 def models(spark, sf):
-    def development():
-        clean = stored(DS.global_design(labelled(spark, sf), ["label"], "pre"), "clean")
-        return ML.MonotoneModel(directions={}).fit(clean, DS.global_features(), "label")
-
-    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent fits
-        dev = pool.submit(development)
-        physical, _ = fitted_monotone(spark, sf)
-        return physical, dev.result()
+    with ThreadPoolExecutor(max_workers=2) as pool:  # two independent models
+        dev = pool.submit(development_model, spark, sf)
+        return physical_model(spark, sf), dev.result()
 
 
 def answered(requests, spark, sf, fitted):
