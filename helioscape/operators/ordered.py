@@ -5,10 +5,14 @@ boundaries are global quantiles, so no (key, range) group exceeds its share of t
 totals inside a range are added to the totals of the ranges before it.  Boundaries only balance the
 work: any boundaries give the same result.
 """
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .spark_support import join_same
+from .spark_support import join_same, stored
 
 RANGE_COLUMN = "_range"
 
@@ -85,16 +89,100 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: list[floa
 def grouped_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Exact median of several columns per key, null keys included; NaN counts as missing.
 
-    Every key takes the same path: its values are counted and cut into ranges, so no task holds a whole key.
-    A key without any value has null medians.
+    One pass: rows are range-partitioned by key and a salt, so every partition holds its share of the table whatever
+    the keys.  A key that lies inside a partition is finished there, all columns at once.  Only keys at the rim
+    of a partition (at most two each, a hot key among them) can go on elsewhere; their rows are cut into value ranges.
+    A key without any value has null medians; an empty table has no rows.
     """
     number = lambda v: F.col(v).cast("double")
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_band"), F.when(~F.isnan(number(v)), number(v)).alias("_x")) for i, v in enumerate(values)])).alias("_e")) \
-        .select(*keys, "_e._band", "_e._x")
-    medians = percentiles(long, [*keys, "_band"], "_x", [0.5], ["_m"])
-    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_band") == i, F.col("_m"))).alias(v) for i, v in enumerate(values)])
-    return join_same(df.select(*keys).distinct(), wide, keys, "left")
+    rows = df.select(*keys, *[F.when(~F.isnan(number(v)), number(v)).alias(v) for v in values])
+    salted = rows.withColumn("_salt", F.xxhash64(F.spark_partition_id(), *values))
+    ordered = salted.repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys).select(*keys, *values)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_whole", T.BooleanType())])
+    done = stored(ordered.mapInArrow(_median_runs(len(keys)), schema), "medians")
+    split = _split_median(done.where("not _whole").select(*keys, *values), keys, values)
+    return done.where("_whole").select(*keys, *values).unionByName(split)
+
+
+def _median_runs(n_keys: int, most: int = 1_000_000):
+    """Over sorted rows: one row of medians per run of equal keys (`_whole`), and the rows as they are of the first run,
+    the last run and any of more than `most` rows, so that memory is bounded by one batch and `most` rows."""
+
+    def changes(table: pa.Table) -> np.ndarray:
+        differs = np.zeros(max(len(table) - 1, 0), bool)
+        for column in table.columns[:n_keys]:
+            codes = pa.concat_arrays(column.chunks).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            differs |= codes[1:] != codes[:-1]
+        return np.flatnonzero(differs) + 1
+
+    def marked(table: pa.Table, whole: bool):
+        return table.append_column("_whole", pa.array(np.full(len(table), whole))).to_batches()
+
+    def medians(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+        out = table.take(pa.array(starts))
+        for i in range(n_keys, table.num_columns):
+            x = table.column(i).to_numpy()
+            has = ~np.isnan(x)
+            x, owner = x[has], run[has]
+            x = x[np.lexsort((x, owner))]
+            n = np.bincount(owner, minlength=len(starts))
+            first, some = np.cumsum(n) - n, n > 0
+            median = np.full(len(starts), np.nan)
+            low, high = x[(first + (n - 1) // 2)[some]], x[(first + n // 2)[some]]
+            median[some] = low + (high - low) * 0.5
+            out = out.set_column(i, table.field(i), pa.array(median, mask=~some))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, raw = None, True  # the run still open, and whether its rows pass as they are
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            starts = np.append(0, changes(held))
+            if raw:
+                if len(starts) == 1:  # one row stays, to be compared with what follows
+                    yield from marked(held.slice(0, len(held) - 1), False)
+                    held = held.slice(len(held) - 1)
+                    continue
+                yield from marked(held.slice(0, starts[1]), False)
+                held, starts, raw = held.slice(starts[1]), starts[1:] - starts[1], False
+            if starts[-1]:
+                yield from marked(medians(held.slice(0, starts[-1]), starts[:-1]), True)
+                held = held.slice(starts[-1])
+            if len(held) > most:
+                yield from marked(held.slice(0, len(held) - 1), False)
+                held, raw = held.slice(len(held) - 1), True
+        if held is not None:
+            yield from marked(held, False)
+
+    return run
+
+
+def _split_median(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The same medians where a key may hold any share of the rows: values are range-partitioned (equal ones by a salt), so
+    that a position in the stored order is a rank; counts per key and partition tell which positions hold the middle."""
+    long = df.withColumn("_salt", F.xxhash64(F.spark_partition_id(), *values)).select(*keys, "_salt", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_band"), F.col(v).alias("_x")) for i, v in enumerate(values)])).alias("_e")) \
+        .select(*keys, "_e._band", "_e._x", "_salt")
+    order = [*keys, "_band", "_x"]
+    ranked = stored(long.repartitionByRange(*order, "_salt").sortWithinPartitions(*order)
+                    .select(*order, F.monotonically_increasing_id().alias("_at")), "ranked")
+    part = ranked.groupBy(*keys, "_band", F.shiftright("_at", 33).alias("_part")).agg(
+        F.count("_x").alias("_n"), F.min("_at").alias("_first"), F.min(F.when(F.col("_x").isNotNull(), F.col("_at"))).alias("_start"))
+    key = W.partitionBy(*keys, "_band")
+    earlier = key.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    placed = part.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_total": F.sum("_n").over(key)})
+    middle = [F.floor((F.col("_total") + off) / 2) - F.col("_before") for off in (-1, 0)]
+    # a band without values points to a null row, so that its key stays
+    wanted = placed.select(F.explode(F.when(F.col("_total") == 0, F.array("_first")).otherwise(F.array(*[
+        F.when((m >= 0) & (m < F.col("_n")), F.col("_start") + m) for m in middle]))).alias("_at")).where("_at is not null").distinct()
+    found = ranked.join(wanted, "_at")
+    of = lambda i: F.when(F.col("_band") == i, F.col("_x"))
+    return found.groupBy(*keys).agg(*[
+        (F.min(of(i)) + (F.max(of(i)) - F.min(of(i))) * 0.5).alias(v) for i, v in enumerate(values)])
 
 
 def top_n(df: DataFrame, keys: list[str], order: list, n: int, spread: str, salts: int = 32,

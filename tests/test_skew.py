@@ -1,5 +1,6 @@
 """Hot keys: the split paths give the exact result of a plain computation."""
 import random
+import statistics
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -78,3 +79,35 @@ def test_balanced_weights_have_mean_one_and_a_cap(spark):
     capped = np.minimum(raw, np.median(raw) * 10)
     np.testing.assert_allclose(sorted(w), sorted(capped * len(capped) / capped.sum()))
     assert abs(np.mean(w) - 1) < 1e-9
+
+
+def test_median_runs_equal_brute_force_at_any_batch_size():
+    import pyarrow as pa
+    rng = random.Random(3)
+    keys = sorted([rng.choice([None, 1, 2, 3, 4, 5, 6]) for _ in range(500)], key=lambda k: (k is not None, k or 0))
+    xs = [rng.choice([None, 0.5, 1.0, 2.5, 7.0]) for _ in keys]
+    rows = pa.table({"k": pa.array(keys, pa.int64()), "x": pa.array(xs, pa.float64())})
+    for size, most in ((1, 1000), (7, 1000), (64, 20), (500, 1000), (3, 1)):
+        out = list(OD._median_runs(1, most)(iter(rows.to_batches(max_chunksize=size))))
+        got = pa.Table.from_batches(out).to_pylist()
+        raw = [(r["k"], r["x"]) for r in got if not r["_whole"]]
+        whole = {r["k"]: r["x"] for r in got if r["_whole"]}
+        assert not whole.keys() & {k for k, _ in raw} and None not in whole and 6 not in whole
+        assert len(whole) == sum(r["_whole"] for r in got)
+        for key in {None, 1, 2, 3, 4, 5, 6}:
+            mine = [x for k, x in zip(keys, xs) if k == key]
+            if key in whole:
+                assert whole[key] == statistics.median([x for x in mine if x is not None])
+            else:
+                assert sorted(map(str, mine)) == sorted(str(x) for k, x in raw if k == key)
+
+
+def test_median_of_many_keys_a_hot_key_and_none(spark):
+    rows = [(i % 97 if i % 3 else None, float(i * 37 % 1001), float("nan") if i % 5 else 1.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(6)
+    got = {r["k"]: (r["x"], r["y"]) for r in OD.grouped_median(df, ["k"], ["x", "y"]).collect()}
+    assert len(got) == 98
+    for key, (x, y) in got.items():
+        assert x == statistics.median([r[1] for r in rows if r[0] == key])
+        assert y == (1.0 if any(r[0] == key and r[2] == 1.0 for r in rows) else None)
+    assert OD.grouped_median(df.where("x < 0"), ["k"], ["x", "y"]).count() == 0
