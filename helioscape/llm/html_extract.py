@@ -2,7 +2,9 @@
 
 The page becomes a tree. Blocks of text pass points for length and commas up to their ancestors, discounted by link
 density; the best container is kept with those of its siblings that score enough or read like text. Parts that by
-tag, role or name are navigation, notices, adverts, forms or comments never score and are left out of the text.
+tag are navigation, notices, forms or the like, and reader comments, never score and are left out of the text. A part that
+only its name marks so is left out, too, unless it holds most of the page's own words (`_settle`). Parsing takes time in
+proportion to the page, however broken it is.
 """
 from __future__ import annotations
 
@@ -28,109 +30,138 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "option": {"option"}, "body": {"head"}}
 REACH = frozenset("table ul ol dl select html body div article section main td th".split())
 #: Words in class, id and role that mark what is not the article, and what keeps a part all the same.
+COMMENTS = re.compile(r"(^|[\s_-])(comments?|commentlist|disqus|reply|replies|respond|shoutbox)($|[\s_-])", re.I)
 BOILERPLATE = re.compile(
-    r"(^|[\s_-])(ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|copyright|disqus|"
+    r"(^|[\s_-])(ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|captcha|consent|cookies?|copyright|"
     r"dialog|disclaimer|foot|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|notification|"
-    r"overlay|pager|pagination|popup|privacy|promo|promos|related|reply|replies|respond|share|sharing|shoutbox|sidebars?|signup|skyscraper|"
+    r"overlay|pager|pagination|popup|privacy|promo|promos|related|share|sharing|sidebars?|signup|skyscraper|"
     r"social|sponsor(ed)?|sponsors|subscribe|subscription|tags|toolbar|topbar|widgets?|alert|complementary|contentinfo|search)($|[\s_-])", re.I)
 ARTICLE = re.compile(r"(^|[\s_-])(article|articlebody|body|content|entry|hentry|main|page|post|story|text)($|[\s_-])", re.I)
 #: Names of a layout that mentions a part without being it.
 _LAYOUT = re.compile(r"\b(has|with|no|without|show|hide)[-_]\w+", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-                    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+#: Elements that an inline end tag never crosses, and how many of them a start tag looks through for what it closes.
+_STRUCTURE = BLOCKS | {"option", "select", "head"}
+_FAR = 256
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote ul ol dl table figure".split())
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I | re.S)
 
 
 class Node:
     """An element: its children are nodes and strings (already decoded)."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "weight", "score", "letters", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "weight", "score", "letters", "linked", "block", "open")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: float = 0.0):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: float = 0.0, suspect: int = 0):
+        self.tag, self.parent, self.children, self.suspect = tag, parent, [], suspect
         self.dropped, self.weight, self.score, self.letters, self.linked = dropped, weight, 0.0, 0, 0
+        # the nearest structural element, itself included, and the inline elements open right inside it
+        self.block, self.open = (self, {}) if parent is None or tag in _STRUCTURE else (parent.block, None)
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
-    dropped, weight = tag in DROPPED, 0.0
+    dropped, weight, suspect = tag in DROPPED, 0.0, 0
     if "=" in attributes or "hidden" in attributes:
         for name, value in _NAMED.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                if ARTICLE.search(value):
+                article = ARTICLE.search(value)
+                if article:
                     weight += 25
-                if BOILERPLATE.search(_LAYOUT.sub(" ", value)) and tag not in ("html", "body", "article", "main"):
-                    dropped = True
+                if tag not in ("html", "body", "article", "main"):
+                    plain = _LAYOUT.sub(" ", value)
+                    dropped = dropped or COMMENTS.search(plain) is not None
+                    if BOILERPLATE.search(plain):
+                        # 1: names of both kinds, 2: of the one kind only
+                        weight, suspect = weight - 25, max(suspect, 1 if article else 2)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 dropped = dropped or tag not in ("html", "body")
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 dropped = dropped or tag not in ("html", "body")
-    return Node(tag, parent, dropped, weight + (25 if tag in ("article", "main") else 0))
+    return Node(tag, parent, dropped, weight + (25 if tag in ("article", "main") else 0), 0 if dropped else suspect)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, however broken: open elements close with the page, stray end tags are skipped."""
+    """The tree of a page, however broken: open elements close with the page, stray end tags are skipped. A tag without `>` ends with
+    the page; after a quote that never closes, tags end at the next `>`, quoted or not."""
     root = here = Node("html", None)
-    at, end = 0, len(page)
+    at, end, opened, quotes = 0, len(page), {}, True
+
+    def leave(node: Node, to: Node) -> Node:
+        while node is not to:
+            counts = opened if node.tag in _STRUCTURE else node.block.open
+            counts[node.tag] -= 1
+            node = node.parent
+        return to
+
     while at < end:
         if here.tag in RAW:
             close = re.compile(rf"</{here.tag}(?=[\s/>])", re.I).search(page, at)
             stop = close.start() if close else end
             here.children.append(html.unescape(page[at:stop]) if here.tag in ("title", "textarea") else page[at:stop])
             gone = page.find(">", stop) if close else end
-            at, here = (gone + 1 if gone >= 0 else end), here.parent
+            at, here = (gone + 1 if gone >= 0 else end), leave(here, here.parent)
             continue
-        found = _TOKEN.search(page, at)
-        text = page[at:found.start()] if found else page[at:]
+        sign = page.find("<", at)
+        while sign >= 0 and not page.startswith(("<!", "<?"), sign) and not (tag_found := _TAG.match(page, sign)):
+            sign = page.find("<", sign + 1)
+        text = page[at:sign] if sign >= 0 else page[at:]
         if text:
             here.children.append(html.unescape(text) if "&" in text else text)
-        if not found:
+        if sign < 0:
             break
-        at = found.end()
-        closing, opening, attributes, empty = found.groups()
-        if opening:
-            tag = opening.lower()
-            here = _make_room(here, tag)
+        if page.startswith(("<!", "<?"), sign):
+            first, last = ("<!--", "-->") if page.startswith("<!--", sign) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", sign) else ("<!", ">")
+            stop = page.find(last, sign + len(first))
+            at = stop + len(last) if stop >= 0 else end
+            if last == "]]>":
+                here.children.append(page[sign + 9:stop if stop >= 0 else end])
+            continue
+        closing, tag, after = page[sign + 1] == "/", tag_found[1].lower(), tag_found.end()
+        stop = -1
+        if quotes and not closing:
+            stop = _ATTRIBUTES.match(page, after).end()
+            quotes = stop == end or page[stop] == ">"
+        if closing or not quotes:
+            stop = page.find(">", after)
+        stop = end if stop < 0 else stop
+        at = stop + 1
+        if not closing:
+            here = leave(here, _make_room(here, tag))
             if tag == "html":
                 continue
-            node = _element(tag, attributes, here)
+            node = _element(tag, page[after:stop], here)
             here.children.append(node)
-            if tag not in VOID and not (empty and tag in ("svg", "path", "use")):
+            if tag not in VOID and not (page[stop - 1] == "/" and tag in ("svg", "path", "use")):
+                counts = opened if tag in _STRUCTURE else node.block.open
+                counts[tag] = counts.get(tag, 0) + 1
                 here = node
-        elif closing:
-            tag, node = closing.lower(), here
-            while node.parent is not None and node.tag != tag:
-                # a block stays open when an inline end tag does not match inside it
-                if node.tag in BLOCKS and tag not in BLOCKS:
-                    node = root
-                    break
+        # a block stays open when an inline end tag does not match inside it
+        elif (opened if tag in _STRUCTURE else here.block.open).get(tag):
+            node = here
+            while node.tag != tag:
                 node = node.parent
-            if node.parent is not None:
-                here = node.parent
-        elif found.group().startswith("<![CDATA["):
-            here.children.append(found.group()[9:].removesuffix("]]>"))
+            here = leave(here, node.parent)
     return root
 
 
 def _make_room(here: Node, tag: str) -> Node:
-    """Closes what a start tag ends: a paragraph before any block, list items, cells and rows before their like."""
-    if tag in BLOCKS:
-        node = here
-        while node.parent is not None and (node.tag == "p" or node.tag not in BLOCKS):
-            if node.tag == "p":
-                here = node.parent
-                break
-            node = node.parent
+    """The element that a start tag goes into: it closes a paragraph before any block, list items, cells and rows before their like."""
+    if tag in BLOCKS and here.block.tag == "p":
+        here = here.block.parent
     ends = CLOSES.get(tag)
     if ends:
-        node = here
-        while node.parent is not None and node.tag not in REACH | {tag} - ends:
+        node, stops = here.block, REACH | {tag} - ends
+        for _ in range(_FAR):
+            if node.parent is None or node.tag in stops and node.tag not in ends:
+                break
             if node.tag in ends:
                 here = node.parent
-            node = node.parent
-        if node.tag in ends and node.parent is not None:
-            here = node.parent
+                if node.tag in REACH and tag != "tr" and tag not in ("thead", "tbody", "tfoot"):
+                    break
+            node = node.parent.block
     return here
 
 
@@ -166,8 +197,43 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+def _settle(root: Node) -> None:
+    """Decides on parts that only a name marks. One stays if it holds more than half of the page's words outside links, has few
+    links and also bears an article's name, or if nothing but such parts has words; a page with an <article> or <main> needs none."""
+    order, stack, suspects, clear = [], [(root, False)], [], False
+    words = {}
+    while stack:
+        node, under = stack.pop()
+        under = under or node.suspect > 0
+        order.append((node, under))
+        if node.suspect:
+            suspects.append(node)
+        clear = clear or not under and node.tag in ("article", "main")
+        stack.extend((c, under) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
+    if not suspects:
+        return
+    outside = 0
+    for node, under in reversed(order):
+        mine = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        total, linked = words.get(id(node), (0, 0))
+        total += mine
+        linked = total if node.tag == "a" else linked
+        words[id(node)] = (total, linked)
+        outside += 0 if under or node.tag == "a" else mine
+        if node.parent is not None:
+            above = words.get(id(node.parent), (0, 0))
+            words[id(node.parent)] = (above[0] + total, above[1] + linked)
+    plain = lambda n: words[id(n)][0] - words[id(n)][1]
+    whole = plain(root)
+    largest = max(suspects, key=plain)
+    for node in suspects:
+        most = 2 * plain(node) > whole and node.suspect == 1 or not outside and node is largest
+        node.dropped = clear or not plain(node) or not most or 2 * words[id(node)][1] > words[id(node)][0]
+
+
 def _measure(root: Node) -> list[Node]:
     """Letters and linked letters of every node; returns live nodes, parents first."""
+    _settle(root)
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -224,15 +290,35 @@ def best_container(root: Node) -> tuple[Node, list[Node]]:
     least = max(10.0, best.score * 0.2)
     kept = []
     for node in best.parent.children:
-        if not isinstance(node, Node) or node.dropped:
-            continue
-        prose = node.tag == "p" and node.letters > 80 and _link_density(node) < 0.25
-        if node is best or best.tag not in ("article", "main") and (node.score >= least or prose) or \
-                best.tag == "article" and node.tag == "article" and node.score >= least:
+        if isinstance(node, Node) and not node.dropped and (
+                node is best or best.tag not in ("article", "main") and (node.score >= least or _prose(node, 80))
+                or best.tag == "article" and node.tag == "article" and node.score >= least):
             kept.append(node)
+        elif best.weight < 25 and _beside(node):
+            kept.append(node)
+    if best.weight < 25:
+        # nothing names the article: headings and prose around the container belong to it, up to the body
+        up = best.parent
+        while up.parent is not None and up.tag != "body":
+            around = up.parent.children
+            at = next(i for i, c in enumerate(around) if c is up)
+            kept = [c for c in around[:at] if _beside(c)] + kept + [c for c in around[at + 1:] if _beside(c)]
+            up = up.parent
     return best, kept
 
 
+def _prose(node: Node, more_than: int) -> bool:
+    return node.tag == "p" and node.letters > more_than and _link_density(node) < 0.25
+
+
+def _beside(part: Node | str) -> bool:
+    """Whether a neighbour of an unnamed article reads as a part of it: bare or inline text, a heading, prose or a list with few links."""
+    if isinstance(part, str):
+        return True
+    text = part.tag in _TEXT or part.tag not in _STRUCTURE
+    return text and not part.dropped and _link_density(part) < 0.25
+
+
 def _inline(node: Node) -> Iterator[str]:
     stack = [node]
     while stack:
@@ -250,7 +336,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     _, kept = best_container(parse(page))
-    return "\n".join(block for node in kept for block in _blocks(node))
+    parts = Node("div", None)
+    parts.children = kept
+    return "\n".join(_blocks(parts))
 
 
 def extract_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
