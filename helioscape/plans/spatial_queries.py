@@ -64,6 +64,14 @@ def contains_filter(spark, sf):
     return P.keep_inside(points, view(spark, sf, "borders"), BORDER_CELL, "site_id").select("site_id", "region")
 
 
+@query("polygons_by_leaves", views="sites borders", oracle=f"""
+with {INSIDE} select i.site_id, i.poly from inside i""")
+def polygons_by_leaves(spark, sf):
+    """Every polygon of every site, over cells that are split until four edges are left in each."""
+    points = view(spark, sf, "sites").select("site_id", "lat", "lon")
+    return P.polygons_around(points, view(spark, sf, "borders"), 4 * BORDER_CELL, "site_id", most=4)
+
+
 SEGMENT_D2 = """case when (b.x2-b.x1)*(b.x2-b.x1)+(b.y2-b.y1)*(b.y2-b.y1) = 0 then pow(p.x-b.x1,2)+pow(p.y-b.y1,2) else
  pow(p.x-(b.x1+(b.x2-b.x1)*least(greatest(((p.x-b.x1)*(b.x2-b.x1)+(p.y-b.y1)*(b.y2-b.y1))/((b.x2-b.x1)*(b.x2-b.x1)+(b.y2-b.y1)*(b.y2-b.y1)),0),1)),2)
  + pow(p.y-(b.y1+(b.y2-b.y1)*least(greatest(((p.x-b.x1)*(b.x2-b.x1)+(p.y-b.y1)*(b.y2-b.y1))/((b.x2-b.x1)*(b.x2-b.x1)+(b.y2-b.y1)*(b.y2-b.y1)),0),1)),2) end"""
