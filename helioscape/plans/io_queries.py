@@ -3,10 +3,11 @@ from pyspark.sql import Window as W, functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import nan_to_null
-from ..operators.ordered import ordinal
+from ..operators.shaping import batch_keys
 from ..operators.polygons import ring_edges
 from ..operators.spark_support import scratch_path
 from ..sources import payloads, tables
+from ..sources.resume import resume
 from .registry import query
 from .views import table, view
 
@@ -142,16 +143,6 @@ def array_json_column(spark, sf):
                        F.round(F.col("ghi_monthly")[5], 9).alias("ghi_jun"), F.round(total, 6).alias("ghi_sum"))
 
 
-def batch_keys(points, id_col: str, size: int = 400):
-    """Content key of each batch of `size` points; a batch is bounded, so is the list it hashes."""
-    numbered = ordinal(points, [], id_col, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("bigint"))
-    line = F.concat_ws(",", F.col(id_col), F.format_string("%.6f", "lat"), F.format_string("%.6f", "lon"))
-    keyed = numbered.withColumn("_line", F.struct(F.col(id_col), line.alias("t")))
-    keys = keyed.groupBy("batch").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(
-        ";", F.transform(F.array_sort(F.collect_list("_line")), lambda s: s["t"])), 256).alias("batch_key"))
-    return numbered.drop("_n"), keys
-
-
 @query("resume_batches", views="sites", oracle="""
 with numbered as (select site_id, lat, lon, cast(floor((row_number() over (order by site_id) - 1)/400) as bigint) as batch from sites),
 keys as (select batch, count(*) as n,
@@ -164,3 +155,13 @@ def resume_batches(spark, sf):
     keys.where("batch_key < '8'").select("batch_key").write.mode("append").parquet(done_path)
     finished = spark.read.schema("batch_key string").parquet(done_path)
     return keys.join(finished, "batch_key", "left_anti").select("batch", "n", "batch_key")
+
+
+@query("resumed_table", views="sites", oracle="""
+select site_id, round(ghi*365e0/2, 6) as yearly from sites where ghi is not null""")
+def resumed_table(spark, sf):
+    """A run that stops after its first commit, and the one that does the rest: the whole table."""
+    folder, sites = scratch_path(spark, "resumed"), view(spark, sf, "sites").where("ghi is not null").select("site_id", "lat", "lon", "ghi")
+    yearly = lambda rows: rows.select("site_id", "batch_key", F.round(F.col("ghi") * 365 / 2, 6).alias("yearly"))
+    resume(sites, "site_id", yearly, folder, commits=2, at_most=1)
+    return resume(sites, "site_id", yearly, folder, commits=2)
