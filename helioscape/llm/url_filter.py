@@ -77,13 +77,15 @@ def judge_urls(pages: DataFrame, url_col: str, listed: DataFrame, listed_col: st
     blocks = max(1, names.count() * BITS_PER_URL // (64 * LANES))
     sieve = bloom_blocks(names, "_listed", blocks)
 
-    asked = base.withColumn("_block", F.pmod(F.xxhash64("_canonical"), F.lit(blocks)))
+    # URLs without a canonical form would all meet in one block: they are never asked
+    unnamed = base.where("_canonical is null").withColumn("listed", F.lit(False))
+    asked = base.where("_canonical is not null").withColumn("_block", F.pmod(F.xxhash64("_canonical"), F.lit(blocks)))
     met = asked.join(sieve.withColumnRenamed("block", "_block"), "_block", "left")
     passes = reduce(Column.__and__, [F.col(f"lane{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(F.col("_canonical")))])
-    met = met.withColumn("_maybe", F.coalesce(passes & F.col("_canonical").isNotNull(), F.lit(False))) \
+    met = met.withColumn("_maybe", F.coalesce(passes, F.lit(False))) \
         .drop("_block", *[f"lane{i}" for i in range(LANES)])
     maybe = met.where("_maybe").join(names, F.col("_canonical") == F.col("_listed"), "left") \
         .withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    judged = maybe.unionByName(met.where("not _maybe").withColumn("listed", F.lit(False)))
+    judged = maybe.unionByName(met.where("not _maybe").withColumn("listed", F.lit(False))).drop("_maybe").unionByName(unnamed)
     verdict = F.coalesce("_said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.withColumn("verdict", verdict).drop("_said", "_canonical", "_maybe")
+    return judged.withColumn("verdict", verdict).drop("_said", "_canonical")

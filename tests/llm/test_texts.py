@@ -198,3 +198,11 @@ def test_merging_by_plain_repetition():
     for _ in range(300):
         text = "".join(draw.choice("aabetionsrl▁▁▁") for _ in range(draw.randrange(30)))
         assert encoder._merged(text) == plain(text), text
+
+
+def test_urls_without_a_host_skip_the_filter(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.lit(None)).when(
+        F.col("id") < 30, F.lit("no host here")).otherwise(F.concat(F.lit("http://spam.org/"), F.col("id"))).alias("url"))
+    listed = spark.createDataFrame([("http://spam.org/31",), ("http://spam.org/39",)], "url string")
+    got = {r.page_id: (r.host, r.listed, r.verdict) for r in url_filter.judge_urls(pages, "url", listed, "url", []).collect()}
+    assert got == {i: ("spam.org" if i % 2 and i >= 30 else "", i in (31, 39), "block" if i in (31, 39) else "allow") for i in range(40)}
