@@ -7,6 +7,7 @@ from ..functions import constants as K
 from ..functions.nulls import num
 from .polygons import containing_polygons, polygon_cells
 from .shaping import assign_ids
+from .spark_support import growing
 
 
 def cell_centres(bounds: DataFrame, step: float) -> DataFrame:
@@ -80,7 +81,7 @@ def bilinear(points: DataFrame, cells: DataFrame, scalars: list[str], arrays: li
     clip = lambda x, n: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(n - 2)).cast("int")
     keyed = points.withColumns({"r": clip(fr, nrows), "c": clip(fc, ncols)}) \
         .withColumns({"_wr": fr - F.col("r"), "_wc": fc - F.col("c")})
-    met = keyed.join(cells, ["r", "c"], "left")
+    met = keyed.join(growing(cells), ["r", "c"], "left")
     wr, wc = F.col("_wr"), F.col("_wc")
     weights = {"00": (1 - wr) * (1 - wc), "01": (1 - wr) * wc, "10": wr * (1 - wc), "11": wr * wc}
     out = [sum((F.col(f"{v}{k}") * w for k, w in weights.items()), num(0)).alias(v) for v in scalars]

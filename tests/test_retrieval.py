@@ -69,3 +69,32 @@ def test_without_places(spark):
     none = spark.createDataFrame([], SCHEMA)
     found = RT.search(spark.createDataFrame(QUERIES, "query_id long, query string"), none, fuzzy=False)
     assert sorted((r["query_id"], r["source"]) for r in found.collect()) == [(3, "coordinates"), (4, "curated")]
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Joins of place search and lattices shuffle tables that grow with the input, though these look small to Spark."""
+    from helioscape.operators import gazetteer as GZ, lattice as L
+
+    cands = spark.createDataFrame([(1, "lake park", 0, "Lake", "park", "park", "place", 1.0, 2.0)],
+                                  "query_id int, query string, rank int, name string, context string, osm_value string, category string, lat double, lon double")
+    nodes = spark.createDataFrame([(r, c, 1.0, [1.0]) for r in range(2) for c in range(2)], "r int, c int, v double, m array<double>")
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "pid int, lat double, lon double")
+    spread = L.bilinear(points, L.corner_cells(nodes, ["v", "m"]), ["v"], ["m"], 0.0, 1.0, 2, 0.0, 1.0, 2)
+    for df in (GZ.rank_candidates(cands, fuzzy=False), GZ.rank_candidates(cands), spread):
+        assert len(df.collect()) == 1
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fuzzy_words_of_one_row_are_those_of_the_matcher(spark):
+    import difflib
+
+    from pyspark.sql import functions as F
+
+    from helioscape.operators import gazetteer as GZ
+
+    words = ["stadium", "stadum", "museum", "museam", "park", "parks", "lake", "aaaa", "aaab", "abcdefgh", "hgfedcba", "ünder", "under"]
+    df = spark.createDataFrame([(1, words, words[::-1]), (1, ["lakes"], ["lake"]), (None, ["parks"], ["park"]), (2, [], ["park"])], "k int, a array<string>, b array<string>")
+    pairs = {(x, y) for x in words for y in words if x != y and len(x) > 3 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.84} | {("lakes", "lake")}
+    got = GZ.with_fuzzy(df, ["k"], [(F.col("a"), F.col("b"))], "close").collect()
+    assert sorted((r.k or 0, len(r.close)) for r in got) == [(0, 0), (1, len(pairs)), (1, len(pairs)), (2, 0)]
+    assert set(next(r for r in got if r.k == 1).close) == {f"{x}|{y}" for x, y in pairs}
