@@ -1,8 +1,8 @@
 """Personal data: rules give base spans; a bidirectional LSTM over characters with CRF transitions adds other forms.
 
-The network is trained here, in numpy, on labelled spans. Every text is searched whole for places that personal data
-needs (digits, '@', spelled-out addresses); around them overlapping windows are decoded one by one, and the best
-set of spans without overlaps is chosen over the whole text.
+The network is trained here, in numpy, on labelled spans. Overlapping windows cover every text whole. They are decoded
+one by one, but for those that lack what each kind of span must have, and the best set of spans without overlaps is
+chosen over the whole text.
 """
 from __future__ import annotations
 
@@ -22,10 +22,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile("[0-9]")
-#: Places around which the network looks: digit groups long enough for a number, and signs of an address.
-TRIGGER = re.compile(r"[0-9][0-9 ().+-]{5,}[0-9]|@|[(\[]at[)\]]| at (?=[^\n]{1,40}? dot )", re.I)
-#: Characters around a trigger, of a window, and between the beginnings of windows.
-REACH, WINDOW, STRIDE = 40, 96, 48
+#: A sign of an address and a dot in it, spelled out or not.
+_AT, _DOT = re.compile(r"@|(?<![^\W_])at(?![^\W_])", re.I), re.compile(r"\.|(?<![^\W_])dot(?![^\W_])", re.I)
+#: Characters of a window, and between the beginnings of windows.
+WINDOW, STRIDE = 96, 48
 #: Kind k is tagged 1 + 2k where it begins and 2 + 2k where it goes on; 0 is no personal data.
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, EMBEDDED = 16, 12
@@ -275,15 +275,34 @@ def decode(model: PiiModel, texts: list[str]) -> list[list[tuple[int, int, int,
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the surroundings of all triggers, in order; each span up to STRIDE long lies whole in one."""
-    areas: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if areas and a <= areas[-1][1]:
-            areas[-1][1] = max(b, areas[-1][1])
-        else:
-            areas.append([a, b])
-    return [(s, min(s + WINDOW, b)) for a, b in areas for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
+    """Overlapping windows over the whole text, in order; each span up to STRIDE long lies whole in one."""
+    return [(s, min(s + WINDOW, len(text))) for s in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)] if text else []
+
+
+def candidate_windows(text: str) -> list[tuple[int, int]]:
+    """Those windows that can hold a span that `_plausible` accepts: seven digits (card, phone), four digits and three dots
+    (ip), or a sign and a dot of an address. No span of another window is ever accepted, so its decoding would be lost."""
+    places = windows_of(text)
+    if not places:
+        return places
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts, ends = np.array(places).T
+
+    def held(marks: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(marks))
+        return upto[ends] - upto[starts]
+
+    def begins(pattern: re.Pattern) -> np.ndarray:
+        marks = np.zeros(len(points), np.int64)
+        marks[[m.start() for m in pattern.finditer(text)]] = 1
+        return marks
+
+    digits = held((points >= 48) & (points <= 57))
+    can = (digits >= 7) | (digits >= 4) & (held(points == 46) >= 3)
+    signs = begins(_AT)
+    if signs.any():
+        can |= (held(signs) > 0) & (held(begins(_DOT)) > 0)
+    return [places[n] for n in np.flatnonzero(can)]
 
 
 def reconciled(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
@@ -331,7 +350,7 @@ def find_spans(texts: list[str], model: PiiModel | None, bases: list[list[tuple[
     bases = [base_spans(t) for t in texts] if bases is None else bases
     if model is None:
         return bases
-    places = [(n, a, b) for n, t in enumerate(texts) for a, b in windows_of(t)]
+    places = [(n, a, b) for n, t in enumerate(texts) for a, b in candidate_windows(t)]
     tagged = decode(model, [texts[n][a:b] for n, a, b in places]) if places else []
     per_text: dict[int, list] = {}
     for (n, a, b), spans in zip(places, tagged, strict=True):

@@ -266,3 +266,19 @@ def test_personal_data_in_long_and_foreign_digits():
     assert not pii._plausible("1.2.3.²", 1, 0, 7)
     assert not pii._plausible("1.2.3.٣", 1, 0, 7)
     assert pii._plausible("001.2.3.255", 1, 0, 11)
+
+
+def test_pii_windows_cover_whole_texts(pii_model):
+    """Every character is in a window, and decoding all windows finds nothing that the candidate windows lack."""
+    made = [t for t, _ in pii.made_examples([prose(5, 30)], 60, seed=7)]
+    texts = ["", "a", prose(1, 400), " ".join(made), "x" * 500 + " jo_at_ex.com at\nhost dot org 10 . 0 . 0 . 1 " + "é" * 300 + "\ud800 look at it. 12 3456 7 "]
+    for text in texts:
+        every = pii.windows_of(text)
+        assert {i for a, b in every for i in range(a, b)} == set(range(len(text)))
+        assert all(any(a <= i and min(i + pii.STRIDE, len(text)) <= b for a, b in every) for i in range(len(text)))
+        chosen = set(pii.candidate_windows(text))
+        lost = [w for w in every if w not in chosen]
+        assert not [1 for a, b in lost for s in range(a, b) for e in range(s + 1, b + 1) for k in range(4) if pii._plausible(text, k, s, e)]
+    # a spelled-out address far from digits, '@' and the older triggers
+    text = prose(2, 200) + " write to\nkarla.mohn\nat mail\ndot example\ndot org " + prose(3, 200)
+    assert any(text.index("karla") < b and a < text.index("karla") + 20 for a, b in pii.candidate_windows(text))
