@@ -28,6 +28,8 @@ from .profile import unpivot
 from .spark_support import scratch_path, shared_dir, stored
 
 KNOT_FRACTIONS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+#: Bytes of unpacked numbers that one task of a fit holds.
+FIT_BYTES = 32 << 20
 
 
 def fit_medians(train: DataFrame, features: list[str]) -> dict[str, float]:
@@ -41,6 +43,15 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.col(f), num(m)) for f, m in medians.items()})
 
 
+def spread(train: DataFrame, numbers: int, size: int = FIT_BYTES) -> DataFrame:
+    """Training rows in as many parts as their unpacked numbers need; few rows stay as they lie.
+
+    A fit keeps its rows unpacked and reads them in every iteration, while their file is packed and split by its own size.
+    """
+    parts = -(-train.count() * numbers * 8 // size)
+    return train.repartition(parts) if parts > 1 else train
+
+
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """weight = rows / (2 x rows of the class)."""
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
@@ -68,7 +79,7 @@ class TreeModel:
     def fit(self, train: DataFrame, features: list[str], label: str, weight: str | None = None) -> "TreeModel":
         self.features = features
         self.medians = fit_medians(train, features)
-        ready = impute(train, self.medians)
+        ready = impute(spread(train, len(features) + 2), self.medians)
         if self.kind == "forest":
             if weight is None:
                 ready, weight = class_balance(ready, label), "weight"
@@ -128,7 +139,7 @@ class MonotoneModel:
             self.ramps += [(f, a, b) for a, b in zip(knots, knots[1:])]
         lo = [0.0 if signs.get(f, 0) > 0 else float("-inf") for f, _, _ in self.ramps]
         hi = [0.0 if signs.get(f, 0) < 0 else float("inf") for f, _, _ in self.ramps]
-        assembled = self._assemble(ready).withColumn(label, F.col(label).cast("double"))
+        assembled = self._assemble(spread(ready, len(self.ramps) + 2)).withColumn(label, F.col(label).cast("double"))
         p = len(self.ramps)
         lr = LogisticRegression(featuresCol="ramps", labelCol=label, regParam=self.ridge, elasticNetParam=0.0, maxIter=self.max_iter, tol=self.tolerance,
                                 lowerBoundsOnCoefficients=DenseMatrix(1, p, lo), upperBoundsOnCoefficients=DenseMatrix(1, p, hi))

@@ -104,3 +104,15 @@ def test_ramp_colours_decode_to_their_values(spark, sf):
     rows = Q["decode_ramp"](spark, sf).collect()
     assert rows and all((r["z"] is None) == (r["value"] is None) for r in rows)
     assert max(abs(min(max(r["z"], 900.0), 2100.0) - r["value"]) for r in rows if r["z"] is not None) < 15.0
+
+
+def test_training_rows_are_spread_by_their_unpacked_size(spark):
+    """The rows that one task of a fit holds stay bounded however many there are; few rows stay as they lie."""
+    from helioscape.operators import models as ML
+
+    rows = spark.range(4000).coalesce(1).selectExpr("id", "id % 7 as x")
+    assert ML.spread(rows, 100).rdd.getNumPartitions() == 1
+    wide = ML.spread(rows, 100, size=400_000)
+    sizes = wide.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert sorted(r.id for r in wide.collect()) == list(range(4000))
