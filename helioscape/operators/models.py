@@ -261,20 +261,20 @@ def explain(df: DataFrame, model: MonotoneModel, top: int | None = None) -> Data
     Points add up to score - base_score; a sum below 1e-9 gives 0 points each.
     """
     label = lambda f: K.FEATURE_LABELS.get(f, ("Land cover: " + f[3:].title() if f.startswith("lc_") else f, "", ""))
-    meta = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.lit(v).alias(n) for n, v in zip(("label", "unit", "source"), label(f))])
-                     for f in model.features])
     base_score = num(100) / (num(1) + F.exp(-num(model.base) / num(K.SCORE_TEMPERATURE)))
-    staged = df.withColumns({"base_score": base_score, "_total": F.aggregate("log_odds", num(0), lambda a, x: a + x),
-                             "_values": F.array(*model.features)})
+    staged = df.withColumns({"base_score": base_score, "_total": F.aggregate("log_odds", num(0), lambda a, x: a + x)})
     scale = F.when(F.abs("_total") > 1e-9, (F.col("model_score") - F.col("base_score")) / F.col("_total")).otherwise(num(0))
     staged = staged.withColumn("_scale", scale)
-    ordered = F.array_sort(F.transform("log_odds", lambda x, i: F.struct((-F.abs(x)).alias("order"), i.alias("i"), x.alias("x"))))
+    # sorted as structs that begin with impact and place: a comparison of two costs no expression
+    each = [F.struct((-F.abs(x)).alias("order"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
+                     *[F.lit(v).alias(n) for n, v in zip(("label", "unit", "source"), label(f))],
+                     F.col(f).alias("value"), x.alias("log_odds"), (x * F.col("_scale")).alias("points"))
+            for i, f in enumerate(model.features) for x in (F.col("log_odds")[i],)]
+    ordered = F.sort_array(F.array(*each))
     if top:
         ordered = F.slice(ordered, 1, top)
-    tidy = F.transform(ordered, lambda o: F.struct(
-        *[F.get(meta, o["i"])[n].alias(n) for n in ("feature", "label", "unit", "source")], F.get("_values", o["i"]).alias("value"),
-        o["x"].alias("log_odds"), (o["x"] * F.col("_scale")).alias("points")))
-    return staged.withColumn("contributions", tidy).drop("_total", "_values", "_scale")
+    tidy = F.transform(ordered, lambda o: F.struct(*[o[n].alias(n) for n in ("feature", "label", "unit", "source", "value", "log_odds", "points")]))
+    return staged.withColumn("contributions", tidy).drop("_total", "_scale")
 
 
 # ---------------------------------------------------------------- bundles
@@ -316,7 +316,7 @@ def table_key(df: DataFrame) -> str:
 def _bundles(spark, name: str, key: str) -> list:
     """Finished bundles of a model in a fixed order; none where nothing was registered yet."""
     try:
-        index = spark.read.schema(REGISTRY).parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
+        index = spark.read.schema(REGISTRY).option("recursiveFileLookup", True).parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -327,8 +327,9 @@ def _bundles(spark, name: str, key: str) -> list:
 def registered(spark, name: str, source: DataFrame, recipe: str, fit: Callable[[], TreeModel | MonotoneModel]) -> TreeModel | MonotoneModel:
     """The model of that name for these source rows and this recipe: loaded if it was ever saved, else fitted, saved and loaded.
 
-    The registry is a table in the shared folder with one row a bundle. A row is appended once its bundle is complete, so a
-    fit that died leaves none; two fits at once leave two rows, and every reader takes the same one. `recipe` names the rules and parameters that turn source rows into a model: it changes when they do.
+    The registry is a table in the shared folder with one row a bundle. A row is written once its bundle is complete, so a
+    fit that died leaves none, and in a folder of its own, as two appends to one folder at once remove each other's
+    unfinished files; two fits at once leave two rows, and every reader takes the same one. `recipe` names the rules and parameters that turn source rows into a model: it changes when they do.
     """
     key = hashlib.sha256(f"{table_key(source)}|{recipe}".encode()).hexdigest()[:32]
     found = _bundles(spark, name, key)
@@ -336,6 +337,6 @@ def registered(spark, name: str, source: DataFrame, recipe: str, fit: Callable[[
         path = scratch_path(spark, f"bundles/{name}")
         save_bundle(spark, path, fit(), {"name": name, "key": key, "recipe": recipe})
         row = spark.createDataFrame([(name, key, path)], REGISTRY)
-        row.coalesce(1).write.mode("append").parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
+        row.coalesce(1).write.parquet(scratch_path(spark, "models/row"))
         found = _bundles(spark, name, key)
     return load_bundle(spark, found[0]["path"])[0]
