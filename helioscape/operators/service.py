@@ -11,6 +11,7 @@ from .ordered import first_per_key
 from .overlay import global_overlay
 from .raster import pixel_lookup
 from .shaping import validate_requests
+from .spark_support import stored
 
 RAW = ["elevation", "slope", "aspect", "ghi", "temperature", "cloud_cover", "accessibility", "ndvi", "ndbi", "lst",
        "landcover", "nightlights", "population", "worldcover"]
@@ -126,6 +127,8 @@ def compare_sites(requests: DataFrame, answers, compare_id: str = "compare_id")
     good = answers(checked.where("error is null").drop("error")).select("request_id", "score", "class", F.col("energy.annual_kwh").alias("annual_kwh"))
     joined = checked.join(good, "request_id", "left").withColumn(
         "error", F.coalesce("error", F.when(F.col("score").isNull(), "no data at this location")))
+    # the answers are read by the ranking, the rows that failed and the summary, and made once
+    joined = stored(joined, "compared")
     # only valid comparisons are ranked, so an oversized one never reaches the window
     valid = joined.where(F.col("error").isNull() | (F.col("error") == "no data at this location"))
     ranked = rank_comparison(valid, compare_id)

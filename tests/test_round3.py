@@ -1,7 +1,10 @@
 """Faults found in the third round, each with its case."""
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import functions as F
+
 from helioscape.operators import models as ML
+from helioscape.operators import service as SV
 
 
 def fitted(value):
@@ -20,3 +23,19 @@ def test_models_registered_at_once(spark):
 
     with ThreadPoolExecutor(max_workers=6) as pool:
         assert list(pool.map(one, range(6))) == [[float(k)] for k in range(6)]
+
+
+def test_comparison_answers_are_made_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(lat):
+        asked.add(1)
+        return lat
+
+    rows = [(c, i, None, float(c + i), 1.0, 100.0, 0.2, 0.75) for c in range(4) for i in range(3)]
+    requests = spark.createDataFrame(rows, "compare_id long, index int, name string, lat double, lon double, area_m2 double, efficiency double, performance_ratio double")
+    sites, summary = SV.compare_sites(requests, lambda good: good.select(
+        "request_id", score("lat").alias("score"), F.lit("High").alias("class"), F.struct(F.col("lon").alias("annual_kwh")).alias("energy")))
+    assert len(sites.collect()) == 12 and len(summary.collect()) == 4
+    assert asked.value == 12
