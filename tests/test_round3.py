@@ -1,10 +1,14 @@
 """Faults found in the third round, each with its case."""
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from helioscape.llm import jaccard_join
 from helioscape.operators import models as ML
 from helioscape.operators import service as SV
+from helioscape.operators.dissolve import connected_components
 
 
 def fitted(value):
@@ -39,3 +43,29 @@ def test_comparison_answers_are_made_once(spark):
         "request_id", score("lat").alias("score"), F.lit("High").alias("class"), F.struct(F.col("lon").alias("annual_kwh")).alias("energy")))
     assert len(sites.collect()) == 12 and len(summary.collect()) == 4
     assert asked.value == 12
+
+
+def test_star_round_deals_prefixes_out_twice_at_most(spark, capsys):
+    """A round read them three times before, in one plan; such plans took the driver's memory."""
+    bits = ", ".join(f"b{k} long" for k in range(jaccard_join.LANES))
+    schema = f"node long, comp long, n long, take long, p0 array<long>, p1 array<long>, {bits}"
+    nodes = spark.createDataFrame([(k, k, 2, 1, [5, 6], [5], *[0] * jaccard_join.LANES) for k in range(3)], schema)
+    jaccard_join._star_pairs(nodes, 0, jaccard_join.Fraction(3, 4)).explain("simple")
+    plan = capsys.readouterr().out
+    plan = plan[plan.rindex("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert 0 < plan.count("posexplode") <= 2
+
+
+@pytest.mark.parametrize("step", [jaccard_join._frequencies, jaccard_join._prefixes(jaccard_join.Fraction(3, 4), 1)])
+def test_groups_give_memory_back(monkeypatch, step):
+    calls = []
+    monkeypatch.setattr(jaccard_join, "give_back", lambda: calls.append(1))
+    step(pd.DataFrame([(0, 0, -1, *[b""] * 6)], columns=jaccard_join._ROW_NAMES))
+    assert calls
+
+
+def test_components_of_repeated_loops_and_chains(spark):
+    pairs = [(1, 1), (2, 3), (3, 2), (2, 3), (4, 5), (5, 6), (7, 6), (8, 8)]
+    nodes = spark.createDataFrame([(k,) for k in range(1, 10)], "poly long")
+    found = connected_components(nodes, spark.createDataFrame(pairs, "a long, b long"))
+    assert dict(found.collect()) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 9}
