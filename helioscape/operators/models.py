@@ -5,6 +5,7 @@ coefficients), whose number depends on the features and not on the rows.
 """
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -313,10 +314,14 @@ def table_key(df: DataFrame) -> str:
     return hashlib.sha256(f"{df.schema.simpleString()}|{row['n']}|{row['h']}".encode()).hexdigest()
 
 
+def _registry(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/helioscape/models"
+
+
 def _bundles(spark, name: str, key: str) -> list:
     """Finished bundles of a model in a fixed order; none where nothing was registered yet."""
     try:
-        index = spark.read.schema(REGISTRY).option("recursiveFileLookup", True).parquet(f"{shared_dir(spark).rstrip('/')}/helioscape/models")
+        index = spark.read.schema(REGISTRY).option("recursiveFileLookup", True).parquet(_registry(spark))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -337,6 +342,6 @@ def registered(spark, name: str, source: DataFrame, recipe: str, fit: Callable[[
         path = scratch_path(spark, f"bundles/{name}")
         save_bundle(spark, path, fit(), {"name": name, "key": key, "recipe": recipe})
         row = spark.createDataFrame([(name, key, path)], REGISTRY)
-        row.coalesce(1).write.parquet(scratch_path(spark, "models/row"))
+        row.coalesce(1).write.parquet(f"{_registry(spark)}/row-{uuid.uuid4().hex[:12]}")
         found = _bundles(spark, name, key)
     return load_bundle(spark, found[0]["path"])[0]
