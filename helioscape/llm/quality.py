@@ -159,6 +159,7 @@ def fit(rated: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grades: np.ndarr
     value = np.concatenate([v[c] for (_, v, _), c in zip(rated, common, strict=True)])
     owner = np.repeat(np.arange(len(rated), dtype=np.int32), [int(c.sum()) for c in common])
     extra = np.stack([x for _, _, x in rated])
+    del held, place_of, common
 
     order = np.random.default_rng(7).permutation(len(rated))
     held_out, train = np.split(order, [int(len(rated) * HELD_OUT)])
@@ -223,7 +224,10 @@ def fit_ratings(docs: DataFrame, id_col: str, text_col: str, ratings: DataFrame,
     rows = sorted(rows, key=lambda r: (r.place, r.grade))
     grades = np.array([r.grade for r in rows])
     packed = [tuple(np.frombuffer(r[n], kind) for n, kind in _PACKED.items()) for r in rows]
-    return fit(packed, grades, max(int(grades.max()) + 1, 2))
+    model = fit(packed, grades, max(int(grades.max()) + 1, 2))
+    del rows, packed
+    give_back()  # the driver lives on, too
+    return model
 
 
 #: Features of a text as they travel to the fit.

@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helioscape.llm import jaccard_join
-from helioscape.operators import models as ML
+from helioscape.llm import jaccard_join, quality, queries
+from helioscape.operators import dissolve, models as ML
 from helioscape.operators import service as SV
 from helioscape.operators.dissolve import connected_components
+from helioscape.operators.spark_support import cut
 
 
 def fitted(value):
@@ -69,3 +70,36 @@ def test_components_of_repeated_loops_and_chains(spark):
     nodes = spark.createDataFrame([(k,) for k in range(1, 10)], "poly long")
     found = connected_components(nodes, spark.createDataFrame(pairs, "a long, b long"))
     assert dict(found.collect()) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 9}
+
+
+def test_components_that_are_settled_take_no_round(spark, monkeypatch):
+    """A round was spent before to see that nothing moves; 211 partitions of it took the driver's memory."""
+    calls = []
+    monkeypatch.setattr(dissolve, "cut", lambda df: calls.append(1) or cut(df))
+    nodes = spark.createDataFrame([(k,) for k in range(1, 8)], "poly long")
+    stars = spark.createDataFrame([(1, 2), (3, 1), (3, 1), (5, 5), (7, 6)], "a long, b long")
+    assert dict(connected_components(nodes, stars).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
+    assert len(calls) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 4), (None, 5), (5, None)], "a long, b long")
+    assert dict(connected_components(nodes, chain).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 1}
+    none = spark.createDataFrame([], "a long, b long")
+    assert dict(connected_components(nodes, none).collect()) == {k: k for k in range(1, 8)}
+
+
+def test_component_rounds_send_nothing_through_the_driver(spark, monkeypatch, capsys):
+    """Every grouping of a round was broadcast before, four times a round."""
+    monkeypatch.setattr(dissolve, "cut", lambda df: df.explain("simple") or cut(df))
+    dissolve.smallest_reachable(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"))
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fits_give_the_drivers_memory_back(spark, monkeypatch):
+    """The driver's Python kept what a fit took until the end of the pipeline."""
+    calls = []
+    monkeypatch.setattr(quality, "give_back", lambda: calls.append("quality"))
+    monkeypatch.setattr(queries, "give_back", lambda: calls.append("secrets"), raising=False)
+    docs = spark.createDataFrame([(k, f"word{k} good text here", k % 3) for k in range(12)], "doc_id long, text string, grade int")
+    assert quality.fit_ratings(docs, "doc_id", "text", docs.select("doc_id", "grade"), "doc_id", "grade") is not None
+    queries.secret_model(docs)
+    assert calls == ["quality", "secrets"]
