@@ -88,6 +88,9 @@ class TreeModel:
                 featuresCol="features", labelCol=label, numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=2,
                 featureSubsetStrategy="sqrt", seed=self.seed, weightCol=weight)
         else:
+            context = train.sparkSession.sparkContext
+            if context.getCheckpointDir() is None:  # every round adds to one lineage, which is cut every ten
+                context.setCheckpointDir(shared_dir(train.sparkSession))
             estimator = GBTClassifier(featuresCol="features", labelCol=label, maxIter=self.trees, maxDepth=min(self.depth, 6),
                                       stepSize=0.05, subsamplingRate=0.8, seed=self.seed, featureSubsetStrategy="0.8",
                                       minInstancesPerNode=2)

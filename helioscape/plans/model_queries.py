@@ -14,8 +14,8 @@ from .registry import query
 from .shape_queries import R
 from .views import view
 
-# The registered runs use small ensembles so that a check finishes quickly; the operators default to the full size.
-TREES, ROUNDS, DEPTH = 20, 8, 6
+# The registered forests are small so that a check finishes quickly; the operator defaults to the full size. Boosting runs all its rounds.
+TREES, ROUNDS, DEPTH = 20, 500, 6
 
 
 def forest():
@@ -23,7 +23,7 @@ def forest():
 
 
 def boosted():
-    return ML.TreeModel("boosted", ROUNDS, 4)
+    return ML.TreeModel("boosted", ROUNDS, DEPTH)
 
 
 def labelled(spark, sf):
