@@ -1,9 +1,11 @@
 """Each fault found in the fourth round with its case."""
 import difflib
 
+import numpy as np
 import pytest
 
 from helioscape.functions import text as TX
+from helioscape.llm import jaccard_join
 from helioscape.operators import models as ML
 from helioscape.operators.spark_support import shared_dir
 from helioscape.plans import model_queries, text_queries
@@ -64,3 +66,33 @@ def test_gazetteer_match_knows_misspelt_words(spark, tmp_path):
     assert {(r.query_id, r.rank) for r in found} == set(first.values())
     for r in found:
         assert (r.covered, r.score) == (expected[r.query_id, r.rank][0], pytest.approx(expected[r.query_id, r.rank][1], abs=2e-8))
+
+
+def five_words(text):
+    words = text.split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_no_link_between_different_sets_is_left_out(spark, monkeypatch, chunk):
+    """Links inside a component were left out once it was known to be one."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_NODES", chunk)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1:])) for k in range(60)]  # one word of each is another: most are similar
+    rows += [(100 + k, rows[k][1]) for k in range(5)] + [(None, rows[2][1])]  # copies
+    rows += [(200 + k, " ".join(f"v{k // 3}_{i}" for i in range(k % 3, 40 + k % 3))) for k in range(30)]  # threes that are shifted
+    members, links = jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sets = {i: five_words(t) for i, t in rows if i is not None and not 100 <= i < 200}
+    expected = sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    assert len(expected) > 1000 and sorted(map(tuple, links.collect())) == expected
+    assert {r.node for r in members.collect()} == set(sets)
+
+
+def test_overlaps_of_common_and_rare_tokens(monkeypatch):
+    draw = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate((draw.integers(0, 40, 25), draw.integers(0, 5000, 60)))) for _ in range(90)]
+    expected = [[len(np.intersect1d(x, y)) for y in sets[50:]] for x in sets[:50]]
+    assert np.array_equal(jaccard_join._overlaps(sets[:50], sets[50:]), expected)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 8)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 50)
+    assert np.array_equal(jaccard_join._overlaps(sets[:50], sets[50:]), expected)
